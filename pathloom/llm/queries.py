@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, license_scan, quality_rules
+from . import chat_format, exact_dedup, license_scan, mixing, quality_rules, sentencepiece_codec, token_store
 from .common import documents
 
 
@@ -13,6 +13,23 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder, manifest = token_store.write_store(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read_store(spark, folder, manifest)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_codec.summary(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(documents(spark, sf_dir)))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).drop("spans")
 
@@ -28,7 +45,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_license_scan, op7_chat_format, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_store, op4_sentencepiece, op5_mixing, op6_license_scan, op7_chat_format, op9_quality_rules)}
 
 SQL = {
     "op1_exact_dedup": r"""
