@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, license_scan, mixing, quality_rules, sentencepiece_codec, token_store
+from . import chat_format, exact_dedup, license_scan, mixing, ngram_join, quality_rules, sentencepiece_codec, token_store
 from .common import documents
 
 
@@ -41,11 +41,15 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.render(chat_format.canonical(table.unionByName(more))))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.label(documents(spark, sf_dir), ngram_join.Rule(words=3, percent=90))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_store, op4_sentencepiece, op5_mixing, op6_license_scan, op7_chat_format, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_store, op4_sentencepiece, op5_mixing, op6_license_scan, op7_chat_format, op8_ngram_join, op9_quality_rules)}
 
 SQL = {
     "op1_exact_dedup": r"""
