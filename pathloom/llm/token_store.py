@@ -26,9 +26,12 @@ text hash) and are all found under it; empty tables give a store without shards.
 from __future__ import annotations
 
 import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,7 @@ from .mixing import mixed64
 
 MAGIC = b"PLIDX01\0"
 U = np.uint64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -69,8 +72,27 @@ def separable(config: dict) -> bool:
     return ok and all(p.startswith("'") or p in (r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+") for p in parts) and config.get("post_processor") is None
 
 
+#: Words of these letters, and what may follow them: normalisation only lower-cases them, and they and the run
+#: of marks are one pre-token each.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#|$()]*)")
+
+
+def byte_level(config: dict) -> bool:
+    """Whether pre-tokens go to a merge model as bytes written as characters, nothing added."""
+    steps = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return len(steps) == 2 and steps[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": steps[1].get("trim_offsets"), "use_regex": False} and config["model"]["type"] == "BPE" and any(n["type"] == "Lowercase" for n in config["normalizer"]["normalizers"])
+
+
+def byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable Latin-1, else 256 and up."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in kept else next(rest) for b in range(256)}
+
+
 class Encoder:
-    """Texts to packed ids; distinct words are encoded once where the tokenizer allows."""
+    """Texts to packed ids; distinct words are encoded once where the tokenizer allows, and plain ones go
+    straight to its merge model."""
 
     def __init__(self, path: str, width: int | None = None):
         import os
@@ -79,10 +101,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = separable(json.loads(self.tokenizer.to_str()))
+        config = json.loads(self.tokenizer.to_str())
+        self.by_word = separable(config)
+        self.direct = self.by_word and byte_level(config)
+        self.model, self.characters = self.tokenizer.model, byte_characters()
         self.width = width or (2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else 4)
-        self.kind = np.dtype(f"<u{self.width}")
+        self.kind, self.form = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
         self.cache: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def word(self, core: str, marks: str) -> bytes:
+        """Packed ids of a plain word."""
+        if marks not in self.marks:
+            self.marks[marks] = self.packed([marks.encode()])[0]
+        text = core.lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.characters)
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}{self.form}", *ids) + self.marks[marks]
+
+    def new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        if not self.direct:
+            return dict(zip(words, self.packed(words)))
+        out, rest = {}, []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if m := PLAIN.fullmatch(text):
+                out[w] = self.word(*m.groups())
+            else:
+                rest.append(w)
+        out.update(zip(rest, self.packed(rest)))
+        return out
 
     def packed(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -92,12 +141,18 @@ class Encoder:
         if not self.by_word:
             return self.packed(texts)
         words = [t.split() for t in texts]
-        here = {w for ws in words for w in ws}
-        new = list(here - self.cache.keys())
+        new, here = [], {}
+        for w in set(chain.from_iterable(words)):
+            if (found := self.cache.get(w)) is None:
+                new.append(w)
+            else:
+                here[w] = found
+        more = self.new(new)
         if len(self.cache) + len(new) > CACHE_WORDS:  # frequent words are in this batch, too
-            self.cache = {w: self.cache[w] for w in here & self.cache.keys()}
-        self.cache.update(zip(new, self.packed(new)))
-        return [b"".join(map(self.cache.__getitem__, ws)) for ws in words]
+            self.cache = dict(here)
+        self.cache |= more
+        here |= more  # small, so that the many look-ups stay in the processor's cache
+        return [b"".join(map(here.__getitem__, ws)) for ws in words]
 
 
 _ENCODERS: dict[str, Encoder] = {}
