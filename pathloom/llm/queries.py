@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, license_scan, mixing, ngram_join, quality_rules, sentencepiece_codec, suffix_dedup, token_store
+from . import chat_format, exact_dedup, katz_lm, license_scan, mixing, ngram_join, quality_rules, sentencepiece_codec, suffix_dedup, token_store
 from .common import documents
 
 
@@ -53,7 +53,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_token_store, op4_sentencepiece, op5_mixing, op6_license_scan, op7_chat_format, op8_ngram_join, op9_quality_rules)}
+def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.score(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_token_store, op4_sentencepiece, op5_mixing, op6_license_scan, op7_chat_format, op8_ngram_join, op9_quality_rules, op10_katz_lm)}
 
 SQL = {
     "op1_exact_dedup": r"""
