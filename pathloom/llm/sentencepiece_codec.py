@@ -28,6 +28,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from .common import batches, fresh_name, small_batches, text_bytes
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 500_000
 
 
 def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -173,15 +174,32 @@ class Codec:
             return self.raw([t.decode() for t in texts])
         # the metaspace itself may stand in a text; it counts as a blank
         cut = [SEGMENT.findall(b" " + t.replace(MARK, b" ")) if t else [] for t in texts]
-        here = {s for ss in cut for s in ss}
-        new = list(here - self.cache.keys())
+        new, here = [], {}
+        for s in set(chain.from_iterable(cut)):
+            if (found := self.cache.get(s)) is None:
+                new.append(s)
+            else:
+                here[s] = found
+        more = self.segments(new)
         if len(self.cache) + len(new) > CACHE_SEGMENTS:  # frequent segments are in this batch, too
-            self.cache = {s: self.cache[s] for s in here & self.cache.keys()}
-        self.cache.update(zip(new, self.raw([s[1:].decode() if len(s) > 1 else "" for s in new])))
+            self.cache = dict(here)
+        self.cache |= more
+        here |= more  # small, so that the many look-ups stay in the processor's cache
+        return [b"".join(map(here.__getitem__, ss)) for ss in cut]
+
+    def segments(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of segments: one thread takes them straight to the model, more take batches of them."""
+        if self.threads == 1:
+            tokenize, out = self.tokenizer.model.tokenize, {}
+            for s in new:
+                ids = [t.id for t in tokenize(s.decode().replace(" ", SPACE))]
+                out[s] = struct.pack(f"<{len(ids)}i", *ids)
+            return out
+        out = dict(zip(new, self.raw([s[1:].decode() for s in new])))
         # the normaliser adds no prefix to an empty text, but a lone blank is a piece
-        if b" " in self.cache and not self.cache[b" "]:
-            self.cache[b" "] = np.array([self.tokenizer.token_to_id(SPACE)], "<i4").tobytes()
-        return [b"".join(map(self.cache.__getitem__, ss)) for ss in cut]
+        if b" " in out:
+            out[b" "] = struct.pack("<i", self.tokenizer.token_to_id(SPACE))
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The (normalised) text of ids; bytes that are no UTF-8 become the replacement character."""
