@@ -86,9 +86,9 @@ def _literal_runs(tokens: list[tuple[str, str]]) -> tuple[str, str, str]:
 def _simple(pattern: str) -> list[tuple[str, str]]:
     """Tokens of a simple path pattern; ``**/`` counts as ``**``."""
     out = []
-    for m in re.finditer(r"\*\*/?|\*|\?|[/\\]|(?s:.)", pattern):
+    for m in re.finditer(r"\*\*|\*|\?|[/\\]|(?s:.)", pattern.replace("**/", "**")):
         t = m.group()
-        if t.startswith("**"):
+        if t == "**":
             out.append(("any", "[\\s\\S]*"))
         elif t == "*":
             out.append(("star", r"[^/\\]*"))
