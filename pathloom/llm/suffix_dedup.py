@@ -18,7 +18,8 @@ share theirs. The windows of one anchor form a stretch, some 1.5 times
    leading tokens repeat while its stretch doesn't is contested: some windows
    may repeat. Contested stretches, and one of each repeated stretch with the
    same leading tokens, meet and are compared window by window; if there are
-   many (the edges of a shared passage), by digests of windows, dealt out evenly.
+   many (the edges of a shared passage), by digests of windows, dealt out evenly
+   and packed, what repeats within a task being folded first.
 3. The windows found are merged into spans per document.
 
 Defined results: a null text has no bytes; texts under ``length`` bytes have no
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, fresh_name, scanned, small_batches, text_bytes, with_row_key, written
 from .mixing import mixed64
-from .ngram_join import _units
+from .packing import narrow, pack, runs, units, unpack
 from .shingles import _power
 
 U = np.uint64
@@ -178,7 +179,7 @@ ALONE, CONTESTED, REPEATED = 0, 1, 2
 def _judged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's suffixes that repeat, are contested, or may be so across its boundaries (``edge``: first or last
     leading tokens); and its first and last key (windows 0)."""
-    for t in _units(it, ["bucket"]):
+    for t in units(it, ["bucket"]):
         order = multikey_sort([t.column(c).to_numpy().view(U) for c in NAMES[:4]])
         t = t.take(pa.array(order))
         t0, lead, d1, d2 = (t.column(c).to_numpy() for c in NAMES[:4])
@@ -212,7 +213,7 @@ def _compared(rule: Rule):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = xxhash.xxh3_128_digest
-        for t in _units(it, ["t0", "lead"]):
+        for t in units(it, ["t0", "lead"]):
             seen: dict[bytes, tuple[int, int]] = {}
             bodies, counts = t.column("body").to_pylist(), t.column("windows").to_pylist()
             hit = [np.zeros(n, bool) for n in counts]
@@ -235,15 +236,92 @@ def _spans(t: pa.Table, hit: list[np.ndarray], rule: Rule) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["file", "row", "begin", "end"])
 
 
-def _windows(rule: Rule):
+PACKED = "kind int, bucket int, body binary"
+FIRST, MARKED = 0, 1
+
+
+def _dealt(kind: int, bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of numbers as one packed row per bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, starts = bucket[order], runs(bucket[order])
+    rows = [(kind, int(bucket[a]), pack(*(narrow(c[order[a:b]]) if c.dtype.kind in "ib" and c.min() >= 0 else c[order[a:b]] for c in columns))) for a, b in zip(starts, np.append(starts[1:], len(order)))]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["kind", "bucket", "body"])
+
+
+def _of_row(file: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    return (mixed64(file.view(U) + row.view(U)) % U(n)).astype(np.int64)
+
+
+def _windows(rule: Rule, n: int):
+    """Windows of crowded stretches by digest, packed. What repeats within a task is marked at once, and only the
+    first of each digest goes on, so a window that very many documents have is one row per task."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = xxhash.xxh3_128_digest
+        held, size = [], 0
+
+        def flush():
+            d1, d2, file, row, place = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            order = np.lexsort((d2, d1))
+            new = np.ones(len(order), bool)
+            new[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
+            first = np.flatnonzero(new)
+            many = np.diff(np.append(first, len(order))) > 1
+            marked = order[np.repeat(many, np.diff(np.append(first, len(order))))]
+            if len(marked):
+                yield from _dealt(MARKED, _of_row(file[marked], row[marked], n), [file[marked], row[marked], place[marked]])
+            one = order[first]
+            yield from _dealt(FIRST, (d1[one].view(U) % U(n)).astype(np.int64), [d1[one], d2[one], file[one], row[one], place[one], many])
+
         for batch in batches(it, 1 << 18, "body"):
             counts = np.array(batch.column("windows").to_pylist(), np.int64)
-            d = np.frombuffer(b"".join(x(b[j : j + rule.length]) for b, n in zip(batch.column("body").to_pylist(), counts.tolist()) for j in range(n)), "<i8").reshape(-1, 2)
+            d = np.frombuffer(b"".join(x(b[j : j + rule.length]) for b, n_ in zip(batch.column("body").to_pylist(), counts.tolist()) for j in range(n_)), "<i8").reshape(-1, 2)
             of = np.repeat(np.arange(len(counts)), counts)
             place = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + batch.column("first").to_numpy()[of]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), *(batch.column(c).take(pa.array(of)) for c in ("file", "row")), pa.array(place)], ["w1", "w2", "file", "row", "begin"])
+            held.append((np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), *(batch.column(c).to_numpy()[of] for c in ("file", "row")), place))
+            size += len(of)
+            if size > 400_000:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _repeated(n: int):
+    """Of the firsts of all tasks, those that another task has too."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in units(it, ["bucket"]):
+            d1, d2, file, row, place, many = (np.concatenate(c) for c in zip(*map(unpack, t.column("body").to_pylist())))
+            order = np.lexsort((d2, d1))
+            new = np.ones(len(order), bool)
+            new[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
+            size = np.diff(np.append(np.flatnonzero(new), len(order)))
+            hit = order[np.repeat(size > 1, size) & (many[order] == 0)]
+            if len(hit):
+                file, row = file[hit].astype(np.int64), row[hit].astype(np.int64)
+                yield from _dealt(MARKED, _of_row(file, row, n), [file, row, place[hit].astype(np.int64)])
+
+    return run
+
+
+def _joined_windows(rule: Rule):
+    """Marked windows of a bucket of documents, as spans of neighbouring ones."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in units(it, ["bucket"]):
+            file, row, place = (np.concatenate(c).astype(np.int64) for c in zip(*map(unpack, t.column("body").to_pylist())))
+            order = np.lexsort((place, row, file))
+            file, row, place = file[order], row[order], place[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (file[1:] != file[:-1]) | (row[1:] != row[:-1]) | (place[1:] > place[:-1] + 1)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(order)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (file[first], row[first], place[first], place[last] + rule.length)], ["file", "row", "begin", "end"])
 
     return run
 
@@ -298,9 +376,10 @@ def spans(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     wanted = both.join(crowds, ["t0", "lead"]).groupBy("file", "row").agg(F.collect_list(F.struct("t0", "lead", "first", "windows", "crowd")).alias("wanted"))
     bodies = written(keyed.join(wanted, ["file", "row"]).mapInArrow(_cut_stretches(rule), "file long, row long, t0 long, lead long, first long, windows int, crowd boolean, body binary"), "stretches")
     few = bodies.where("not crowd").drop("crowd").repartition("t0", "lead").sortWithinPartitions("t0", "lead").mapInArrow(_compared(rule), "file long, row long, begin long, end long")
-    windows = written(bodies.where("crowd").mapInArrow(_windows(rule), "w1 long, w2 long, file long, row long, begin long"), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    many = windows.join(twice, ["w1", "w2"], "left_semi").select("file", "row", "begin", (F.col("begin") + rule.length).alias("end"))
+    packed = written(bodies.where("crowd").mapInArrow(_windows(rule, n), PACKED), "windows")
+    elsewhere = packed.where(F.col("kind") == FIRST).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_repeated(n), PACKED)
+    marks = packed.where(F.col("kind") == MARKED).union(elsewhere)
+    many = marks.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_joined_windows(rule), "file long, row long, begin long, end long")
     return whole.union(few).union(many)
 
 
