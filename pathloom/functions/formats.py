@@ -104,3 +104,23 @@ def parse_extensions(text: Column | str, separator: str = ";") -> Column:
 
     trimmed = F.transform(F.split(_col(text), separator), lambda x: F.btrim(x, F.lit(" \t")))
     return F.transform(F.filter(trimmed, lambda x: x != ""), lambda x: ascii_lower(F.regexp_replace(x, r"^\*?\.", "")))
+
+
+#: Ticks that stand for no time: not loaded (greatest) and failed.
+NOT_LOADED_TICKS, FAILED_TICKS = (1 << 64) - 1, 1
+
+
+def ticks_state(ticks: Column | str) -> Column:
+    """What a tick count means: ``not_loaded``, ``failed``, or ``loaded``. Decimal input keeps all 64 bits."""
+    t = _col(ticks).cast("decimal(20,0)")
+    return F.when(t == F.lit(str(NOT_LOADED_TICKS)).cast("decimal(20,0)"), "not_loaded").when(t == FAILED_TICKS, "failed").otherwise("loaded")
+
+
+def is_epoch_time(ticks: Column | str) -> Column:
+    """Times in the year 1601, which stand for none."""
+    return (_col(ticks) >= 0) & (_col(ticks) < 366 * 86_400 * 10_000_000)
+
+
+def clamped(value: int, low: int, high: int) -> int:
+    """A setting brought into its range."""
+    return max(low, min(high, value))

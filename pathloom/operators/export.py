@@ -32,7 +32,8 @@ def export_csv(results: DataFrame, path: str) -> None:
         import pyarrow as pa
 
         yield pa.RecordBatch.from_arrays([pa.array([HEADER])], ["value"])
-        yield from batches
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string())], ["value"])
 
     lines.mapInArrow(headed, "value string").write.mode("overwrite").text(path)
 
