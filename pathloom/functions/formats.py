@@ -77,7 +77,8 @@ def relative_time(ms: Column | str, now_ms: Column) -> Column:
 
 def ticks_to_timestamp(ticks: Column | str) -> Column:
     """100 ns ticks since 1601 as a timestamp (the last digit is lost)."""
-    return F.timestamp_micros(F.floor(_col(ticks) / 10) - TICKS_TO_EPOCH_US)
+    t = _col(ticks).cast("long")
+    return F.timestamp_micros(F.call_function("div", t - F.pmod(t, F.lit(10)), F.lit(10)) - TICKS_TO_EPOCH_US)
 
 
 def timestamp_to_ticks(t: Column | str) -> Column:

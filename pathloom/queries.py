@@ -339,3 +339,23 @@ def hist_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "conversations")
     params: Column = F.struct(F.concat(F.lit(" "), "text").alias("filename"), F.lit("").alias("path"), F.concat(F.lit("B, a;;"), "role").alias("extensions"), F.lit(False).alias("folders_only"), F.lit(False).alias("case_sensitive"), F.lit(0).alias("time_filter"), F.lit(0).cast("long").alias("size_filter"), F.lit("").alias("ai_search_description"))
     return c.select("conv_id", "turn", params.alias("params"))
+
+
+# ---- the rest of the scalar functions, and small operators
+
+register("ks3_parse_extensions", "SELECT page_id AS id, unnest(list_filter(list_transform(string_split('.H; cpp ;;*.Md;' || page_id, ';'), lambda x: lower(regexp_replace(trim(x), '^[*]?[.]', ''))), lambda x: x <> '')) AS extension FROM pages")(
+    lambda s, d: _read(s, d, "pages").select(F.col("page_id").alias("id"), F.explode(formats.parse_extensions(F.concat(F.lit(".H; cpp ;;*.Md;"), F.col("page_id").cast("string")))).alias("extension"))
+)
+register("ks10_join_path", "SELECT page_id AS id, rtrim(url, '/') || '/' || 'x.txt' AS joined FROM pages")(
+    lambda s, d: _read(s, d, "pages").select(F.col("page_id").alias("id"), paths.join_path(paths.trim_separators("url"), F.when(F.col("page_id") % 2 == 0, "/x.txt").otherwise("x.txt")).alias("joined"))
+)
+register("g9_crawl_counts", CAT + " SELECT count(*) FILTER (id % 10 > 1) AS files, count(*) FILTER (id % 10 = 1) AS directories, count(*) FILTER (id % 10 = 0) AS errors FROM cat")(
+    lambda s, d: metrics.crawl_counts(cat_docs(s, d).select((F.col("id") % 10 == 1).alias("is_dir"), F.when(F.col("id") % 10 == 0, "denied").alias("error")))
+)
+register("kd4_ticks", "SELECT event_id, (epoch_us(ts) + 11644473600000000) * 10 AS ticks, ts FROM events")(
+    lambda s, d: _read(s, d, "events").select("event_id", formats.timestamp_to_ticks(F.col("ts").cast("timestamp")).alias("ticks"), "ts").select("event_id", "ticks", formats.ticks_to_timestamp("ticks").cast("timestamp_ntz").alias("ts"))
+)
+register("ki6_abbreviated", "SELECT page_id AS id, CASE WHEN page_id % 4 = 0 THEN 'a' WHEN page_id % 4 = 1 THEN 'a, b' ELSE 'a, b (+' || (page_id % 4 - 1) || ' more)' END AS shown FROM pages")(
+    lambda s, d: _read(s, d, "pages").select(F.col("page_id").alias("id"), formats.abbreviated(F.slice(F.array(*map(F.lit, "abcd")), F.lit(1), (F.col("page_id") % 4 + 1).cast("int"))).alias("shown"))
+)
+register("kd3_display_time", CAT + " SELECT id, strftime(mtime, '%Y-%m-%d %H:%M') AS shown FROM cat")(lambda s, d: cat_docs(s, d).select("id", formats.file_time("mtime").alias("shown")))
