@@ -82,6 +82,14 @@ def ancestors(path: Column | str) -> Column:
     return F.when(F.length(p) >= 2, F.filter(cut, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
+def ancestor_keys(path: Column | str) -> Column:
+    """The path keys of all ancestors, a step per component; the root of ``/x`` is ''."""
+    parts = F.split(path_key(path), "/")
+    n = F.size(parts)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    return F.when(n >= 2, cut).otherwise(F.array().cast("array<string>"))
+
+
 def components(path: Column | str) -> Column:
     """struct(full_path, filename, extension, directory, has_extension)."""
     ext = extension(path)

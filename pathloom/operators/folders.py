@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, path_key
+from ..functions.paths import ancestor_keys, path_key
 from .filters import live
 
 
@@ -15,9 +15,7 @@ def folder_totals(catalog: DataFrame) -> DataFrame:
     Each file counts once for each of its ancestors; partial sums keep the shuffle at one row per folder and task,
     however many files a folder holds. A root (``/``) is the folder ''."""
     files = catalog.where(live() & ~F.col("is_dir"))
-    above = F.transform(ancestors("full_path"), path_key)
-    above = F.when(F.left("full_path", F.lit(1)).isin("/", "\\"), F.concat(F.array(F.lit("")), above)).otherwise(above)
-    each = files.select(F.explode(above).alias("folder"), F.coalesce("size_bytes", F.lit(0)).alias("n"))
+    each = files.select(F.explode(ancestor_keys("full_path")).alias("folder"), F.coalesce("size_bytes", F.lit(0)).alias("n"))
     return each.groupBy("folder").agg(F.sum("n").alias("total_size"), F.count("*").alias("file_count"))
 
 
