@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, fresh_name, scanned, small_batches, text_bytes, with_row_key, written
 from .components import components
+from .packing import units
 from .shingles import sets
 
 U = np.uint64
@@ -51,6 +52,7 @@ SKETCH_BITS = 22
 PARTS = 64  # rows in which a fixed-size array is merged
 BLOOM_BITS = 26
 BLOOM_HASHES = 4
+SLICE = 1 << 20  # text bytes that are hashed at a time, at 40 or so bytes of memory each
 BLOCK = 512  # rows of an n-gram that meet in one unit of work
 
 
@@ -99,11 +101,16 @@ def ranks(docs: DataFrame, rule: Rule) -> np.ndarray:
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches(it):
-            found = [s for s in sets(text_bytes(batch), rule.words) if len(s)]
-            if found:
-                at = (np.concatenate(found) & U((1 << SKETCH_BITS) - 1)).astype(np.int64)
-                array += np.bincount(at, minlength=len(array)).astype(np.uint32)
+        held, size = [], 0
+        for batch in batches(it, SLICE):
+            for s in sets(text_bytes(batch), rule.words):
+                held.append((s & U((1 << SKETCH_BITS) - 1)).astype(np.int32))
+                size += len(s)
+            if size > 2_000_000:
+                array += np.bincount(np.concatenate(held), minlength=len(array)).astype(np.uint32)
+                held, size = [], 0
+        if size:
+            array += np.bincount(np.concatenate(held), minlength=len(array)).astype(np.uint32)
         if array.any():
             yield _emit_parts(array)
 
@@ -115,39 +122,42 @@ def ranks(docs: DataFrame, rule: Rule) -> np.ndarray:
 # ---- prefixes
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A set's sizes in 64 hash ranges, at most 255 each: they bound overlaps from above."""
+    return np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+
+
+PREFIXES = "file long, row long, doc_id long, d binary, n long, sketch binary, token long, d1 long, d2 long, size_place long"
+
+
 def _prefix_rows(rule: Rule, shared):
-    """Rows of two kinds: (file, row, doc_id, d, n) of each document, and (token, d, n, pos) of each prefix n-gram."""
+    """Rows of two kinds: each document's, and (token, d1, d2, size_place) of each prefix n-gram; the latter are
+    narrow, since they are many: a digest as two numbers, set size and place as one."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(shared.value, np.uint8)
         seen: set[bytes] = set()
-        for batch in batches(it):
+        names = [x.split()[0] for x in PREFIXES.split(", ")]
+        kinds = [pa.binary() if "binary" in x else pa.int64() for x in PREFIXES.split(", ")]
+        for batch in batches(it, SLICE):
             found = sets(text_bytes(batch), rule.words)
-            names = [digest(s) for s in found]
-            n = np.array([len(s) for s in found], np.int64)
+            nodes = [digest(s) for s in found]
             tokens, owner, places = [], [], []
-            for i, (s, d) in enumerate(zip(found, names)):
+            for i, (s, d) in enumerate(zip(found, nodes)):
                 if not len(s) or d in seen:
                     continue
                 seen.add(d)
                 order = np.argsort(rank[(s & U((1 << SKETCH_BITS) - 1)).astype(np.int64)], kind="stable")[: rule.prefix(len(s))]
                 tokens.append(s[order])
                 owner.append(np.full(len(order), i))
-                places.append(np.arange(len(order)))
-            rows = len(found)
-            flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-            own = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-            pos = np.concatenate(places) if places else np.zeros(0, np.int64)
-            none = pa.nulls(len(flat), pa.int64())
-            d = pa.array(names, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column("file"), none]), pa.concat_arrays([batch.column("row"), none]), pa.concat_arrays([batch.column("doc_id"), none]),
-                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(flat)]), pa.concat_arrays([d, d.take(pa.array(own))]),
-                    pa.array(np.concatenate([n, n[own]])), pa.array(np.concatenate([np.full(rows, -1), pos])),
-                ],
-                ["file", "row", "doc_id", "token", "d", "n", "pos"],
-            )
+                places.append(np.arange(len(order)) | len(s) << 32)
+            values = [*(batch.column(c) for c in ("file", "row", "doc_id")), pa.array(nodes, pa.binary()), pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s) if len(s) else None for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*values, *(pa.nulls(len(found), k) for k in kinds[6:])], names)
+            if tokens:
+                d = np.frombuffer(b"".join(nodes), "<i8").reshape(-1, 2)[np.concatenate(owner)]
+                token = np.concatenate(tokens).view(np.int64)
+                columns = [pa.array(np.ascontiguousarray(c)) for c in (token, d[:, 0], d[:, 1], np.concatenate(places))]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(token), k) for k in kinds[:6]), *columns], names)
             if len(seen) > 500_000:
                 seen.clear()
 
@@ -155,38 +165,38 @@ def _prefix_rows(rule: Rule, shared):
 
 
 def _shared_tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, n, d), those whose token another node has too, each node once per token, with
-    the number of its block. One row is held back between batches."""
+    """Of rows sorted by token and node, those whose token another node has too, each node once per
+    token, with the number of its block. One row is held back between batches."""
     carry, run_at = None, 0  # the last distinct row, and its place among its token's rows
-    names = ["token", "d", "n", "pos"]
+    names = ["token", "d1", "d2", "size_place"]
 
-    def numbered(batch, shared, at):
+    def numbered(rows, shared, at):
         keep = np.flatnonzero(shared)
-        return batch.take(pa.array(keep)).append_column("block", pa.array((at[keep] // BLOCK).astype(np.int64)))
+        token, d1, d2, sp = (c[keep] for c in rows)
+        raw = np.ascontiguousarray(np.stack([d1, d2], axis=1).astype("<i8")).tobytes()
+        d = pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(token), d, pa.array(sp >> 32), pa.array(sp & 0xFFFFFFFF), pa.array((at[keep] // BLOCK).astype(np.int64))], ["token", "d", "n", "pos", "block"])
 
     for batch in it:
-        batch = batch.select(names)
+        rows = [batch.column(c).to_numpy() for c in names]
         if carry is not None:
-            batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
-        token = batch.column("token").to_numpy(zero_copy_only=False)
-        same = np.zeros(len(token), bool)
-        same[1:] = token[1:] == token[:-1]
-        d = np.array(batch.column("d").to_pylist(), object)
-        repeated = same.copy()
-        repeated[1:] &= d[1:] == d[:-1]
-        fresh = np.flatnonzero(~repeated)
-        batch, token = batch.take(pa.array(fresh)), token[fresh]
-        m = len(token)
-        first = np.ones(m, bool)
-        first[1:] = token[1:] != token[:-1]
+            rows = [np.concatenate(x) for x in zip(carry, rows)]
+        m = len(rows[0])
+        if not m:
+            continue
+        first, fresh = np.ones(m, bool), np.ones(m, bool)
+        first[1:] = rows[0][1:] != rows[0][:-1]
+        fresh[1:] = first[1:] | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
+        rows, first = [c[fresh] for c in rows], first[fresh]
+        m = len(first)
         base = np.maximum.accumulate(np.where(first, np.arange(m), 0))
         at = np.arange(m) - base
         if carry is not None:
             at[base == 0] += run_at
         shared = at > 0
         shared[:-1] |= ~first[1:]
-        yield numbered(batch.slice(0, m - 1), shared[: m - 1], at[: m - 1])
-        carry, run_at = batch.slice(m - 1), int(at[-1])
+        yield numbered([c[: m - 1] for c in rows], shared[: m - 1], at[: m - 1])
+        carry, run_at = [c[m - 1 :] for c in rows], int(at[-1])
     if carry is not None:
         yield numbered(carry, np.array([run_at > 0]), np.array([run_at]))
 
@@ -213,13 +223,13 @@ def _bloom_places(names: list[bytes]) -> np.ndarray:
 
 
 def _candidate_texts(docs: DataFrame, rule: Rule, bloom) -> DataFrame:
-    """(d, sketch, body): per candidate node its sizes in 64 hash ranges and its words, compressed."""
+    """(d, body): per candidate node its words, compressed."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bloom.value, np.uint8)
         zstd = zstandard.ZstdCompressor(level=3)
         seen: set[bytes] = set()
-        for batch in batches(it):
+        for batch in batches(it, SLICE):
             texts = text_bytes(batch)
             found = sets(texts, rule.words)
             names = [digest(s) for s in found]
@@ -229,14 +239,13 @@ def _candidate_texts(docs: DataFrame, rule: Rule, bloom) -> DataFrame:
             for i in np.flatnonzero(hit).tolist():
                 if len(found[i]) and names[i] not in seen:
                     seen.add(names[i])
-                    sizes = np.minimum(np.bincount((found[i] >> U(58)).astype(np.int64), minlength=64), 255).astype(np.uint8)
-                    rows.append((names[i], sizes.tobytes(), zstd.compress(b" ".join(texts[i].lower().split()))))
+                    rows.append((names[i], zstd.compress(b" ".join(texts[i].lower().split()))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], ["d", "sketch", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], ["d", "body"])
             if len(seen) > 500_000:
                 seen.clear()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "d binary, sketch binary, body binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "d binary, body binary")
 
 
 def _pairs(n1, p1, s1, n2, p2, s2, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +256,7 @@ def _pairs(n1, p1, s1, n2, p2, s2, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     ok = 100 * small >= rule.percent * large
     rest = np.minimum((n1 - p1)[:, None], (n2 - p2)[None, :])  # the n-gram itself and what follows
     ok &= np.minimum(p1[:, None], p2[None, :]) + rest >= need
-    far = np.full(ok.shape, 2**30, np.int64)
+    far = np.full(ok.shape, FAR, np.int64)
     i, j = np.nonzero(ok)
     for a in range(0, len(i), 1 << 16):
         x, y = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
@@ -255,22 +264,6 @@ def _pairs(n1, p1, s1, n2, p2, s2, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     return ok & (far <= total - 2 * need), far
 
 
-def _units(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of rows with equal keys, of a partition sorted by them."""
-    held: list[pa.RecordBatch] = []
-    for batch in it:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([*held, batch]).combine_chunks()
-        columns = [table.column(k).to_numpy() for k in keys]
-        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        for a, b in zip([0, *cuts[:-1]], cuts):
-            yield table.slice(a, b - a)
-        held = table.slice(cuts[-1] if len(cuts) else 0).to_batches()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _columns(t: pa.Table):
     sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, 64)
     return t.column("d").to_pylist(), t.column("n").to_numpy(), t.column("pos").to_numpy(), sketch
@@ -283,26 +276,53 @@ def _emit(pairs: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
 EMIT = 50_000
 
 
+FAR = 2**30
+
+
+OPEN = "a binary, b binary, token long, block long, n long, pos long, sketch binary"
+
+
 def _nearest(rule: Rule):
-    """Per unit, the pairs of each node with the two nodes that may be nearest."""
+    """Per unit, the pairs (a, b) of each node with the two nodes that may be nearest; and the rows (a, null,
+    token, ...) that may have partners: those that pass with one in their unit, and all of n-grams with more units."""
+
+    def rows(t: pa.Table, keep: np.ndarray) -> pa.RecordBatch:
+        t = t.take(pa.array(np.flatnonzero(keep))).combine_chunks()
+        columns = [t.column(c).combine_chunks() for c in ("d", "token", "block", "n", "pos", "sketch")]
+        return pa.RecordBatch.from_arrays([columns[0], pa.nulls(t.num_rows, pa.binary()), *columns[1:]], [x.split()[0] for x in OPEN.split(", ")])
+
+    def pairs(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        b = _emit(found)
+        nulls = [pa.nulls(len(found), pa.int64())] * 4 + [pa.nulls(len(found), pa.binary())]
+        return pa.RecordBatch.from_arrays([*b.columns, *nulls], [x.split()[0] for x in OPEN.split(", ")])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[bytes, bytes]] = set()
-        for t in _units(it, ["token", "block"]):
-            if t.num_rows < 2:
+        held: list[pa.RecordBatch] = []
+        for t in units(it, ["token", "block"]):
+            many = t.num_rows == BLOCK or t.column("block")[0].as_py() > 0
+            if t.num_rows < 2 and not many:
                 continue
             d, n, p, s = _columns(t)
             ok, far = _pairs(n, p, s, n, p, s, rule)
             np.fill_diagonal(ok, False)
-            far[~ok] = 2**30
-            for i in np.flatnonzero(ok.any(axis=1)).tolist():
+            far[~ok] = FAR
+            some = ok.any(axis=1)
+            for i in np.flatnonzero(some).tolist():
                 for j in np.argsort(far[i], kind="stable")[:2].tolist():
                     if ok[i, j]:
                         out.add((d[i], d[j]) if d[i] < d[j] else (d[j], d[i]))
+            if many or some.any():
+                held.append(rows(t, some | many))
+            if len(held) > 500:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
             if len(out) > EMIT:
-                yield _emit(out)
+                yield pairs(out)
                 out = set()
-        yield _emit(out)
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield pairs(out)
 
     return run
 
@@ -312,7 +332,7 @@ def _between(rule: Rule):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[bytes, bytes]] = set()
-        for t in _units(it, ["token", "i", "j"]):
+        for t in units(it, ["token", "i", "j"]):
             block = t.column("block").to_numpy()
             left, right = np.flatnonzero(block == t.column("i")[0].as_py()), np.flatnonzero(block == t.column("j")[0].as_py())
             d, n, p, s = _columns(t)
@@ -336,7 +356,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         un = zstandard.ZstdDecompressor()
         known: dict[bytes, np.ndarray] = {}
-        for batch in batches(it, 1 << 20, "y"):
+        for batch in batches(it, SLICE // 4, "y"):
             new: dict[bytes, bytes] = {}
             for k, v in (("a", "x"), ("b", "y")):
                 new |= {d: body for d, body in zip(batch.column(k).to_pylist(), batch.column(v).to_pylist()) if d not in known}
@@ -372,20 +392,21 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     docs = scanned(docs)
     rank = spark.sparkContext.broadcast(ranks(docs, rule).tobytes())
     keyed = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "file", "row")
-    rows = keyed.mapInArrow(_prefix_rows(rule, rank), "file long, row long, doc_id long, token long, d binary, n long, pos long")
-    found = written(rows, "prefixes")
-    documents = found.where("pos < 0").select("file", "row", "doc_id", "d", "n")
-    dealt = found.where("pos >= 0").select("token", "d", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "d")
+    found = written(keyed.mapInArrow(_prefix_rows(rule, rank), PREFIXES), "prefixes")
+    documents = found.where("file is not null").select("file", "row", "doc_id", "d", "n")
+    dealt = found.where("file is null").select("token", "d1", "d2", "size_place").repartition("token")
+    dealt = dealt.sortWithinPartitions("token", "size_place", "d1", "d2")
     shared = written(dealt.mapInArrow(_shared_tokens, "token long, d binary, n long, pos long, block long"), "shared")
-
-    bloom = spark.sparkContext.broadcast(_bloom(shared.select("d").distinct()))
-    nodes = shared.select("d").distinct()
-    texts = _candidate_texts(docs, rule, bloom).join(nodes, "d", "left_semi").dropDuplicates(["d"])
+    sketches = found.where("file is not null and n > 0").select("d", "sketch").groupBy("d").agg(F.first("sketch").alias("sketch"))
+    dealt = shared.join(sketches, "d").select("token", "block", "d", "n", "pos", "sketch").repartition("token", "block").sortWithinPartitions("token", "block")
+    near = written(dealt.mapInArrow(_nearest(rule), OPEN), "near")
+
+    first = near.where("token is null").select("a", "b").distinct()
+    drawn = near.where("token is not null").select("token", "block", F.col("a").alias("d"), "n", "pos", "sketch")
+    nodes = drawn.select("d").distinct()  # every node of a pair has a row that passed
+    bloom = spark.sparkContext.broadcast(_bloom(nodes))
+    texts = _candidate_texts(docs, rule, bloom).join(nodes, "d", "left_semi").groupBy("d").agg(F.first("body").alias("body"))
     texts = written(texts, "texts")
-    drawn = written(shared.join(texts.select("d", "sketch"), "d"), "drawn")
-
-    units = drawn.repartition("token", "block").sortWithinPartitions("token", "block")
-    first = units.mapInArrow(_nearest(rule), "a binary, b binary").distinct()
     links = written(_verified(first, texts, rule), "links")
     roots = written(components(links), "roots")
 
@@ -397,9 +418,9 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     others = open_.where("root != main").select("token", "block").distinct().groupBy("token").agg(F.collect_set("block").alias("blocks"))
     open_ = open_.join(others, "token")
     partner = F.explode(F.when(F.array_contains("blocks", F.col("block")), F.sequence(F.lit(0).cast("long"), "top")).otherwise(F.col("blocks")))
-    units = open_.withColumn("with", partner).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-    units = units.select("token", "i", "j", "block", "d", "n", "pos", "sketch", "root").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    more = units.mapInArrow(_between(rule), "a binary, b binary").distinct()
+    pairs = open_.withColumn("with", partner).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
+    pairs = pairs.select("token", "i", "j", "block", "d", "n", "pos", "sketch", "root").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    more = pairs.mapInArrow(_between(rule), "a binary, b binary").distinct()
     more = written(_verified(more, texts, rule), "links")
     links = links.union(more)
     roots = written(components(links), "roots")
