@@ -82,5 +82,23 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op8_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g FROM w
+), c AS (
+  SELECT doc_id, count(*) AS k FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 100 * i >= 90 * (cx.k + cy.k - i)
+), n AS (
+  SELECT x, y FROM e UNION SELECT y, x FROM e
+), r AS (
+  SELECT doc_id, doc_id AS root FROM documents UNION SELECT n.y, r.root FROM r JOIN n ON n.x = r.doc_id
+)
+SELECT d.doc_id, coalesce(any_value(c.k), 0) AS n_shingles, min(r.root) AS component_id FROM documents d JOIN r USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY 1
 """,
 }
