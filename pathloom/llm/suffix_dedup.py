@@ -48,7 +48,8 @@ from .shingles import _power
 U = np.uint64
 PLACE = U((1 << 24) - 1)
 SLICE = 1 << 20  # bytes whose hashes are in memory at a time
-SAMPLE = 65536  # keys that splitters are drawn from
+SAMPLE_DOCS = 3000  # documents, about, that splitters are drawn from
+SAMPLE = 65536  # keys of theirs, at most
 CROWD = 256  # stretches with the same leading tokens that are compared in one place
 
 
@@ -198,8 +199,8 @@ def _judged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _splitters(keyed: DataFrame, rule: Rule, n: int):
-    """``n - 1`` keys that cut a bounded sample of the suffixes evenly."""
-    sample = keyed.sample(0.02, seed=11).mapInArrow(_suffixes(rule, None), KEYED + ", bucket int")
+    """``n - 1`` keys that cut the suffixes of a bounded sample of documents evenly."""
+    sample = keyed.sample(min(1.0, SAMPLE_DOCS / max(1, keyed.count())), seed=11).mapInArrow(_suffixes(rule, None), KEYED + ", bucket int")
     rows = sample.orderBy(F.xxhash64("file", "row", "first")).limit(SAMPLE).select("t0", "lead", "d1", "file", "row", "first").toPandas()
     if not len(rows):
         return np.zeros(0, "S32")
