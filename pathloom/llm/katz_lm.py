@@ -43,60 +43,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, small_batches, text_bytes, written
 from .mixing import mixed64
-from .ngram_join import _units
+from .packing import narrow, pack, runs, spread, units, unpack
 from .shingles import word_hashes
 
 U = np.uint64
 K = 5
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
+CELLS = 2  # parts of the tables per task, which goes through them one by one and holds no more
 BEGIN, END, WORDS = 0, 1, 2  # ids of the begin and of the end; words' ids follow
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes, equal places of numbers side by side."""
-    out = [np.array([len(arrays)], "<i8").tobytes()]
-    for a in arrays:
-        out.append(a.dtype.str.encode().ljust(8) + np.array([len(a)], "<i8").tobytes())
-        out.append(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def unpack(body: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(body), 8, []
-    for _ in range(int(np.frombuffer(raw, "<i8", 1)[0])):
-        kind, n = np.dtype(raw[at : at + 8].decode().strip()), int(np.frombuffer(raw, "<i8", 1, at + 8)[0])
-        at += 16
-        x = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(x.T).view(kind).ravel())
-        at += n * kind.itemsize
-    return out
-
-
-def narrow(x: np.ndarray) -> np.ndarray:
-    """The same non-negative numbers in the narrowest kind."""
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
-
-
-def runs(sorted_: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal values."""
-    new = np.ones(len(sorted_), bool)
-    new[1:] = sorted_[1:] != sorted_[:-1]
-    return np.flatnonzero(new)
-
-
-def spread(sizes: np.ndarray) -> np.ndarray:
-    """0 repeated sizes[0] times, 1 sizes[1] times, and so on."""
-    return np.repeat(np.arange(len(sizes)), sizes)
-
-
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
@@ -162,7 +124,7 @@ def _code(parts: int):
                 x.clear()
             tokens, seq = 0, seq + 1
 
-        for batch in batches(it):
+        for batch in batches(it, 1 << 20):
             h, n = word_hashes(text_bytes(batch))
             hashes.append(h)
             counts.append(n)
@@ -178,7 +140,7 @@ def _code(parts: int):
 
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A part of the word table: counts and places answered to each block, and the part's sums."""
-    for t in _units(it, ["part"]):
+    for t in units(it, ["part"]):
         part, blocks = t.column("part")[0].as_py(), t.column("block").to_pylist()
         lists = [unpack(b) for b in t.column("body").to_pylist()]
         words, place = np.unique(np.concatenate([x[0] for x in lists]), return_inverse=True)
@@ -215,7 +177,7 @@ def _pair(totals: Totals, cells: int):
     crowd = totals.tokens / (2 * cells)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _units(it, ["block"]):
+        for t in units(it, ["block"]):
             block = t.column("block")[0].as_py()
             kinds = t.column("kind").to_pylist()
             rows = list(zip(kinds, t.column("part").to_pylist(), t.column("body").to_pylist()))
@@ -264,7 +226,9 @@ def _pair(totals: Totals, cells: int):
                 if len(p):
                     heads = runs(h[p])
                     one = h[p][heads]
-                    body = pack(np.diff(ids[one], prepend=0), narrow(c[one]), narrow(np.diff(np.append(heads, len(p)))), narrow(ids[w[p]]), narrow(c[w[p]]), narrow(train[p]), narrow(posts[p]), narrow(d[q]), narrow(times[q]))
+                    words, which = np.unique(w[p], return_inverse=True)  # the block's order is that of ids
+                    sizes = np.diff(np.append(heads, len(p)))
+                    body = pack(narrow(np.diff(ids[one], prepend=0)), narrow(c[one]), narrow(sizes), narrow(np.diff(ids[words], prepend=0)), narrow(c[words]), narrow(which), narrow(train[p]), narrow(posts[p]), narrow(d[q]), narrow(times[q]))
                     out.append(_row(PAIRS, block, k, docs, body))
             if out:
                 yield _out(out)
@@ -281,7 +245,7 @@ def _sum(totals: Totals, cells: int):
     crowd = totals.tokens / (2 * cells)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _units(it, ["part"]):
+        for t in units(it, ["part"]):
             cell = t.column("part")[0].as_py()
             kinds, blocks, sizes, bodies = (t.column(x).to_pylist() for x in ("kind", "block", "n", "body"))
             for k, block, n, body in zip(kinds, blocks, sizes, bodies):
@@ -290,44 +254,48 @@ def _sum(totals: Totals, cells: int):
             mine = [i for i, k in enumerate(kinds) if k == PAIRS]
             if not mine:
                 continue
-            rows = [[x.astype(np.int64) for x in unpack(bodies[i])] for i in mine]
+            rows = [unpack(bodies[i]) for i in mine]
             bodies.clear()
-            h = np.concatenate([np.cumsum(r[0])[spread(r[2])] for r in rows])
-            ch = np.concatenate([r[1][spread(r[2])] for r in rows])
-            w, cw, train, posts = (np.concatenate([r[j] for r in rows]) for j in (3, 4, 5, 6))
-            of_row = [r[7:] for r in rows]
-            ends = np.cumsum([len(r[3]) for r in rows])
+            h = np.concatenate([np.repeat(np.cumsum(r[0], dtype=np.int64), r[2]) for r in rows])
+            ch = np.concatenate([np.repeat(r[1], r[2]) for r in rows])
+            w = np.concatenate([np.cumsum(r[3], dtype=np.int64)[r[5]] for r in rows])
+            cw = np.concatenate([r[4][r[5]] for r in rows])
+            train, posts = (np.concatenate([r[j] for r in rows]) for j in (6, 7))  # as narrow as they came
+            of_row = [r[8:] for r in rows]
+            ends = np.cumsum([len(r[5]) for r in rows])
             del rows
             order = np.lexsort((w, h))
             new = np.ones(len(order), bool)
             new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
-            pair = np.empty(len(order), np.int64)
+            pair = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
             pair[order] = np.cumsum(new) - 1
             one = order[new]
+            h, w, ch, cw = h[one], None, ch[one].astype(np.int64), cw[one]
+            del order, new
             c = np.bincount(pair, weights=train, minlength=len(one)).astype(np.int64)
             # histories: numbers of pairs by count, mass of the frequent ones, probability of all words seen after
-            hh, of = np.unique(h[one], return_inverse=True)
+            hh, of = np.unique(h, return_inverse=True)
             m = np.stack([np.bincount(of[c == r], minlength=len(hh)) for r in range(1, K + 1)])
             big = np.bincount(of, weights=np.where(c > K, c, 0), minlength=len(hh))
-            seen_mass = np.bincount(of, weights=np.where(c > 0, totals.unigrams.p(cw[one]), 0.0), minlength=len(hh))
+            seen_mass = np.bincount(of, weights=np.where(c > 0, totals.unigrams.p(cw), 0.0), minlength=len(hh))
             count_h = np.zeros(len(hh), np.int64)
-            count_h[of] = ch[one]
+            count_h[of] = ch
             hot = count_h > crowd
             scaled = (m.sum(axis=0) == 0) & (big > 0)  # no discounted mass as far as this cell can tell
             # per pair: class, value known now, whether its history's weight is to come
             fixed = np.where(c > K, _log(c), 0.0) - _log(count_h[of])
             fixed += np.where((scaled & ~hot)[of], _log(count_h)[of] - np.log10(count_h[of] + 1.0), 0.0)
-            fixed = np.where(c > 0, fixed, np.log10(totals.unigrams.p(cw[one])))
+            fixed = np.where(c > 0, fixed, np.log10(totals.unigrams.p(cw)))
             later = (count_h[of] > 0) & ((c == 0) | (hot & scaled)[of])
             kind = np.where((c > 0) & (c <= K), c, 0)
             asked: list[tuple[np.ndarray, ...]] = []
             begin = 0
             for i, end, (n_docs, times) in zip(mine, ends.tolist(), of_row):
-                own = pair[begin:end][spread(posts[begin:end])]
+                own = np.repeat(pair[begin:end], posts[begin:end])
                 begin = end
                 docs = sizes[i]
                 sums = np.bincount(n_docs, weights=times * fixed[own], minlength=docs)
-                by = np.bincount(kind[own] * docs + n_docs, weights=times, minlength=(K + 1) * docs).astype(np.int64)[docs:]
+                by = np.bincount(kind[own] * docs + n_docs.astype(np.int64), weights=times, minlength=(K + 1) * docs).astype(np.int64)[docs:]
                 yield _out([_row(SUMS, blocks[i], cell, docs, pack(sums, narrow(by)))])
                 q = np.flatnonzero(later[own])
                 if len(q):
@@ -384,7 +352,7 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _finish(d: np.ndarray, total: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = np.log10(d * np.arange(1, K + 1))
-        for t in _units(it, ["block"]):
+        for t in units(it, ["block"]):
             score = None
             rows = list(zip(t.column("kind").to_pylist(), t.column("body").to_pylist()))
             ids, null, held, n, known, base = unpack(next(b for k, b in rows if k == BASE))
@@ -407,17 +375,18 @@ def score(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     small_batches(spark)
-    cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells, of_task = CELLS * tasks, F.col("part") % tasks
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     coded = written(slim.mapInArrow(_code(cells), ROW), "coded")
     lists = coded.where(F.col("kind") == LIST)
-    answered = written(lists.repartitionById(cells, F.col("part")).sortWithinPartitions("part", "block").mapInArrow(_count, ROW), "words")
+    answered = written(lists.repartitionById(tasks, of_task).sortWithinPartitions("part", "block").mapInArrow(_count, ROW), "words")
     train_docs = coded.where(F.col("kind") == DOCS).agg(F.sum("n")).first()[0] or 0
     totals = Totals(answered.where(F.col("kind") == STATS).collect(), train_docs, cells)
 
     both = coded.where(F.col("kind") == DOCS).union(answered.where(F.col("kind") == ANSWER))
     paired = both.repartition("block").sortWithinPartitions("block").mapInArrow(_pair(totals, cells), ROW)
-    summed = written(paired.repartitionById(cells, F.col("part")).sortWithinPartitions("part", "block").mapInArrow(_sum(totals, cells), ROW), "sums")
+    summed = written(paired.repartitionById(tasks, of_task).sortWithinPartitions("part", "block").mapInArrow(_sum(totals, cells), ROW), "sums")
 
     n, hot = np.zeros(K + 1, np.int64), {}
     for row in summed.where(F.col("kind") == STATS).collect():

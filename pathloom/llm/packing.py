@@ -15,7 +15,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         out.append(a.dtype.str.encode().ljust(8) + np.array([len(a)], "<i8").tobytes())
         out.append(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def unpack(body: bytes) -> list[np.ndarray]:
