@@ -12,14 +12,14 @@ node from the start, whatever their number. Two nodes link when
    ``n - ceil(percent * n / 100) + 1`` n-grams. Prefix rows are dealt out by
    n-gram; n-grams that only one node has fall away as they stream by.
 3. Candidates pass the length filter, the positional filter and a suffix
-   filter: set sizes in 64 hash ranges bound the overlap from above.
+   filter: set sizes in 256 hash ranges bound the distance from below.
 4. Every distinct candidate pair that is left is verified once against the
    texts.
 
 Groups of copies would make quadratically many pairs, and components don't need
-them: first each node meets only the two most similar nodes (by the suffix
-bound) of each block of an n-gram's rows, then, with the components so found,
-all candidate pairs *between* components are verified, in blocks, so a frequent
+them: first each block of an n-gram's rows gives a spanning forest of its most
+similar pairs (by the suffix bound), then, with the components so found, all
+candidate pairs *between* components are verified, in blocks, so a frequent
 n-gram's rows are many tasks. No link between components is lost, and no cap
 applies anywhere.
 
@@ -53,13 +53,13 @@ PARTS = 64  # rows in which a fixed-size array is merged
 BLOOM_BITS = 26
 BLOOM_HASHES = 4
 SLICE = 1 << 20  # text bytes that are hashed at a time, at 40 or so bytes of memory each
-BLOCK = 512  # rows of an n-gram that meet in one unit of work
 
 
 @dataclass(frozen=True)
 class Rule:
     words: int = 5
     percent: int = 80
+    block: int = 512  # rows of an n-gram that meet in one unit of work
 
     def prefix(self, n: int) -> int:
         return n - -(-self.percent * n // 100) + 1
@@ -123,8 +123,18 @@ def ranks(docs: DataFrame, rule: Rule) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """A set's sizes in 64 hash ranges, at most 255 each: they bound overlaps from above."""
-    return np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+    """A set's sizes in 256 hash ranges, modulo 4, as two planes of bits (see ``distance``)."""
+    sizes = np.bincount((s >> U(56)).astype(np.int64), minlength=256)
+    return np.packbits(np.concatenate([sizes & 1, sizes >> 1 & 1]).astype(bool), bitorder="little").tobytes()
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of the number of members that only one of two sets has, for sketches as rows of eight words:
+    sizes that differ by d modulo 4 differ by 0, 1, 2 or 1 at least. Sets that nearly link differ by 0 or 1 in
+    almost every range, where the bound is exact."""
+    x = a ^ b
+    odd = x[..., :4]
+    return (np.bitwise_count(odd) + 2 * np.bitwise_count(x[..., 4:] & ~odd)).sum(axis=-1, dtype=np.int64)
 
 
 PREFIXES = "file long, row long, doc_id long, d binary, n long, sketch binary, token long, d1 long, d2 long, size_place long"
@@ -164,10 +174,10 @@ def _prefix_rows(rule: Rule, shared):
     return run
 
 
-def _shared_tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and node, those whose token another node has too, each node once per
-    token, with the number of its block. One row is held back between batches."""
-    carry, run_at = None, 0  # the last distinct row, and its place among its token's rows
+def _shared_tokens(rule: Rule):
+    """Of rows sorted by (token, size_place, d1, d2), those whose token another node of a fitting size has too (a
+    neighbour in this order, if any), each node once per token, with the number of its block. One row is held
+    back between batches."""
     names = ["token", "d1", "d2", "size_place"]
 
     def numbered(rows, shared, at):
@@ -175,30 +185,36 @@ def _shared_tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, d1, d2, sp = (c[keep] for c in rows)
         raw = np.ascontiguousarray(np.stack([d1, d2], axis=1).astype("<i8")).tobytes()
         d = pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(token), d, pa.array(sp >> 32), pa.array(sp & 0xFFFFFFFF), pa.array((at[keep] // BLOCK).astype(np.int64))], ["token", "d", "n", "pos", "block"])
+        return pa.RecordBatch.from_arrays([pa.array(token), d, pa.array(sp >> 32), pa.array(sp & 0xFFFFFFFF), pa.array((at[keep] // rule.block).astype(np.int64))], ["token", "d", "n", "pos", "block"])
 
-    for batch in it:
-        rows = [batch.column(c).to_numpy() for c in names]
-        if carry is not None:
-            rows = [np.concatenate(x) for x in zip(carry, rows)]
-        m = len(rows[0])
-        if not m:
-            continue
-        first, fresh = np.ones(m, bool), np.ones(m, bool)
-        first[1:] = rows[0][1:] != rows[0][:-1]
-        fresh[1:] = first[1:] | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
-        rows, first = [c[fresh] for c in rows], first[fresh]
-        m = len(first)
-        base = np.maximum.accumulate(np.where(first, np.arange(m), 0))
-        at = np.arange(m) - base
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, run_at, fits = None, 0, False  # the last distinct row, its place among its token's, whether it is shared
+        for batch in it:
+            rows = [batch.column(c).to_numpy() for c in names]
+            if carry is not None:
+                rows = [np.concatenate(x) for x in zip(carry, rows)]
+            if not len(rows[0]):
+                continue
+            first, fresh = np.ones(len(rows[0]), bool), np.ones(len(rows[0]), bool)
+            first[1:] = rows[0][1:] != rows[0][:-1]
+            fresh[1:] = first[1:] | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
+            rows, first = [c[fresh] for c in rows], first[fresh]
+            m = len(first)
+            base = np.maximum.accumulate(np.where(first, np.arange(m), 0))
+            at = np.arange(m) - base
+            if carry is not None:
+                at[base == 0] += run_at
+            n = rows[3] >> 32
+            pair = ~first[1:] & (100 * n[:-1] >= rule.percent * n[1:])
+            shared = np.append(pair, False)
+            shared[1:] |= pair
+            shared[0] |= fits
+            yield numbered([c[: m - 1] for c in rows], shared[: m - 1], at[: m - 1])
+            carry, run_at, fits = [c[m - 1 :] for c in rows], int(at[-1]), bool(shared[-1])
         if carry is not None:
-            at[base == 0] += run_at
-        shared = at > 0
-        shared[:-1] |= ~first[1:]
-        yield numbered([c[: m - 1] for c in rows], shared[: m - 1], at[: m - 1])
-        carry, run_at = [c[m - 1 :] for c in rows], int(at[-1])
-    if carry is not None:
-        yield numbered(carry, np.array([run_at > 0]), np.array([run_at]))
+            yield numbered(carry, np.array([fits]), np.array([run_at]))
+
+    return run
 
 
 # ---- candidates
@@ -260,13 +276,13 @@ def _pairs(n1, p1, s1, n2, p2, s2, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     i, j = np.nonzero(ok)
     for a in range(0, len(i), 1 << 16):
         x, y = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-        far[x, y] = np.abs(s1[x].astype(np.int16) - s2[y]).sum(axis=1)
+        far[x, y] = distance(s1[x], s2[y])
     return ok & (far <= total - 2 * need), far
 
 
 def _columns(t: pa.Table):
-    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, 64)
-    return t.column("d").to_pylist(), t.column("n").to_numpy(), t.column("pos").to_numpy(), sketch
+    sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(-1, 8)
+    return t.column("d").to_pylist(), t.column("n").to_numpy(), t.column("pos").to_numpy(), sketches
 
 
 def _emit(pairs: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -279,28 +295,42 @@ EMIT = 50_000
 FAR = 2**30
 
 
-OPEN = "a binary, b binary, token long, block long, n long, pos long, sketch binary"
+def _spanning(far: np.ndarray, some: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A minimum spanning forest of the pairs that pass (the others are FAR apart): pairs with the least bounds are
+    the likeliest to link, and no more are needed while they do."""
+    left = some.copy()
+    best, by = np.full(len(far), FAR, np.int64), np.zeros(len(far), np.int64)
+    while left.any():
+        u = int(np.argmin(np.where(left, best, FAR + 1)))
+        left[u] = False
+        if best[u] < FAR:
+            yield u, int(by[u])
+        nearer = far[u] < best
+        best[nearer], by[nearer] = far[u][nearer], u
+
+
+OPEN = "a binary, b binary, token long, block long, n long, pos long"
 
 
 def _nearest(rule: Rule):
-    """Per unit, the pairs (a, b) of each node with the two nodes that may be nearest; and the rows (a, null,
-    token, ...) that may have partners: those that pass with one in their unit, and all of n-grams with more units."""
+    """Per unit, the pairs (a, b) of a forest over the nearest pairs; and the rows (a, null, token, ...) that may
+    have partners: those that pass with one in their unit, and all of n-grams with more units."""
 
     def rows(t: pa.Table, keep: np.ndarray) -> pa.RecordBatch:
         t = t.take(pa.array(np.flatnonzero(keep))).combine_chunks()
-        columns = [t.column(c).combine_chunks() for c in ("d", "token", "block", "n", "pos", "sketch")]
+        columns = [t.column(c).combine_chunks() for c in ("d", "token", "block", "n", "pos")]
         return pa.RecordBatch.from_arrays([columns[0], pa.nulls(t.num_rows, pa.binary()), *columns[1:]], [x.split()[0] for x in OPEN.split(", ")])
 
     def pairs(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
         b = _emit(found)
-        nulls = [pa.nulls(len(found), pa.int64())] * 4 + [pa.nulls(len(found), pa.binary())]
+        nulls = [pa.nulls(len(found), pa.int64())] * 4
         return pa.RecordBatch.from_arrays([*b.columns, *nulls], [x.split()[0] for x in OPEN.split(", ")])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[bytes, bytes]] = set()
         held: list[pa.RecordBatch] = []
         for t in units(it, ["token", "block"]):
-            many = t.num_rows == BLOCK or t.column("block")[0].as_py() > 0
+            many = t.column("many")[0].as_py()
             if t.num_rows < 2 and not many:
                 continue
             d, n, p, s = _columns(t)
@@ -308,10 +338,8 @@ def _nearest(rule: Rule):
             np.fill_diagonal(ok, False)
             far[~ok] = FAR
             some = ok.any(axis=1)
-            for i in np.flatnonzero(some).tolist():
-                for j in np.argsort(far[i], kind="stable")[:2].tolist():
-                    if ok[i, j]:
-                        out.add((d[i], d[j]) if d[i] < d[j] else (d[j], d[i]))
+            for i, j in _spanning(far, some):
+                out.add((d[i], d[j]) if d[i] < d[j] else (d[j], d[i]))
             if many or some.any():
                 held.append(rows(t, some | many))
             if len(held) > 500:
@@ -394,15 +422,18 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     keyed = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "file", "row")
     found = written(keyed.mapInArrow(_prefix_rows(rule, rank), PREFIXES), "prefixes")
     documents = found.where("file is not null").select("file", "row", "doc_id", "d", "n")
-    dealt = found.where("file is null").select("token", "d1", "d2", "size_place").repartition("token")
-    dealt = dealt.sortWithinPartitions("token", "size_place", "d1", "d2")
-    shared = written(dealt.mapInArrow(_shared_tokens, "token long, d binary, n long, pos long, block long"), "shared")
+    dealt = found.where("file is null").select("token", "d1", "d2", "size_place").repartition("token").sortWithinPartitions("token", "size_place", "d1", "d2")
+    shared = written(dealt.mapInArrow(_shared_tokens(rule), "token long, d binary, n long, pos long, block long"), "shared")
     sketches = found.where("file is not null and n > 0").select("d", "sketch").groupBy("d").agg(F.first("sketch").alias("sketch"))
-    dealt = shared.join(sketches, "d").select("token", "block", "d", "n", "pos", "sketch").repartition("token", "block").sortWithinPartitions("token", "block")
+    # rows of a frequent n-gram are dealt to its blocks by hash: nodes fall into other blocks for each n-gram they
+    # share, so the forests of blocks grow together
+    blocks = shared.where("block > 0").groupBy("token").agg((F.max("block") + 1).alias("many"))
+    mixed = shared.join(blocks, "token", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("token", "d"), F.col("many")), F.lit(0)))
+    dealt = mixed.join(sketches, "d").select("token", "block", "d", "n", "pos", "sketch", F.col("many").isNotNull().alias("many")).repartition("token", "block").sortWithinPartitions("token", "block")
     near = written(dealt.mapInArrow(_nearest(rule), OPEN), "near")
 
     first = near.where("token is null").select("a", "b").distinct()
-    drawn = near.where("token is not null").select("token", "block", F.col("a").alias("d"), "n", "pos", "sketch")
+    drawn = near.where("token is not null").select("token", "block", F.col("a").alias("d"), "n", "pos")
     nodes = drawn.select("d").distinct()  # every node of a pair has a row that passed
     bloom = spark.sparkContext.broadcast(_bloom(nodes))
     texts = _candidate_texts(docs, rule, bloom).join(nodes, "d", "left_semi").groupBy("d").agg(F.first("body").alias("body"))
@@ -419,7 +450,7 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     open_ = open_.join(others, "token")
     partner = F.explode(F.when(F.array_contains("blocks", F.col("block")), F.sequence(F.lit(0).cast("long"), "top")).otherwise(F.col("blocks")))
     pairs = open_.withColumn("with", partner).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-    pairs = pairs.select("token", "i", "j", "block", "d", "n", "pos", "sketch", "root").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    pairs = pairs.join(sketches, "d").select("token", "i", "j", "block", "d", "n", "pos", "sketch", "root").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     more = pairs.mapInArrow(_between(rule), "a binary, b binary").distinct()
     more = written(_verified(more, texts, rule), "links")
     links = links.union(more)

@@ -149,9 +149,9 @@ def _links(texts, words, percent):
 
 
 @pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
-def test_ngram_join(docs, texts, words, percent, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 3)  # small units, so that blocks meet
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.label(docs, ngram_join.Rule(words, percent)).collect()}
+def test_ngram_join(docs, texts, words, percent):
+    rule = ngram_join.Rule(words, percent, block=3)  # small units, so that blocks meet
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.label(docs, rule).collect()}
     assert got == _links(texts, words, percent)
 
 
@@ -160,7 +160,7 @@ def test_near_copies_chain(spark):
     words = [f"w{i}" for i in range(130)]
     rows = [(k, " ".join(words[3 * k : 3 * k + 60])) for k in range(20)] + [(100, "alone and short"), (101, "x y z " * 50)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in ngram_join.label(df, ngram_join.Rule(3, 90)).collect()}
+    got = {r.doc_id: r.component_id for r in ngram_join.label(df, ngram_join.Rule(3, 90, block=2)).collect()}
     assert got == {i: c for i, (_, c) in _links(dict(rows), 3, 90).items()}
 
 
