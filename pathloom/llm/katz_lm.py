@@ -17,16 +17,13 @@ compressed arrays of blocks of documents:
 
 1. A block codes its texts by its own word list; the list goes, cut by hash, to
    the tables of words, which answer with counts and ids (request, response).
-2. Each block pairs neighbours and sends every distinct pair, with the documents
-   that hold it, to the pair's partition: that of ``h``, or, if ``h`` is so
-   frequent that it would fill one (there are at most twice as many such words
-   as partitions), that of ``h w``.
-3. A partition holds its pairs' counts. A document's score is linear in the
-   numbers of its tokens by count class, so partial sums per document are formed
-   there at once, before the discounts are known. Only tokens that back off
-   (never those of training documents) are kept per history, until the counts
-   of counts fix ``a(h)``.
-4. Partial sums meet per block.
+2. Each block pairs neighbours and sends every distinct pair to the pair's
+   partition: that of ``h``, or, if ``h`` is so frequent that it would fill one
+   (there are at most twice as many such words as partitions), that of ``h w``.
+   The partition answers with counts, and keeps what ``a(h)`` needs of histories
+   after which a block has unseen words (only held-out documents have them).
+3. Once the counts of counts fix the discounts, the weights of these histories
+   are answered, too, and each block scores its documents.
 
 The driver sees one row of sums per partition, and the frequent histories.
 
@@ -40,6 +37,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +88,7 @@ class Unigrams:
 
 
 ROW = "kind int, block long, part int, n long, body binary"
-DOCS, LIST, ANSWER, STATS, BASE, PAIRS, SUMS, BACKOFF = range(8)
+DOCS, LIST, ANSWER, STATS, PAIRS, COUNTS, BACKOFF, WEIGHTS = range(8)
 
 
 def _row(kind: int, block: int, part: int, n: int, body: bytes) -> tuple:
@@ -171,65 +169,92 @@ class Totals:
         self.begins = WORDS + np.cumsum(sizes) - sizes
         self.unigrams = Unigrams(n, self.tokens)
 
+    def crowd(self, cells: int) -> float:
+        """Histories more frequent than this are spread over all cells."""
+        return self.tokens / (2 * cells)
+
+
+@dataclass
+class Block:
+    """A block of documents with what the word tables answered: its tokens, and its distinct pairs by cell."""
+
+    doc_ids: np.ndarray
+    null: np.ndarray
+    held: np.ndarray
+    sizes: np.ndarray  # tokens per document
+    known: np.ndarray
+    base: np.ndarray
+    ids: np.ndarray  # of the block's words, by local number
+    count: np.ndarray
+    h: np.ndarray  # pairs, in order, as local numbers
+    w: np.ndarray
+    pair: np.ndarray  # postings: pair, document, times
+    doc: np.ndarray
+    times: np.ndarray
+    by: np.ndarray  # pairs by cell
+    begins: np.ndarray
+
+    def cell(self, k: int) -> np.ndarray:
+        return self.by[self.begins[k] : self.begins[k + 1]]
+
+
+def _block(rows: list[tuple[int, int, bytes]], totals: Totals, cells: int) -> Block:
+    """Of rows (kind, part, body) with one block's documents and answers."""
+    doc_ids, null, held, n, codes = unpack(next(b for k, _, b in rows if k == DOCS))
+    found = [(p, *unpack(b)) for p, b in sorted((p, b) for k, p, b in rows if k == ANSWER)]
+    ids = np.concatenate([np.array([BEGIN, END]), *(totals.begins[p] + place.astype(np.int64) for p, place, _ in found)])
+    c = np.concatenate([np.full(2, totals.train_docs), *(x.astype(np.int64) for *_, x in found)])
+    n = n.astype(np.int64)
+    docs, ends = len(n), np.cumsum(n + 1) - 1
+    word = np.full(int(ends[-1]) + 1, END, np.int64)
+    inner = np.ones(len(word), bool)
+    inner[ends] = False
+    word[inner] = codes.astype(np.int64) + 2
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[ends - n] = BEGIN
+    doc = spread(n + 1)
+    known = np.bincount(doc[c[word] > 0], minlength=docs)
+    base = np.bincount(doc, weights=np.log10((c[word] + 1) / (totals.tokens + totals.kinds + 1)), minlength=docs)
+
+    key = before << 32 | word
+    order = np.argsort(key, kind="stable")
+    key, d = key[order], doc[order]
+    del before, word, doc, order, inner
+    first = runs(key)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (d[1:] != d[:-1])
+    post = np.flatnonzero(new)
+    pair = np.searchsorted(first, post, side="right") - 1
+    times = np.diff(np.append(post, len(key)))
+    h, w, d = key[first] >> 32, key[first] & 0xFFFFFFFF, d[post]
+    spot = mixed64(ids[h].astype(U))
+    spot = np.where(c[h] > totals.crowd(cells), mixed64(spot + ids[w].astype(U)), spot)
+    cell = ((spot >> U(32)) * U(cells) >> U(32)).astype(np.int64)
+    by = np.argsort(cell, kind="stable")
+    return Block(doc_ids, null, held, n + 1, known, base, ids, c, h, w, pair, d, times, by, np.searchsorted(cell[by], np.arange(cells + 1)))
+
+
+def _of_unit(t: pa.Table) -> list[tuple[int, int, bytes]]:
+    return list(zip(t.column("kind").to_pylist(), t.column("part").to_pylist(), t.column("body").to_pylist()))
+
 
 def _pair(totals: Totals, cells: int):
-    """Blocks with their answers to base scores and pairs by cell."""
-    crowd = totals.tokens / (2 * cells)
+    """Blocks with their answers to their distinct pairs, by cell."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in units(it, ["block"]):
             block = t.column("block")[0].as_py()
-            kinds = t.column("kind").to_pylist()
-            rows = list(zip(kinds, t.column("part").to_pylist(), t.column("body").to_pylist()))
-            doc_ids, null, held, n, codes = unpack(next(b for k, _, b in rows if k == DOCS))
-            answers = sorted((p, b) for k, p, b in rows if k == ANSWER)
-            found = [(p, *unpack(b)) for p, b in answers]
-            ids = np.concatenate([np.array([BEGIN, END]), *(totals.begins[p] + place.astype(np.int64) for p, place, _ in found)])
-            c = np.concatenate([np.full(2, totals.train_docs), *(x.astype(np.int64) for *_, x in found)])
-            n, codes = n.astype(np.int64), codes.astype(np.int64) + 2
-            docs = len(n)
-            doc = spread(n + 1)
-            ends = np.cumsum(n + 1) - 1
-            word = np.full(len(doc), END, np.int64)
-            inner = np.ones(len(doc), bool)
-            inner[ends] = False
-            word[inner] = codes
-            before = np.empty_like(word)
-            before[1:] = word[:-1]
-            before[ends - n] = BEGIN
-            known = c[word] > 0
-            base = np.bincount(doc, weights=np.log10((c[word] + 1) / (totals.tokens + totals.kinds + 1)), minlength=docs)
-            yield _out([_row(BASE, block, block % cells, 0, pack(doc_ids, null, held, n + 1, np.bincount(doc[known], minlength=docs), base))])
-
-            order = np.argsort(before << 32 | word, kind="stable")
-            h, w, d = before[order], word[order], doc[order]
-            key = h << 32 | w
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (d[1:] != d[:-1])
-            post = np.flatnonzero(new)  # a pair in a document
-            times = np.diff(np.append(post, len(key)))
-            pair_of = np.cumsum(np.isin(post, runs(key))) - 1 if len(post) else post
-            first = runs(key)
-            h, w, d = h[first], w[first], d[post]
-            train = np.bincount(pair_of, weights=times * ~held[d], minlength=len(first)).astype(np.int64)
-            spot = mixed64(ids[h].astype(U))
-            spot = np.where(c[h] > crowd, mixed64(spot + ids[w].astype(U)), spot)
-            cell = ((spot >> U(32)) * U(cells) >> U(32)).astype(np.int64)
-            by = np.argsort(cell, kind="stable")
-            begins = np.searchsorted(cell[by], np.arange(cells + 1))
-            by_post = np.argsort(cell[pair_of], kind="stable")
-            post_begins = np.searchsorted(cell[pair_of][by_post], np.arange(cells + 1))
-            posts = np.bincount(pair_of, minlength=len(first))
+            x = _block(_of_unit(t), totals, cells)
+            train = np.bincount(x.pair, weights=x.times * ~x.held[x.doc], minlength=len(x.h)).astype(np.int64)
             out = []
             for k in range(cells):
-                p, q = by[begins[k] : begins[k + 1]], by_post[post_begins[k] : post_begins[k + 1]]
+                p = x.cell(k)
                 if len(p):
-                    heads = runs(h[p])
-                    one = h[p][heads]
-                    words, which = np.unique(w[p], return_inverse=True)  # the block's order is that of ids
-                    sizes = np.diff(np.append(heads, len(p)))
-                    body = pack(narrow(np.diff(ids[one], prepend=0)), narrow(c[one]), narrow(sizes), narrow(np.diff(ids[words], prepend=0)), narrow(c[words]), narrow(which), narrow(train[p]), narrow(posts[p]), narrow(d[q]), narrow(times[q]))
-                    out.append(_row(PAIRS, block, k, docs, body))
+                    h, heads = x.h[p], runs(x.h[p])
+                    words, which = np.unique(x.w[p], return_inverse=True)  # the block's order is that of ids
+                    body = pack(*map(narrow, (np.diff(x.ids[h[heads]], prepend=0), x.count[h[heads]], np.diff(np.append(heads, len(p))), np.diff(x.ids[words], prepend=0), x.count[words], which, train[p])))
+                    out.append(_row(PAIRS, block, k, 0, body))
             if out:
                 yield _out(out)
 
@@ -241,27 +266,18 @@ def _log(x: np.ndarray) -> np.ndarray:
 
 
 def _sum(totals: Totals, cells: int):
-    """A cell's pairs to partial sums of documents, backoff requests and the cell's counts of counts."""
-    crowd = totals.tokens / (2 * cells)
+    """A cell's pairs to counts, answered to each block; backoff requests; and the cell's counts of counts."""
+    crowd = totals.crowd(cells)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in units(it, ["part"]):
-            cell = t.column("part")[0].as_py()
-            kinds, blocks, sizes, bodies = (t.column(x).to_pylist() for x in ("kind", "block", "n", "body"))
-            for k, block, n, body in zip(kinds, blocks, sizes, bodies):
-                if k == BASE:
-                    yield _out([_row(BASE, block, 0, 0, body)])
-            mine = [i for i, k in enumerate(kinds) if k == PAIRS]
-            if not mine:
-                continue
-            rows = [unpack(bodies[i]) for i in mine]
-            bodies.clear()
+            cell, blocks = t.column("part")[0].as_py(), t.column("block").to_pylist()
+            rows = [unpack(b) for b in t.column("body").to_pylist()]
             h = np.concatenate([np.repeat(np.cumsum(r[0], dtype=np.int64), r[2]) for r in rows])
             ch = np.concatenate([np.repeat(r[1], r[2]) for r in rows])
             w = np.concatenate([np.cumsum(r[3], dtype=np.int64)[r[5]] for r in rows])
             cw = np.concatenate([r[4][r[5]] for r in rows])
-            train, posts = (np.concatenate([r[j] for r in rows]) for j in (6, 7))  # as narrow as they came
-            of_row = [r[8:] for r in rows]
+            train = np.concatenate([r[6] for r in rows])  # as narrow as they came
             ends = np.cumsum([len(r[5]) for r in rows])
             del rows
             order = np.lexsort((w, h))
@@ -273,75 +289,52 @@ def _sum(totals: Totals, cells: int):
             h, w, ch, cw = h[one], None, ch[one].astype(np.int64), cw[one]
             del order, new
             c = np.bincount(pair, weights=train, minlength=len(one)).astype(np.int64)
-            # histories: numbers of pairs by count, mass of the frequent ones, probability of all words seen after
+            # histories: numbers of pairs by count, and the probability of all words seen after
             hh, of = np.unique(h, return_inverse=True)
             m = np.stack([np.bincount(of[c == r], minlength=len(hh)) for r in range(1, K + 1)])
-            big = np.bincount(of, weights=np.where(c > K, c, 0), minlength=len(hh))
+            big = np.bincount(of[c > K], minlength=len(hh))
             seen_mass = np.bincount(of, weights=np.where(c > 0, totals.unigrams.p(cw), 0.0), minlength=len(hh))
             count_h = np.zeros(len(hh), np.int64)
             count_h[of] = ch
             hot = count_h > crowd
-            scaled = (m.sum(axis=0) == 0) & (big > 0)  # no discounted mass as far as this cell can tell
-            # per pair: class, value known now, whether its history's weight is to come
-            fixed = np.where(c > K, _log(c), 0.0) - _log(count_h[of])
-            fixed += np.where((scaled & ~hot)[of], _log(count_h)[of] - np.log10(count_h[of] + 1.0), 0.0)
-            fixed = np.where(c > 0, fixed, np.log10(totals.unigrams.p(cw)))
-            later = (count_h[of] > 0) & ((c == 0) | (hot & scaled)[of])
-            kind = np.where((c > 0) & (c <= K), c, 0)
-            asked: list[tuple[np.ndarray, ...]] = []
-            begin = 0
-            for i, end, (n_docs, times) in zip(mine, ends.tolist(), of_row):
-                own = np.repeat(pair[begin:end], posts[begin:end])
+            scaled = (m.sum(axis=0) == 0) & (big > 0) & ~hot
+            asks = ((count_h > 0) & ~hot)[of] & (c == 0)
+            asked, begin = [], 0
+            for block, end in zip(blocks, ends.tolist()):
+                own = pair[begin:end]
                 begin = end
-                docs = sizes[i]
-                sums = np.bincount(n_docs, weights=times * fixed[own], minlength=docs)
-                by = np.bincount(kind[own] * docs + n_docs.astype(np.int64), weights=times, minlength=(K + 1) * docs).astype(np.int64)[docs:]
-                yield _out([_row(SUMS, blocks[i], cell, docs, pack(sums, narrow(by)))])
-                q = np.flatnonzero(later[own])
-                if len(q):
-                    asked.append((of[own[q]], np.full(len(q), blocks[i]), n_docs[q], times[q], (c[own[q]] > 0).astype(np.int64)))
+                yield _out([_row(COUNTS, block, cell, 0, pack(narrow(c[own]), np.flatnonzero(scaled[of[own]] & (c[own] > 0))))])
+                if len(q := np.unique(of[own[asks[own]]])):
+                    asked.append((q, np.full(len(q), block)))
             n = np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
             x = np.flatnonzero(hot)
-            yield _out([_row(STATS, 0, cell, 0, pack(n, hh[x], m[:, x].ravel(), big[x], seen_mass[x]))])
+            yield _out([_row(STATS, 0, cell, 0, pack(n, hh[x], count_h[x], m[:, x].ravel(), big[x], seen_mass[x]))])
             if asked:
-                a = [np.concatenate(y) for y in zip(*asked)]
-                used, a[0] = np.unique(a[0], return_inverse=True)
-                yield _out([_row(BACKOFF, 0, cell, 0, pack(hh[used], narrow(count_h[used]), narrow(m[:, used].ravel()), big[used], seen_mass[used], hot[used], *map(narrow, a)))])
+                q, block = (np.concatenate(y) for y in zip(*asked))
+                used, q = np.unique(q, return_inverse=True)
+                yield _out([_row(BACKOFF, 0, cell, 0, pack(narrow(count_h[used]), narrow(m[:, used].ravel()), seen_mass[used], narrow(q), block))])
 
     return run
 
 
-def weights(d: np.ndarray, count: np.ndarray, m: np.ndarray, big: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weights(d: np.ndarray, count: np.ndarray, m: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 of a(h) and of s(h): the mass that discounts leave over the unigram mass of what wasn't seen."""
     r = np.arange(1, K + 1)[:, None]
-    left = ((1 - d[:, None]) * r * m).sum(axis=0) / count
     none = m.sum(axis=0) == 0
-    left = np.where(none, 1 / (count + 1.0), left)
+    left = np.where(none, 1 / (count + 1.0), ((1 - d[:, None]) * r * m).sum(axis=0) / count)
     return np.log10(left / (1 - seen)), np.where(none, np.log10(count / (count + 1.0)), 0.0)
 
 
-def _back_off(d: np.ndarray, hot: dict[int, tuple[np.ndarray, float, float]]):
-    """Backoff requests to sums of documents, by block."""
+def _back_off(d: np.ndarray):
+    """Backoff requests to weights, answered to each block in the order of its histories."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for body in batch.column("body").to_pylist():
-                h, count, m, big, seen, is_hot, of, block, doc, times, scaled = unpack(body)
-                m, big, seen = m.reshape(K, -1).astype(np.int64), big.copy(), seen.copy()
-                for i in np.flatnonzero(is_hot).tolist():
-                    m[:, i], big[i], seen[i] = hot[int(h[i])]
-                back, scale = weights(d, count.astype(np.int64), m, big, seen)
-                of, block = of.astype(np.int64), block.astype(np.int64)
-                value = times * np.where(scaled > 0, scale[of], back[of])
-                order = np.argsort(block, kind="stable")
-                starts = runs(block[order])
-                rows = []
-                for a, b in zip(starts, np.append(starts[1:], len(order))):
-                    q = order[a:b]
-                    docs = int(doc[q].max()) + 1
-                    sums = np.bincount(doc[q].astype(np.int64), weights=value[q], minlength=docs)
-                    rows.append(_row(SUMS, int(block[q[0]]), 0, docs, pack(sums, np.zeros(0, np.uint8))))
-                yield _out(rows)
+            for cell, body in zip(batch.column("part").to_pylist(), batch.column("body").to_pylist()):
+                count, m, seen, of, block = unpack(body)
+                back, _ = weights(d, count.astype(np.int64), m.reshape(K, -1).astype(np.int64), seen)
+                starts = runs(block)
+                yield _out([_row(WEIGHTS, int(block[a]), cell, 0, pack(back[of[a:b]])) for a, b in zip(starts, np.append(starts[1:], len(of)))])
 
     return run
 
@@ -349,24 +342,37 @@ def _back_off(d: np.ndarray, hot: dict[int, tuple[np.ndarray, float, float]]):
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _finish(d: np.ndarray, total: int):
+def _finish(totals: Totals, cells: int, d: np.ndarray, hot: dict[int, tuple[float, float]]):
+    """Blocks with all answers to scores."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = np.log10(d * np.arange(1, K + 1))
         for t in units(it, ["block"]):
-            score = None
-            rows = list(zip(t.column("kind").to_pylist(), t.column("body").to_pylist()))
-            ids, null, held, n, known, base = unpack(next(b for k, b in rows if k == BASE))
-            score = np.zeros(len(ids))
-            for k, body in rows:
-                if k == SUMS:
-                    sums, by = unpack(body)
-                    score[: len(sums)] += sums
-                    if len(by):
-                        score += r @ by.reshape(K, -1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=null), pa.array(held), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), total, np.int64)), pa.array(base), pa.array(score)],
-                [x.split()[0] for x in RESULT.split(", ")],
-            )
+            rows = _of_unit(t)
+            x = _block(rows, totals, cells)
+            c, extra = np.zeros(len(x.h), np.int64), np.zeros(len(x.h))
+            ch = x.count[x.h]
+            crowded = ch > totals.crowd(cells)
+            for k, cell, body in rows:
+                if k == COUNTS:
+                    counts, scaled = unpack(body)
+                    p = x.cell(cell)
+                    c[p] = counts
+                    extra[p[scaled]] = np.log10(ch[p[scaled]] / (ch[p[scaled]] + 1.0))
+            for k, cell, body in rows:
+                if k == WEIGHTS:
+                    p = x.cell(cell)
+                    p = p[(c[p] == 0) & (ch[p] > 0) & ~crowded[p]]
+                    extra[p] = unpack(body)[0][np.unique(x.h[p], return_inverse=True)[1]]
+            q = np.flatnonzero(crowded)
+            if len(q):
+                own, place = np.unique(x.ids[x.h[q]], return_inverse=True)
+                both = np.array([hot[i] for i in own.tolist()])[place]
+                extra[q] = np.where(c[q] > 0, both[:, 1], both[:, 0])
+            discounted = np.append(np.append(1.0, d), 1.0)[np.minimum(c, K + 1)] * c
+            value = np.where(c > 0, _log(discounted) - _log(ch), np.log10(totals.unigrams.p(x.count[x.w]))) + extra
+            score = np.bincount(x.doc, weights=x.times * value[x.pair], minlength=len(x.sizes))
+            columns = [pa.array(x.doc_ids, mask=x.null), pa.array(x.held), *map(pa.array, (x.sizes, x.known, np.full(len(x.sizes), totals.tokens, np.int64), x.base, score))]
+            yield pa.RecordBatch.from_arrays(columns, [y.split()[0] for y in RESULT.split(", ")])
 
     return run
 
@@ -386,16 +392,17 @@ def score(docs: DataFrame) -> DataFrame:
 
     both = coded.where(F.col("kind") == DOCS).union(answered.where(F.col("kind") == ANSWER))
     paired = both.repartition("block").sortWithinPartitions("block").mapInArrow(_pair(totals, cells), ROW)
-    summed = written(paired.repartitionById(tasks, of_task).sortWithinPartitions("part", "block").mapInArrow(_sum(totals, cells), ROW), "sums")
+    summed = written(paired.repartitionById(tasks, of_task).sortWithinPartitions("part", "block").mapInArrow(_sum(totals, cells), ROW), "counts")
 
     n, hot = np.zeros(K + 1, np.int64), {}
     for row in summed.where(F.col("kind") == STATS).collect():
-        own, h, m, big, seen = unpack(row["body"])
+        own, h, count, m, _, seen = unpack(row["body"])
         n += own
         for i, x in enumerate(h.tolist()):
-            old = hot.get(x, (np.zeros(K, np.int64), 0.0, 0.0))
-            hot[x] = (old[0] + m.reshape(K, -1)[:, i], old[1] + float(big[i]), old[2] + float(seen[i]))
+            old = hot.get(x, (0, np.zeros(K, np.int64), 0.0))
+            hot[x] = (int(count[i]), old[1] + m.reshape(K, -1)[:, i], old[2] + float(seen[i]))
     d = discounts(n)
-    asked = summed.where(F.col("kind") == BACKOFF).mapInArrow(_back_off(d, hot), ROW)
-    parts = summed.where(F.col("kind").isin(BASE, SUMS)).union(asked)
-    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(_finish(d, totals.tokens), RESULT)
+    ready = {x: tuple(float(y[0]) for y in weights(d, np.array([count]), m[:, None], np.array([seen]))) for x, (count, m, seen) in hot.items()}
+    weighed = summed.where(F.col("kind") == BACKOFF).mapInArrow(_back_off(d), ROW)
+    parts = both.union(summed.where(F.col("kind") == COUNTS)).union(weighed)
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(_finish(totals, cells, d, ready), RESULT)
