@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, batches, fresh_name, small_batches, text_bytes
+from .common import WHITE, batches, small_batches, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -124,16 +124,9 @@ def measure(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 def keep(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns; one pass, no shuffle."""
     small_batches(docs.sparkSession)
-    flag = fresh_name(docs, "kept")
 
-    @F.pandas_udf("boolean")
-    def verdict(texts):
-        return texts.iloc[:0].astype(bool) if texts.empty else _verdicts(texts, bands)
-
-    return docs.withColumn(flag, verdict(F.col("text").cast("string"))).where(F.col(flag)).drop(flag)
-
-
-def _verdicts(texts, bands: Bands):
-    import pandas as pd
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it):
+            yield batch.filter(pa.array([r[6] for r in _judge(text_bytes(batch), bands)], pa.bool_()))
 
-    return pd.Series([r[6] for r in _judge([(x or "").encode() for x in texts], bands)])
+    return docs.mapInArrow(run, docs.schema)
