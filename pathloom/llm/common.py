@@ -7,6 +7,8 @@ is unset (tests) a temporary one is made and set.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -102,8 +104,16 @@ def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def trim() -> None:
+    """Give memory that the worker has freed back to the system; a worker lives through many tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch], most: int = 4 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` text bytes; one longer text stands alone."""
+    trim()
     for batch in it:
         column = batch.column(name)
         sizes = [x or 0 for x in pa.compute.binary_length(column).to_pylist()]

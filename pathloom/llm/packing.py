@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
+from .common import trim
+
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as compressed bytes, equal places of numbers side by side."""
@@ -50,6 +52,7 @@ def spread(sizes: np.ndarray) -> np.ndarray:
 def units(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of rows with equal keys, of a partition sorted by them."""
     held: list[pa.RecordBatch] = []
+    trim()
     for batch in it:
         if not batch.num_rows:
             continue

@@ -162,6 +162,7 @@ class Codec:
         self.own = SentencePieceProcessor(model_file=path)
         self.plain = self.model.separable
         self.cache: dict[bytes, bytes] = {}
+        self.last: dict[bytes, bytes] = {}
         self.parts = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for p, _, k in self.model.pieces]
 
     def raw(self, texts: list[str]) -> list[bytes]:
@@ -185,6 +186,7 @@ class Codec:
             self.cache = dict(here)
         self.cache |= more
         here |= more  # small, so that the many look-ups stay in the processor's cache
+        self.last = here
         return [b"".join(map(here.__getitem__, ss)) for ss in cut]
 
     def segments(self, new: list[bytes]) -> dict[bytes, bytes]:
@@ -201,6 +203,10 @@ class Codec:
             out[b" "] = struct.pack("<i", self.tokenizer.token_to_id(SPACE))
         return out
 
+    def rest(self) -> None:
+        """Between tasks only the segments of the last batch stay, the frequent ones among them."""
+        self.cache, self.last = self.last, {}
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The (normalised) text of ids; bytes that are no UTF-8 become the replacement character."""
         out = b"".join(map(self.parts.__getitem__, ids.tolist()))
@@ -224,7 +230,7 @@ _CODECS: dict[tuple[str, int], Codec] = {}
 
 
 def codec_of(path: str, threads: int) -> Codec:
-    """One codec per worker process; its segments stay known from task to task."""
+    """One codec per worker process."""
     if (path, threads) not in _CODECS:
         _CODECS[path, threads] = Codec(path, threads)
     return _CODECS[path, threads]
@@ -245,6 +251,7 @@ def encode(docs: DataFrame, path: str, threads: int = 1, ids: str = "token_ids",
             flat = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int32)
             batch = batch.append_column(ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
             yield batch.append_column(parity, pa.array([p for _, p in found]))
+        codec.rest()
 
     return docs.mapInArrow(run, schema)
 
@@ -263,5 +270,6 @@ def summary(docs: DataFrame, path: str, threads: int = 1) -> DataFrame:
                 rows.append((len(x), zlib.crc32(x.tobytes()), same, back == text, hashlib.sha256(back).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "n_tokens", "ids_crc32", "parity", "roundtrip", "decoded_sha256"])
+        codec.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
