@@ -101,6 +101,11 @@ def compile_template(label: str, markup: str) -> Automaton:
     """The automaton of a template; raises on unbalanced markup or no mandatory words."""
     a, here, opened, run, runs, before, anchors = Automaton(label), 0, [], [], [], 0, []
     for token in re.findall(r"\[\[|\]\]|\{\d+\}|[^\s\[\]{}]+", markup):
+        # a run ends here, before the token is counted
+        if run and (token == "[[" or token[0] == "{"):
+            runs.append(run)
+            anchors.append(before)
+            run = []
         if token == "[[":
             opened.append(here)
         elif token == "]]":
@@ -121,10 +126,6 @@ def compile_template(label: str, markup: str) -> Automaton:
             if not opened:
                 run.append(token.encode())
             before += 1
-        if run and (opened or token[0] == "{"):
-            runs.append(run)
-            anchors.append(before - 1)
-            run = []
     if run:
         runs.append(run)
         anchors.append(before)

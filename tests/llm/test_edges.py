@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, and columns with clashing names."""
 
+import re
+
 import public_tokenizers
 import pytest
 
@@ -132,3 +134,20 @@ def test_pipeline_stages(spark, odd):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, "").columns == odd.columns
         assert stage(spark, odd.limit(0), "").collect() == []
+
+
+def test_every_license_template_matches():
+    filled = {"[[this {4} is]] ": "this small piece of software is ", "{2}": "2 0", "{1}": "3"}
+    automata = [license_scan.compile_template(*t) for t in license_scan.TEMPLATES]
+    for (label, markup), a in zip(license_scan.TEMPLATES, automata):
+        with_all = markup
+        for mark, words in filled.items():
+            with_all = with_all.replace(mark, words)
+        with_all = with_all.replace("[[", "").replace("]]", "")
+        bare = " ".join(re.sub(r"\[\[.*?\]\]|\{\d+\}", " ", markup).split())
+        for text in (with_all, bare):
+            n = len(text.split())
+            assert license_scan.scan_text(f"before it {text} after it".encode(), [a])[7] == [(label, 2, 2 + n)], text
+            assert license_scan.scan_text(text.rsplit(None, 1)[0].encode(), [a])[7] == [] or markup.endswith("]]"), text
+    found = license_scan.scan_text(b"Licensed under a CC BY ND 4.0; licensed under the terms of the MIT license", automata)
+    assert found[5] == "cc-by,cc-by-notice,mit,mit-notice"
