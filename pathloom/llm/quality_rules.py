@@ -2,7 +2,7 @@
 
 Repetitive text compresses far better than prose, random characters hardly at
 all. Each document is compressed whole and in fixed chunks; the ratios must lie
-inside bands whose upper limit depends on length, since the dictionary that a
+inside bands whose limits depend on length, since the dictionary that a
 compressor builds pays off more in long texts.
 
 Defined results: a null text counts as empty (no words, so ``base_failed`` and
@@ -31,17 +31,22 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of the ratio (bytes before / bytes after): ``most`` has (length below, highest whole ratio).
+    """Limits of the ratio (bytes before / bytes after): ``most`` and ``least`` have (length below, limit).
 
-    The limits stand clear of prose (ratios of 1.0 to 2.6, growing with length)
-    on one side and of looped text (3.2 upwards for the shortest, 6 upwards from
-    1 KB) on the other. Texts under ``least_length`` bytes have no lower limit,
-    because frame overhead dominates there."""
+    The upper limits stand clear of prose (ratios of 1.0 to 2.6, growing with
+    length) on one side and of looped text (3.2 upwards for the shortest, 6
+    upwards from 1 KB) on the other. The lower ones stand above random text
+    (base64, printable, alphanumeric or CJK characters: up to 1.14 at 300 bytes,
+    1.26 at 512 and 1.43 at 30 KB, in words of four characters at least from
+    512 bytes on) and below prose (1.26 at 256, 1.40 at 512, 2.07 at 4096).
+    Texts under 256 bytes have no lower limit, because frame overhead dominates
+    there; chunks under ``least_length`` are not judged."""
 
     level: int = 3
     most: tuple[tuple[int, float], ...] = ((256, 2.6), (512, 3.2), (1024, 3.5), (2048, 4.0), (8192, 4.3))
     most_beyond: float = 4.8
-    least: float = 1.05
+    least: tuple[tuple[int, float], ...] = ((256, 0.0), (320, 1.155), (384, 1.195), (448, 1.225), (512, 1.255), (640, 1.315), (768, 1.34), (1024, 1.37), (1536, 1.4), (2048, 1.41), (4096, 1.43))
+    least_beyond: float = 1.45
     least_length: int = 512
     chunk: int = 4096
     chunk_most: float = 4.3
@@ -50,6 +55,9 @@ class Bands:
     def upper(self, n: int) -> float:
         return next((r for below, r in self.most if n < below), self.most_beyond)
 
+    def lower(self, n: int) -> float:
+        return next((r for below, r in self.least if n < below), self.least_beyond)
+
 
 def counts(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
@@ -77,7 +85,7 @@ def in_bands(text: bytes, bands: Bands, zstd: zstandard.ZstdCompressor) -> tuple
     if not n:
         return False, 0.0
     ratio = n / len(zstd.compress(text))
-    if ratio > bands.upper(n) or (n >= bands.least_length and ratio < bands.least):
+    if ratio > bands.upper(n) or ratio < bands.lower(n):
         return False, ratio
     if n > bands.chunk:
         outside = chunks = 0
@@ -87,7 +95,7 @@ def in_bands(text: bytes, bands: Bands, zstd: zstandard.ZstdCompressor) -> tuple
                 break
             r = len(part) / len(zstd.compress(part))
             chunks += 1
-            outside += r > min(bands.chunk_most, bands.upper(len(part))) or r < bands.least
+            outside += r > min(bands.chunk_most, bands.upper(len(part))) or r < bands.lower(len(part))
         if outside > bands.chunk_share * chunks:
             return False, ratio
     return True, ratio

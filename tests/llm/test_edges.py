@@ -1,6 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, and columns with clashing names."""
 
+import base64
+import random
 import re
+import string
 
 import public_tokenizers
 import pytest
@@ -151,3 +154,35 @@ def test_every_license_template_matches():
             assert license_scan.scan_text(text.rsplit(None, 1)[0].encode(), [a])[7] == [] or markup.endswith("]]"), text
     found = license_scan.scan_text(b"Licensed under a CC BY ND 4.0; licensed under the terms of the MIT license", automata)
     assert found[5] == "cc-by,cc-by-notice,mit,mit-notice"
+
+
+def _random_text(kind, n, rng):
+    if kind == "base64 lines":
+        return re.sub(r"(.{76})", r"\1\n", base64.b64encode(rng.randbytes(n)).decode())[:n]
+    if kind == "base64 words":
+        return re.sub(r"(.{6})", r"\1 ", base64.b64encode(rng.randbytes(n)).decode())[:n]
+    chars = {"printable": string.printable[:94] + " " * 12, "alphanumeric": string.ascii_letters + string.digits + " " * 10, "cjk": [chr(c) for c in range(0x4E00, 0x9FA6)] + [" "] * 3000}[kind]
+    return "".join(rng.choices(chars, k=n // 3 if kind == "cjk" else n))
+
+
+@pytest.mark.parametrize("kind", ["base64 lines", "base64 words", "printable", "alphanumeric", "cjk"])
+def test_random_text_is_rejected(spark, kind):
+    rng = random.Random(5)
+    texts = [_random_text(kind, n, rng) for n in (600, 1000, 2000, 4000, 7600, 30000, 100000) for _ in range(5)]
+    texts = [t for t in texts if len(t.split()) >= 50]
+    assert len(texts) >= 15
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.base_failed, r.kept) for r in quality_rules.measure(df).collect()] == [(False, False)] * len(texts)
+    assert quality_rules.keep(df).count() == 0
+
+
+def test_mostly_random_chunks_are_rejected():
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(300)]
+    prose = " ".join(rng.choices(vocabulary, k=3000)).encode()
+    dump = _random_text("base64 lines", 2 * len(prose), rng).encode()
+    bands = quality_rules.Bands()
+    counted = quality_rules._judge([dump + prose], bands)[0]
+    # the whole text alone is inside the bands
+    assert counted[5:7] == (False, False) and bands.lower(len(dump + prose)) < counted[7] < bands.upper(len(dump + prose))
+    assert quality_rules._judge([prose], bands)[0][6]
