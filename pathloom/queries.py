@@ -310,6 +310,16 @@ register("kd3_relative_time", "SELECT event_id, CASE WHEN event_id = 0 THEN 'Nev
 register("km1_record_numbers", "SELECT event_id, (event_id * 281474976710656 + user_id) % 281474976710656 AS record_no FROM events WHERE event_id < 1000")(
     lambda s, d: _read(s, d, "events").where("event_id < 1000").select("event_id", paths.record_no(F.col("event_id") * F.lit(281474976710656) + F.col("user_id")).alias("record_no"))
 )
+# the same over all rows, whatever they hold: sizes that are null, times to come, all 16 sequence bits
+register("ks_numbers_all", SQL["ks_numbers"].replace(" WHERE size_bytes IS NOT NULL", ""))(
+    lambda s, d: cat_docs(s, d).select("id", formats.memory_or_na("size_bytes").alias("memory"), formats.floored_bytes("size_bytes").alias("floored"), formats.thousands("size_bytes").alias("thousands"))
+)
+register("kd3_relative_time_all", SQL["kd3_relative_time"].replace(" WHERE event_id <= 8000", ""))(
+    lambda s, d: _read(s, d, "events").select("event_id", formats.relative_time(F.col("event_id") * 25000, F.lit(200000000)).alias("ago"))
+)
+register("km1_record_numbers_all", "SELECT event_id, CAST((CAST(event_id % 65536 AS HUGEINT) * 281474976710656 + user_id) % 281474976710656 AS BIGINT) AS record_no FROM events")(
+    lambda s, d: _read(s, d, "events").select("event_id", paths.record_no(F.shiftleft(F.col("event_id") % 65536, 48) + F.col("user_id")).alias("record_no"))
+)
 
 # ---- history
 

@@ -12,6 +12,7 @@ from pathloom.functions.hashing import fnv1a, fnv_hex
 from pathloom.operators import catalog as dml
 from pathloom.operators import export, filters, folders, history
 from pathloom.plans import query as q
+from pathloom.queries import QUERIES
 from pathloom.schema import CATALOG, CHANGES, HISTORY, as_catalog
 from pathloom.sources import crawl, journal, lists
 from pathloom.streaming.fold import fold, start_catalog, stateful_ops, stream_into
@@ -200,3 +201,13 @@ def test_stateful_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert [(r.id, r.op) for r in spark.table("ops").orderBy("seq").collect()] == [(100, "create"), (100, "rename")]
+
+
+def test_scalar_queries_of_whole_tables(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    run = lambda name: QUERIES[name](spark, sf_dir)
+    events, documents = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("events", "documents"))
+    ago, numbers, sizes = run("kd3_relative_time_all"), run("km1_record_numbers_all"), run("ks_numbers_all")
+    assert (ago.count(), numbers.count(), sizes.count()) == (events, events, documents)
+    assert ago.where("ago = 'Future'").count() == ago.where("event_id > 8000").count() > 0
+    assert sizes.where("memory is null and floored is null and thousands is null").count() == documents // 8
