@@ -68,7 +68,8 @@ LAYOUTS: dict[str, tuple[list[str], Callable[[], Column]]] = {
     "from_value": (["conversations[].from:string", "conversations[].value:string"], lambda: _listed("conversations", "from", "value")),
 }
 ROWS_BY_TURN = ["role:string", "text:string", "turn:number"]
-KNOWN = {p for paths, _ in LAYOUTS.values() for p in paths} | set(ROWS_BY_TURN)
+KNOWN_JSON = {p for paths, _ in LAYOUTS.values() for p in paths}
+KNOWN = KNOWN_JSON | set(ROWS_BY_TURN)
 MAPPINGS = {fingerprint(paths): name for name, (paths, _) in LAYOUTS.items()} | {fingerprint(ROWS_BY_TURN): "rows_by_turn"}
 
 
@@ -88,15 +89,20 @@ def _exploded(df: DataFrame) -> DataFrame:
 
 
 def json_fingerprint(record: Column) -> Column:
-    """The fingerprint of one JSON record: its nested field paths to the depth that layouts have, hashed."""
+    """The fingerprint of one JSON record: its nested field paths to the depth that layouts have, hashed. Only lists
+    of objects have nested paths; a string that looks like a list stays a string."""
     fields = F.map_entries(F.from_json(record, "map<string,string>"))
+    tops = sorted({p.split(":")[0].split("[")[0] for p in KNOWN_JSON})
+    as_lists = F.from_json(record, ", ".join(f"{k} array<string>" for k in tops))
+    lists = F.array_compact(F.array(*(F.when(as_lists[k].isNotNull(), k) for k in tops)))
 
     def paths(e: Column) -> Column:
-        key, value = F.lower(e["key"]), F.ltrim(e["value"])
-        inner = F.flatten(F.transform(F.from_json(value, "array<map<string,string>>"), lambda m: F.map_keys(m)))
-        return F.when(value.startswith("["), F.transform(inner, lambda k: F.concat(key, F.lit("[]."), F.lower(k), F.lit(":string")))).otherwise(F.array(F.concat(key, F.lit(":string"))))
+        key = F.lower(e["key"])
+        objects = F.array_compact(F.from_json(e["value"], "array<map<string,string>>"))
+        inner = F.coalesce(F.flatten(F.transform(objects, lambda m: F.map_keys(m))), F.array().cast("array<string>"))
+        return F.when(F.array_contains(lists, e["key"]), F.transform(inner, lambda k: F.concat(key, F.lit("[]."), F.lower(k), F.lit(":string")))).otherwise(F.array(F.concat(key, F.lit(":string"))))
 
-    known = F.array(*map(F.lit, sorted(KNOWN)))
+    known = F.array(*map(F.lit, sorted(KNOWN_JSON)))
     return F.sha2(F.array_join(F.array_sort(F.array_distinct(F.array_intersect(F.flatten(F.transform(fields, paths)), known))), "\n"), 256)
 
 
@@ -104,13 +110,26 @@ def json_fingerprint(record: Column) -> Column:
 RECORD = "prompt string, response string, system string, instruction string, input string, output string, messages array<struct<role: string, content: string>>, conversations array<struct<from: string, value: string>>"
 
 
-def canonical_json(records: DataFrame, json_column: str, id_column: str = "conv_id") -> DataFrame:
-    """Canonical turns of JSON records of mixed layouts; records of an unknown layout give no turns."""
-    d = records.select(F.col(id_column).alias("conv_id"), json_fingerprint(F.col(json_column)).alias("fp"), F.from_json(F.col(json_column), RECORD).alias("r")).select("conv_id", "fp", "r.*")
+def _json_turns(records: DataFrame, json_column: str, id_column: str) -> DataFrame:
+    """conv_id, record, fp and turns (null for an unknown layout) of each JSON record."""
+    record = F.col(json_column)
+    d = records.select(F.col(id_column).alias("conv_id"), record.alias("record"), json_fingerprint(record).alias("fp"), F.from_json(record, RECORD).alias("r")).select("conv_id", "record", "fp", "r.*")
     turns = F.lit(None).cast("array<struct<role: string, text: string>>")
     for name, (paths, of) in LAYOUTS.items():
         turns = F.when(F.col("fp") == fingerprint(paths), of()).otherwise(turns)
-    return _exploded(d.select("conv_id", turns.alias("turns")))
+    return d.select("conv_id", "record", "fp", turns.alias("turns"))
+
+
+def canonical_json(records: DataFrame, json_column: str, id_column: str = "conv_id") -> DataFrame:
+    """Canonical turns of JSON records of mixed layouts; ``unmapped_json`` has the records that give no turns."""
+    return _exploded(_json_turns(records, json_column, id_column).select("conv_id", "turns"))
+
+
+def unmapped_json(records: DataFrame, json_column: str, id_column: str = "conv_id") -> DataFrame:
+    """The records of which ``canonical_json`` gives no turns: conv_id, record, fingerprint, and whether the layout
+    is known (then there is no turn in it). Each record is either there or here."""
+    known = F.coalesce(F.col("fp").isin([fingerprint(paths) for paths, _ in LAYOUTS.values()]), F.lit(False))
+    return _json_turns(records, json_column, id_column).where("coalesce(size(turns), 0) < 1").select("conv_id", "record", F.col("fp").alias("fingerprint"), known.alias("known_layout"))
 
 
 def escape(c: Column) -> Column:

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, and columns with clashing names."""
 
 import base64
+import json
 import random
 import re
 import string
@@ -186,3 +187,27 @@ def test_mostly_random_chunks_are_rejected():
     # the whole text alone is inside the bands
     assert counted[5:7] == (False, False) and bands.lower(len(dump + prose)) < counted[7] < bands.upper(len(dump + prose))
     assert quality_rules._judge([prose], bands)[0][6]
+
+
+def test_json_records_are_not_lost(spark):
+    turns = [("user", "q"), ("assistant", "a")]
+    cases = [
+        ({"prompt": "[INST] hi", "response": "x"}, [("user", "[INST] hi"), ("assistant", "x")]),
+        ({"prompt": '["a"]', "response": '[{"role": "x"}]'}, [("user", '["a"]'), ("assistant", '[{"role": "x"}]')]),
+        ({"prompt": "q", "response": "a", "text": "t", "role": "r", "turn": 3}, turns),
+        ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "text": "[", "tags": ["b"]}, turns),
+        ({"instruction": "q", "output": "a", "meta": [1, [2]]}, turns),
+        ({"prompt": [{"role": "user"}], "response": "x"}, None),
+        ({"messages": ["q", "a"]}, None),
+        ({"strange": "[1"}, None),
+        ({"messages": []}, None),
+        ({"prompt": None, "response": None}, None),
+    ]
+    rows = [(i, json.dumps(r)) for i, (r, _) in enumerate(cases)] + [(100, "{not json"), (101, None)]
+    df = spark.createDataFrame(rows, "conv_id long, record string")
+    got = {}
+    for r in chat_format.canonical_json(df, "record").orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {i: t for i, (_, t) in enumerate(cases) if t}
+    left = {r.conv_id: (r.record, r.known_layout) for r in chat_format.unmapped_json(df, "record").collect()}
+    assert left == {i: (text, i == 9) for i, text in rows if i not in got}
