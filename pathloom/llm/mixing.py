@@ -75,7 +75,7 @@ def targets(sizes: dict[str | None, int], most: float = 3.0, weights: tuple[floa
         if not over:
             return out | {s: left * weight[s] / share for s in open_}
         for s in over:
-            out[s] = most * sizes[s]
+            out[s] = float(most * sizes[s])
         left -= sum(out[s] for s in over)
         open_ = [s for s in open_ if s not in out]
     return out
@@ -92,9 +92,9 @@ class Share:
     last: int
 
 
-def share_of(index: int, size: int, target: float, length: int, seed: int) -> Share:
+def share_of(index: int, size: int, target: float, length: int, seed: int, most: float = 3.0) -> Share:
     key = int(mixed64(np.array([seed * 1_000_003 + index], dtype=U))[0])
-    words, blocks = min(int(target + 0.5), 3 * size), -(-size // length)
+    words, blocks = min(int(target + 0.5), int(most * size + 1e-9)), -(-size // length)
     if not size or not words:
         return Share(key, size, blocks, 0, 0)
     passes, rest = divmod(words, size)
@@ -167,7 +167,7 @@ def mix(docs: DataFrame, length: int = 1024, shard_slots: int = 4096, seed: int
     goal = targets(total, most, weights)
     names = sorted(total, key=lambda s: (s is None, s or ""))
     index = {s: i for i, s in enumerate(names)}
-    shares = [share_of(i, total[s], goal[s], length, seed) for i, s in enumerate(names)]
+    shares = [share_of(i, total[s], goal[s], length, seed, most) for i, s in enumerate(names)]
     known = spark.createDataFrame([(p, s, b, index[s], total[s], goal[s]) for p, s, b in begins], "part int, source string, before long, source_no int, source_size long, target double")
 
     running = Window.partitionBy("part", "source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -211,3 +211,12 @@ def test_json_records_are_not_lost(spark):
     assert got == {i: t for i, (_, t) in enumerate(cases) if t}
     left = {r.conv_id: (r.record, r.known_layout) for r in chat_format.unmapped_json(df, "record").collect()}
     assert left == {i: (text, i == 9) for i, text in rows if i not in got}
+
+
+def test_mix_reaches_targets_of_other_caps(spark):
+    # the small source's target is 5 times its size
+    rows = [(i, "w " * 40, "b") for i in range(5)] + [(100 + i, "w " * 40, "a") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken(mixing.mix(df, length=16, most=5, weights=(1, 2))).collect()
+    words = {s: sum(r.taken for r in got if (r.doc_id >= 100) == (s == "a")) for s in "ab"}
+    assert {r.source_size: r.target for r in got}[200] == 1000 and words == {"a": 1600, "b": 1000}
