@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,12 +25,16 @@ from pyspark.sql import functions as F
 WHITE = b" \t\n\x0b\x0c\r"
 #: Rows of one Arrow batch handed to Python; texts can be long, so far fewer than Spark's default.
 BATCH_ROWS = 1000
+#: Folders of the tables that this process has written and not removed.
+WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach."""
+    """The folder every executor and the driver can reach; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -47,10 +52,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     # shuffles that only fed this table are unreachable now; their files go once the driver's heap is swept
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, once nothing reads them any more: what was derived from them is a
+    written table itself."""
+    for t in tables:
+        delete(t.sparkSession, t.shared_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove all tables that this process has written and not discarded. Results that were returned as frames
+    read some of them, so call this when those results are stored."""
+    for path in list(WRITTEN):
+        delete(spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -58,6 +80,8 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -75,27 +99,38 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_row_key(docs: DataFrame, file: str, row: str) -> DataFrame:
-    """Add a key of each physical row: hash of its file's path and its index in that file.
+#: Plan nodes above a file scan that neither repeat nor merge its rows.
+_ROWWISE = {"Project", "Filter", "SubqueryAlias", "View", "Sample", "ResolvedHint", "LogicalRelation", "RelationV2", "DataSourceV2Relation"}
 
-    Unlike an id column it is unique even where rows repeat, and unlike
-    ``monotonically_increasing_id`` it is the same in every scan, however the
-    files are split. A frame that is no file scan is written to the shared
-    folder first."""
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is one physical row of a file: only projections and filters above one scan. Above
+    joins and explodes a physical key resolves, too, but repeats."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in _ROWWISE and node.children().size() == 1:
+        node = node.children().head()
+    if node.getClass().getSimpleName() not in _ROWWISE or node.children().size():
+        return False
     try:
-        return docs.withColumns({file: F.xxhash64("_metadata.file_path"), row: F.col("_metadata.row_index").cast("long")})
+        docs.select("_metadata.row_index")
+        return True
     except AnalysisException:
-        kept = written(docs, "rows")
-        return kept.withColumns({file: F.xxhash64("_metadata.file_path"), row: F.col("_metadata.row_index").cast("long")})
+        return False
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """``docs`` itself if its rows have physical keys, else a written copy of it."""
-    try:
-        docs.select("_metadata.row_index")
-        return docs
-    except AnalysisException:
-        return written(docs, "rows")
+    return docs if _is_scan(docs) else written(docs, "rows")
+
+
+def with_row_key(docs: DataFrame, file: str, row: str) -> DataFrame:
+    """Add a key of each physical row: hash of its file's path and its index in that file.
+
+    Unlike an id column it is unique even where rows repeat, and unlike
+    ``monotonically_increasing_id`` it is the same in every scan, however the
+    files are split. A frame that is no file scan is written to the shared
+    folder first."""
+    return scanned(docs).withColumns({file: F.xxhash64("_metadata.file_path"), row: F.col("_metadata.row_index").cast("long")})
 
 
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

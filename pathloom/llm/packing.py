@@ -50,17 +50,23 @@ def spread(sizes: np.ndarray) -> np.ndarray:
 
 
 def units(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of rows with equal keys, of a partition sorted by them."""
+    """The groups of rows with equal keys, of a partition sorted by them. A group's batches are held as they come
+    and joined once, when the next group begins."""
     held: list[pa.RecordBatch] = []
     trim()
     for batch in it:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([*held, batch]).combine_chunks()
-        columns = [table.column(k).to_numpy() for k in keys]
-        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        for a, b in zip([0, *cuts[:-1]], cuts):
-            yield table.slice(a, b - a)
-        held = table.slice(cuts[-1] if len(cuts) else 0).to_batches()
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist()
+        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
+            cuts.insert(0, 0)
+        at = 0
+        for cut in cuts:
+            if cut > at:
+                held.append(batch.slice(at, cut - at))
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, at = [], cut
+        held.append(batch.slice(at))
     if held:
         yield pa.Table.from_batches(held).combine_chunks()

@@ -14,7 +14,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.summary(documents(spark, sf_dir)).drop("spans")
+    return suffix_dedup.summary(documents(spark, sf_dir))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,15 @@ share theirs. The windows of one anchor form a stretch, some 1.5 times
    leading tokens repeat while its stretch doesn't is contested: some windows
    may repeat. Contested stretches, and one of each repeated stretch with the
    same leading tokens, meet and are compared window by window; if there are
-   many (the edges of a shared passage), by digests of windows, dealt out evenly
-   and packed, what repeats within a task being folded first.
+   many (the edges of a shared passage), or a boundary cuts the group, by
+   digests of windows, dealt out evenly and packed, what repeats within a task
+   being folded first. Both ways give the same windows. Each bucket judges and
+   counts its own groups, so no step deals rows out by a passage.
 3. The windows found are merged into spans per document.
 
+The number of buckets follows the number of suffixes, which the sample
+estimates, and the sample grows with the number of buckets.
+
 Defined results: a null text has no bytes; texts under ``length`` bytes have no
 window; repeated rows repeat each other's windows; empty tables give empty
 results; other columns pass through ``remove``, whose texts lose the bytes of
@@ -40,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fresh_name, scanned, small_batches, text_bytes, with_row_key, written
+from .common import batches, discard, fresh_name, scanned, small_batches, text_bytes, with_row_key, written
 from .mixing import mixed64
 from .packing import narrow, pack, runs, units, unpack
 from .shingles import _power
@@ -48,9 +53,12 @@ from .shingles import _power
 U = np.uint64
 PLACE = U((1 << 24) - 1)
 SLICE = 1 << 20  # bytes whose hashes are in memory at a time
-SAMPLE_DOCS = 3000  # documents, about, that splitters are drawn from
-SAMPLE = 65536  # keys of theirs, at most
+SAMPLE_DOCS = 3000  # documents, about, that splitters are drawn from, if there are few buckets
+SAMPLE = 65536  # keys of theirs, at most, or SAMPLE_KEYS for each bucket if these are more
+SAMPLE_KEYS = 16
+BUCKET_ROWS = 1_000_000  # suffixes of a bucket, about, at 60 bytes each
 CROWD = 256  # stretches with the same leading tokens that are compared in one place
+BROADCAST_CUTS = 100_000  # groups that boundaries cut, at 16 to 32 bytes each, that are broadcast
 
 
 @dataclass(frozen=True)
@@ -175,11 +183,13 @@ def _suffixes(rule: Rule, splitters):
 
 
 ALONE, CONTESTED, REPEATED = 0, 1, 2
+JUDGED = KEYED + ", bucket int, status int, edge boolean, meets boolean, crowd boolean"
 
 
 def _judged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's suffixes that repeat, are contested, or may be so across its boundaries (``edge``: first or last
-    leading tokens); and its first and last key (windows 0)."""
+    leading tokens); and its first and last key (windows 0). ``meets``: the suffix is compared window by window if
+    contested, or if it is the first of a repeated stretch; ``crowd``: so are many with its leading tokens."""
     for t in units(it, ["bucket"]):
         order = multikey_sort([t.column(c).to_numpy().view(U) for c in NAMES[:4]])
         t = t.take(pa.array(order))
@@ -188,25 +198,41 @@ def _judged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_lead[1:] = (t0[1:] != t0[:-1]) | (lead[1:] != lead[:-1])
         new = new_lead.copy()
         new[1:] |= (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
-        size = lambda starts: np.repeat(c := np.diff(np.flatnonzero(np.append(starts, True))), c)
-        status = np.where(size(new) > 1, REPEATED, np.where(size(new_lead) > 1, CONTESTED, ALONE))
-        g = np.cumsum(new_lead)
-        edge = (g == 1) | (g == g[-1])
-        t = t.append_column("status", pa.array(status.astype(np.int32)))
+        g, of = np.cumsum(new_lead) - 1, np.cumsum(new) - 1
+        copies = np.bincount(of)[of]
+        kinds = np.bincount(g, weights=new)[g]  # different stretches with these leading tokens
+        contested = (kinds > 1) & (copies == 1)
+        status = np.where(copies > 1, REPEATED, np.where(contested, CONTESTED, ALONE))
+        edge = (g == 0) | (g == g[-1])
+        meets = contested | new & (np.bincount(g, weights=contested)[g] > 0)
+        crowd = kinds > CROWD
+        for name, c in (("status", status.astype(np.int32)), ("edge", edge), ("meets", meets | new & edge), ("crowd", crowd)):
+            t = t.append_column(name, pa.array(c))
         kept = t.filter(pa.array((status != ALONE) | edge))
         ends = t.take(pa.array([0, len(t0) - 1])).set_column(7, "windows", pa.array([0, 0], pa.int32())).set_column(9, "status", pa.array([0, 1], pa.int32()))
         yield from pa.concat_tables([kept, ends]).combine_chunks().to_batches()
 
 
-def _splitters(keyed: DataFrame, rule: Rule, n: int):
-    """``n - 1`` keys that cut the suffixes of a bounded sample of documents evenly."""
-    sample = keyed.sample(min(1.0, SAMPLE_DOCS / max(1, keyed.count())), seed=11).mapInArrow(_suffixes(rule, None), KEYED + ", bucket int")
-    rows = sample.orderBy(F.xxhash64("file", "row", "first")).limit(SAMPLE).select("t0", "lead", "d1", "file", "row", "first").toPandas()
+def _splitters(keyed: DataFrame, rule: Rule, least: int) -> tuple[np.ndarray, int]:
+    """Keys that cut the suffixes of a sample of documents evenly, and the number of buckets that they make:
+    ``least``, or as many as hold BUCKET_ROWS each."""
+    def drawn(share: float) -> tuple[DataFrame, int]:
+        sample = keyed.sample(share, seed=11).mapInArrow(_suffixes(rule, None), KEYED + ", bucket int").select("t0", "lead", "d1", "file", "row", "first")
+        return (kept := written(sample, "sample")), kept.count()
+
+    share = min(1.0, SAMPLE_DOCS / max(1, keyed.count()))
+    sample, found = drawn(share)
+    n = max(least, int(found / share / BUCKET_ROWS))
+    if share < 1 and found < SAMPLE_KEYS * n:  # too few keys for so many buckets
+        discard(sample)
+        sample, found = drawn(min(1.0, share * 1.5 * SAMPLE_KEYS * n / max(1, found)))
+    rows = sample.orderBy(F.xxhash64("file", "row", "first")).limit(max(SAMPLE, SAMPLE_KEYS * n)).toPandas()
+    discard(sample)
     if not len(rows):
-        return np.zeros(0, "S32")
+        return np.zeros(0, "S32"), n
     t0, lead, d1, file, row, first = (rows[c].to_numpy(np.int64) for c in rows.columns)
     keys = np.sort(_keys(t0.view(U), lead.view(U), d1.view(U), _tie(file, row, first)))
-    return keys[np.linspace(0, len(keys), n + 1).astype(int)[1:-1]]
+    return keys[np.linspace(0, len(keys), n + 1).astype(int)[1:-1]], n
 
 
 def _compared(rule: Rule):
@@ -347,10 +373,10 @@ def spans(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     keyed = with_row_key(docs.select(F.col("text").cast("string").alias("text")), "file", "row")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splitters = spark.sparkContext.broadcast(_splitters(keyed, rule, n))
+    cuts, n = _splitters(keyed, rule, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    splitters = spark.sparkContext.broadcast(cuts)
     suffixes = keyed.mapInArrow(_suffixes(rule, splitters), KEYED + ", bucket int")
-    judged = written(suffixes.repartitionById(n, F.col("bucket")).mapInArrow(_judged, KEYED + ", bucket int, status int"), "judged")
+    judged = written(suffixes.repartitionById(n, F.col("bucket")).mapInArrow(_judged, JUDGED), "judged")
 
     # the ends of the buckets, two rows each, tell which groups a boundary cuts
     ends = judged.where("windows = 0").orderBy("bucket", "status").select("bucket", "t0", "lead", "d1", "d2").collect()
@@ -360,21 +386,19 @@ def spans(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
             cut_leads.add(tuple(a[1:3]))
             if a[3:] == b[3:]:
                 cut_digests.add(tuple(a[1:]))
-    leads = spark.createDataFrame([(*x, True) for x in cut_leads], "t0 long, lead long, over boolean")
-    digests = spark.createDataFrame([(*x, True) for x in cut_digests], "t0 long, lead long, d1 long, d2 long, same boolean")
-    found = judged.where("windows > 0").join(leads, ["t0", "lead"], "left").join(digests, ["t0", "lead", "d1", "d2"], "left")
+    small = F.broadcast if len(cut_leads) <= BROADCAST_CUTS else lambda x: x
+    leads = small(spark.createDataFrame([(*x, True) for x in cut_leads], "t0 long, lead long, over boolean"))
+    digests = small(spark.createDataFrame([(*x, True) for x in cut_digests], "t0 long, lead long, d1 long, d2 long, same boolean"))
+    found = judged.where("windows > 0")
+    cut = found.where("edge").join(leads, ["t0", "lead"], "left").join(digests, ["t0", "lead", "d1", "d2"], "left")
     status = F.when(F.col("same"), REPEATED).otherwise(F.when(F.col("over"), F.greatest("status", F.lit(CONTESTED))).otherwise(F.col("status")))
-    found = written(found.withColumn("status", status).where(F.col("status") != ALONE).select(*NAMES, "status"), "found")
+    cut = cut.select(*NAMES, status.alias("status"), "meets", F.coalesce(F.col("over") | F.col("crowd"), F.col("crowd")).alias("crowd"))
+    found = found.where("not edge").select(*NAMES, "status", "meets", "crowd").union(cut).where(F.col("status") != ALONE)
 
     whole = found.where(F.col("status") == REPEATED).select("file", "row", F.col("first").alias("begin"), (F.col("first") + F.col("windows") - 1 + rule.length).alias("end"))
-    # contested stretches, and one of each repeated stretch beside them
-    one = found.where(F.col("status") == REPEATED).groupBy("t0", "lead", "d1", "d2").agg(F.min(F.struct("file", "row", "first", "windows")).alias("s")).select("t0", "lead", "s.*")
-    contested = found.where(F.col("status") == CONTESTED).select("t0", "lead", "file", "row", "first", "windows")
-    by_lead = contested.groupBy("t0", "lead").agg(F.count("*").alias("contested"))
-    beside = one.join(by_lead, ["t0", "lead"]).select("t0", "lead", "file", "row", "first", "windows")
-    both = contested.union(beside)
-    crowds = both.groupBy("t0", "lead").agg((F.count("*") > CROWD).alias("crowd"))
-    wanted = both.join(crowds, ["t0", "lead"]).groupBy("file", "row").agg(F.collect_list(F.struct("t0", "lead", "first", "windows", "crowd")).alias("wanted"))
+    # contested stretches, and one of each repeated stretch (and bucket) beside them
+    both = found.where((F.col("status") == CONTESTED) | F.col("meets"))
+    wanted = both.groupBy("file", "row").agg(F.collect_list(F.struct("t0", "lead", "first", "windows", "crowd")).alias("wanted"))
     bodies = written(keyed.join(wanted, ["file", "row"]).mapInArrow(_cut_stretches(rule), "file long, row long, t0 long, lead long, first long, windows int, crowd boolean, body binary"), "stretches")
     few = bodies.where("not crowd").drop("crowd").repartition("t0", "lead").sortWithinPartitions("t0", "lead").mapInArrow(_compared(rule), "file long, row long, begin long, end long")
     packed = written(bodies.where("crowd").mapInArrow(_windows(rule, n), PACKED), "windows")
