@@ -4,19 +4,21 @@ The model's protobuf is parsed here (wire format, no generated code). From it
 are rebuilt the normaliser (character map, blanks, the leading metaspace), the
 segmentation model - unigram scores, or merges in score order for a BPE model -
 and byte fallback. Texts are encoded in batches, which the library spreads over
-threads if asked to. Every document's ids are compared with SentencePiece's;
-where they differ (two equal scores, broken differently) the row says so and
-carries SentencePiece's ids, so results are always its own.
+threads, and ids are decoded by the rebuilt decoder. The ids that come out are
+the rebuilt model's; every document is encoded by SentencePiece, too, only to
+verify them, and ``parity`` says whether both agree (two equal scores might be
+broken differently).
 
 If normalisation leaves texts as they are but for blanks, and no piece has
 something before a metaspace, then a piece never crosses the start of a run of
-blanks. Texts are then cut there, and each distinct segment is encoded once per
-batch of a worker's cache.
-
-Defined results: null text is empty and has no ids; ids decode to the
-normalised text, which is the text itself for models that normalise nothing
-(``roundtrip``); repeated rows are encoded each on its own; an empty table
-gives an empty result; other columns pass through ``encode`` untouched.
+blanks. Texts are then cut there, and batches hold each distinct segment that
+the worker hasn't met yet.
+
+Defined results: null text is empty and has no ids; bytes that are no UTF-8 are
+encoded as replacement characters; ids decode to the normalised text, which is
+the text itself for models that normalise nothing (``roundtrip``); repeated rows
+are encoded each on its own; an empty table gives an empty result; other columns
+pass through ``encode`` untouched.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 CACHE_SEGMENTS = 500_000
+JOINED = 64  # segments that the library encodes as one text
 
 
 def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -152,7 +155,7 @@ MARK = SPACE.encode()
 class Codec:
     """Encode and decode with a rebuilt model; one per worker."""
 
-    def __init__(self, path: str, threads: int = 1):
+    def __init__(self, path: str, threads: int = 2):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from sentencepiece import SentencePieceProcessor
@@ -161,16 +164,17 @@ class Codec:
         self.tokenizer = rebuild(self.model)
         self.own = SentencePieceProcessor(model_file=path)
         self.plain = self.model.separable
-        self.cache: dict[bytes, bytes] = {}
-        self.last: dict[bytes, bytes] = {}
-        self.parts = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for p, _, k in self.model.pieces]
+        self.cache: dict[bytes, bytes] = {}  # segments to packed ids
+        self.parts: list[bytes] = []  # pieces as decoded
+        self.begins = np.array([k != BYTE and p.startswith(SPACE) for p, _, k in self.model.pieces])
 
     def raw(self, texts: list[str]) -> list[bytes]:
+        """Ids as packed 4-byte integers, by the rebuilt normaliser, pre-tokenizer and model, over all threads."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<i4").tobytes() for e in found]
+        return [struct.pack(f"<{len(ids)}i", *ids) for ids in (e.ids for e in found)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids as packed 4-byte integers."""
+        """Ids of texts in UTF-8 as packed 4-byte integers."""
         if not self.plain:
             return self.raw([t.decode() for t in texts])
         # the metaspace itself may stand in a text; it counts as a blank
@@ -181,49 +185,79 @@ class Codec:
                 new.append(s)
             else:
                 here[s] = found
-        more = self.segments(new)
+        more = self.segments(new) if new else {}
+        here |= more  # small, so that the many look-ups stay in the processor's cache
         if len(self.cache) + len(new) > CACHE_SEGMENTS:  # frequent segments are in this batch, too
             self.cache = dict(here)
-        self.cache |= more
-        here |= more  # small, so that the many look-ups stay in the processor's cache
-        self.last = here
+        else:
+            self.cache |= more
         return [b"".join(map(here.__getitem__, ss)) for ss in cut]
 
     def segments(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of segments: one thread takes them straight to the model, more take batches of them."""
-        if self.threads == 1:
-            tokenize, out = self.tokenizer.model.tokenize, {}
-            for s in new:
-                ids = [t.id for t in tokenize(s.decode().replace(" ", SPACE))]
-                out[s] = struct.pack(f"<{len(ids)}i", *ids)
-            return out
-        out = dict(zip(new, self.raw([s[1:].decode() for s in new])))
-        # the normaliser adds no prefix to an empty text, but a lone blank is a piece
-        if b" " in out:
+        """Ids of segments. Those with one blank go to the library many as one text, whose pre-tokens they are: each
+        has one piece that begins with a metaspace, its first. Others are texts of their own. The first blank is what
+        the normaliser puts before a text."""
+        one = [s for s in new if s[1:2] not in (b"", b" ")]
+        rest = [s for s in new if s[1:2] in (b"", b" ")]
+        groups = [one[i : i + JOINED] for i in range(0, len(one), JOINED)]
+        found = self.tokenizer.encode_batch_fast([b"".join(g)[1:].decode() for g in groups] + [s[1:].decode() for s in rest], add_special_tokens=False)
+        out = {s: np.array(e.ids, "<i4").tobytes() for s, e in zip(rest, found[len(groups) :])}
+        if b" " in out:  # the normaliser adds no prefix to an empty text, but a lone blank is a piece
             out[b" "] = struct.pack("<i", self.tokenizer.token_to_id(SPACE))
+        for g, e in zip(groups, found):
+            ids = np.array(e.ids, "<i4")
+            at = (np.flatnonzero(self.begins[ids]) * 4).tolist()
+            if len(at) != len(g):
+                raise ValueError("segments and their first pieces differ in number")
+            raw = ids.tobytes()
+            out.update(zip(g, (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)]))))
         return out
 
     def rest(self) -> None:
-        """Between tasks only the segments of the last batch stay, the frequent ones among them."""
-        self.cache, self.last = self.last, {}
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The (normalised) text of ids; bytes that are no UTF-8 become the replacement character."""
-        out = b"".join(map(self.parts.__getitem__, ids.tolist()))
-        if self.model.dummy_prefix and out[:1] == b" ":
-            out = out[1:]
-        try:
-            out.decode()
-        except UnicodeDecodeError:
-            out = out.decode("utf-8", "replace").encode()
-        return out
-
-    def checked(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, bool]]:
-        """Per text its ids, and whether both libraries gave the same."""
+        """Between tasks only a bounded cache stays."""
+        if len(self.cache) > CACHE_SEGMENTS // 2:
+            self.cache.clear()
+
+    def _decoded(self, ids: list[list[int]]) -> list[bytes]:
+        """What the rebuilt decoder makes of ids that stand inside a text: it strips one blank where a text begins."""
+        first = [self.tokenizer.token_to_id(SPACE)] if self.model.dummy_prefix else []
+        return [t.encode() for t in self.tokenizer.decode_batch([first + x for x in ids], skip_special_tokens=False)]
+
+    def decode(self, many: list[bytes]) -> list[bytes]:
+        """The (normalised) texts of packed ids; bytes that are no UTF-8 become replacement characters. A piece decodes
+        alike wherever it stands, so all were decoded once; runs of bytes are decoded as they come."""
+        if not self.parts:
+            found = self._decoded([[i] for i in range(len(self.model.pieces))])
+            self.parts = [b"" if k == CONTROL else x for x, (_, _, k) in zip(found, self.model.pieces)]
+            self.byte = np.array([k == BYTE for _, _, k in self.model.pieces])
+        out, runs = [], []
+        for x in many:
+            ids = np.frombuffer(x, "<i4")
+            edge = np.flatnonzero(np.diff(self.byte[ids], prepend=False, append=False)).tolist()
+            one, at = [], 0
+            for a, b in zip(edge[::2], edge[1::2]):
+                one += [*map(self.parts.__getitem__, ids[at:a].tolist()), len(runs)]
+                runs.append(ids[a:b].tolist())
+                at = b
+            out.append([*one, *map(self.parts.__getitem__, ids[at:].tolist())])
+        decoded = self._decoded(runs)
+        whole = [b"".join([decoded[y] if y.__class__ is int else y for y in one] if x else one) for one, x in zip(out, many)] if runs else [b"".join(one) for one in out]
+        return [t[1:] if self.model.dummy_prefix and t[:1] == b" " else t for t in whole]
+
+    def checked(self, texts: list[bytes]) -> Iterator[tuple[bytes, bool]]:
+        """Per text its packed ids, and whether SentencePiece gives the same for the whole text."""
+        texts = [_valid(t) for t in texts]
         own = self.own.encode([t.decode() for t in texts], num_threads=self.threads)
         for mine, theirs in zip(self.encode(texts), own):
-            theirs = np.array(theirs, "<i4")
-            yield theirs, mine == theirs.tobytes()
+            yield mine, mine == struct.pack(f"<{len(theirs)}i", *theirs)
+
+
+def _valid(text: bytes) -> bytes:
+    try:
+        text.decode()
+        return text
+    except UnicodeDecodeError:
+        return text.decode("utf-8", "replace").encode()
 
 
 _CODECS: dict[tuple[str, int], Codec] = {}
@@ -236,7 +270,7 @@ def codec_of(path: str, threads: int) -> Codec:
     return _CODECS[path, threads]
 
 
-def encode(docs: DataFrame, path: str, threads: int = 1, ids: str = "token_ids", parity: str = "parity") -> DataFrame:
+def encode(docs: DataFrame, path: str, threads: int = 2, ids: str = "token_ids", parity: str = "parity") -> DataFrame:
     """``docs`` with two more columns: the ids of ``text`` (array of int), and whether both libraries agree."""
     small_batches(docs.sparkSession)
     ids, parity = fresh_name(docs, ids), fresh_name(docs, parity)
@@ -247,8 +281,8 @@ def encode(docs: DataFrame, path: str, threads: int = 1, ids: str = "token_ids",
         for batch in batches(it, 1 << 20):
             found = list(codec.checked(text_bytes(batch)))
             ends = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(x) for x, _ in found], out=ends[1:])
-            flat = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int32)
+            np.cumsum([len(x) // 4 for x, _ in found], out=ends[1:])
+            flat = np.frombuffer(b"".join([x for x, _ in found]), "<i4")
             batch = batch.append_column(ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
             yield batch.append_column(parity, pa.array([p for _, p in found]))
         codec.rest()
@@ -256,7 +290,7 @@ def encode(docs: DataFrame, path: str, threads: int = 1, ids: str = "token_ids",
     return docs.mapInArrow(run, schema)
 
 
-def summary(docs: DataFrame, path: str, threads: int = 1) -> DataFrame:
+def summary(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_crc32, parity, roundtrip (ids decode to the text), decoded_sha256."""
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_crc32 long, parity boolean, roundtrip boolean, decoded_sha256 string"
@@ -265,9 +299,9 @@ def summary(docs: DataFrame, path: str, threads: int = 1) -> DataFrame:
         codec = codec_of(path, threads)
         for batch in batches(it, 1 << 20):
             texts, rows = text_bytes(batch), []
-            for text, (x, same) in zip(texts, codec.checked(texts)):
-                back = codec.decode(x)
-                rows.append((len(x), zlib.crc32(x.tobytes()), same, back == text, hashlib.sha256(back).hexdigest()))
+            found = list(codec.checked(texts))
+            for text, (x, same), back in zip(texts, found, codec.decode([x for x, _ in found])):
+                rows.append((len(x) // 4, zlib.crc32(x), same, back == text, hashlib.sha256(back).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "n_tokens", "ids_crc32", "parity", "roundtrip", "decoded_sha256"])
         codec.rest()
