@@ -1,25 +1,33 @@
 """Mixing sources to target weights.
 
-Words of a source, in doc_id order, are one stream, packed into blocks of
-``length`` words. The mix has as many words as all sources together; a source's
-target is its weight's share, capped at ``most`` times its size with the excess
-shared again. Output shards of ``shard_slots`` slots draw how many slots each
-source gets by splitting the slots' urn along a binary tree of shards with
-multinomial draws, so counts are multinomial given the exact totals, every
-shard can compute its own without a table of all shards, and reruns agree. The
-``j``-th slot of a source takes block ``perm(j mod blocks)``, where every pass
-over the source has its own pseudorandom permutation of block indices (a
-Feistel network). The last slot is trimmed, so a source's total is its target
-to the word. Blocks and slots meet in one join on (source, block).
+Words (the tokens here) of a source, in doc_id order, are one stream, packed
+into blocks of ``length`` words. The mix has as many words as all sources
+together; a source's target is its weight's share, capped at ``most`` times its
+size with the excess shared again. An output shard has ``shard_slots`` slots.
+How many of them each source gets is drawn: along a binary tree of shards, the
+slots of one half are a multinomial draw from what the sources have left, drawn
+again where a source would give more than that. So every shard computes its own
+counts without a table of all shards, counts add up to the exact totals, and
+reruns agree. The ``j``-th slot of a source takes block ``perm(j mod blocks)``,
+where every pass over the source has its own pseudorandom permutation of block
+indices (a Feistel network); slots of a shard are shuffled. The last slot is
+trimmed, so a source's total is its target to the word. Blocks and slots meet in
+one shuffled join on (source, block); ``blocks`` assembles the shards' blocks,
+``apply`` gives their pieces as documents, shard by shard.
+
+Another seed gives every shard other blocks and other counts; what a source
+gives in all differs only in its last, partial pass.
 
 Prefix sums of words run over a range partitioning by (source, doc_id): sums
-within partitions, plus one row per partition and source on the driver. A
-source with a third of all rows is many partitions like any other.
+within partitions, plus one row per partition and source on the driver; ranges
+begin with the source, so these are at most partitions and sources together. A
+source with a third of all rows is many partitions like any other. Sources with
+their totals and weights are on the driver and in every task.
 
 Defined results: null text has size 0 and is never taken; a null source is a
 source of its own, last in the order of weights; a null doc_id sorts first in
 its source; repeated rows are each a document; an empty table gives an empty
-result.
+result. Bytes that are no UTF-8 stay as they are.
 """
 
 from __future__ import annotations
@@ -32,10 +40,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches, fresh_name, scanned, small_batches, text_bytes, with_row_key, written
 
 U = np.uint64
+CONTINUATION = bytes(range(0x80, 0xC0))
+KNOWN_ROWS = 200_000  # of partitions and their sources, that are broadcast
 
 
 def mixed64(x: np.ndarray) -> np.ndarray:
@@ -145,14 +156,14 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Mix:
-    """``pieces``: one row per document and slot that takes words of it (shard, slot, first and end word);
-    ``measured``: one row per document with its source's size and target."""
+    """``pieces``: one row per document and slot that takes words of it (shard, slot, place in its source's stream,
+    first and end word); ``measured``: one row per document with its source's size and target."""
 
     pieces: DataFrame
     measured: DataFrame
 
 
-def mix(docs: DataFrame, length: int = 1024, shard_slots: int = 4096, seed: int = 7, most: float = 3.0, weights: tuple[float, ...] = (1, 2, 3)) -> Mix:
+def mix(docs: DataFrame, length: int = 1024, shard_slots: int = 1024, seed: int = 7, most: float = 3.0, weights: tuple[float, ...] = (1, 2, 3)) -> Mix:
     spark = docs.sparkSession
     order = ["doc_id", "file", "row"]
     ranged = sizes(scanned(docs)).repartitionByRange("source", *order).withColumn("part", F.spark_partition_id())
@@ -169,6 +180,7 @@ def mix(docs: DataFrame, length: int = 1024, shard_slots: int = 4096, seed: int
     index = {s: i for i, s in enumerate(names)}
     shares = [share_of(i, total[s], goal[s], length, seed, most) for i, s in enumerate(names)]
     known = spark.createDataFrame([(p, s, b, index[s], total[s], goal[s]) for p, s, b in begins], "part int, source string, before long, source_no int, source_size long, target double")
+    known = F.broadcast(known) if len(begins) <= KNOWN_ROWS else known
 
     running = Window.partitionBy("part", "source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("inside", F.coalesce(F.sum("size").over(running), F.lit(0)))
@@ -196,33 +208,40 @@ def mix(docs: DataFrame, length: int = 1024, shard_slots: int = 4096, seed: int
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(place[done : done + n]), pa.array(np.full(n, no, np.int32)), pa.array(block), pa.array(take)], ["shard", "slot", "source_no", "block", "take"])
                     done += n
 
-    slots = spark.range(n_shards).mapInArrow(fill, "shard long, slot long, source_no int, block long, take long")
+    # Spark takes slots for as few rows as shards, so the join is told to shuffle them
+    slots = spark.range(0, n_shards, 1, max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))).mapInArrow(fill, "shard long, slot long, source_no int, block long, take long")
     end = F.col("begin") + F.col("size")
     per_block = placed.where("size > 0").select(*order, "source_no", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {length}"), F.expr(f"(begin + size - 1) div {length}"))).alias("block"))
     origin = F.col("block") * length
     per_block = per_block.withColumns({"lo": F.greatest(F.col("begin") - origin, F.lit(0)), "hi": F.least(end - origin, F.lit(length)), "shift": origin - F.col("begin")})
-    met = per_block.join(slots, ["source_no", "block"]).withColumn("hi", F.least("hi", "take")).where("hi > lo")
-    pieces = met.select(*order, "shard", "slot", (F.col("shift") + F.col("lo")).alias("first_word"), (F.col("shift") + F.col("hi")).alias("end_word"))
+    met = per_block.join(slots.hint("merge"), ["source_no", "block"]).withColumn("hi", F.least("hi", "take")).where("hi > lo")
+    pieces = met.select(*order, "shard", "slot", "begin", (F.col("shift") + F.col("lo")).alias("first_word"), (F.col("shift") + F.col("hi")).alias("end_word"))
     return Mix(pieces, placed)
 
 
 def taken(mixed: Mix) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken."""
+    """Per document: doc_id, size, source_size, target, taken, and the output shards that take words of it (in order)."""
     keys = ["file", "row"]
-    words = mixed.pieces.groupBy(*keys).agg(F.sum(F.col("end_word") - F.col("first_word")).alias("taken"))
-    return mixed.measured.join(words, keys, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    words = mixed.pieces.groupBy(*keys).agg(F.sum(F.col("end_word") - F.col("first_word")).alias("taken"), F.array_sort(F.collect_set("shard")).alias("shards"))
+    return mixed.measured.join(words, keys, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.array().cast("array<long>")).alias("shards"))
 
 
-def apply(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: one row per piece, ``text`` cut to its words (and the white
-    space between them), ``n_chars`` (if there) its length. Documents taken twice appear twice."""
-    docs = scanned(docs)
-    mixed = mix(docs, **options)
-    file, row, cut = (fresh_name(docs, n) for n in ("file_key", "row_key", "cuts"))
-    cuts = mixed.pieces.groupBy("file", "row").agg(F.collect_list(F.struct("first_word", "end_word")).alias(cut)).withColumnsRenamed({"file": file, "row": row})
-    joined = with_row_key(docs, file, row).join(cuts, [file, row]).drop(file, row)
-    kinds = docs.schema
-    n_chars = next((c for c in docs.columns if c == "n_chars"), None)
+def counts(mixed: Mix) -> DataFrame:
+    """Slots and words of each source in each output shard: shard, source, slots, words."""
+    source = mixed.measured.select("file", "row", "source")
+    pieces = mixed.pieces.join(source, ["file", "row"])
+    return pieces.groupBy("shard", "source").agg(F.count_distinct("slot").alias("slots"), F.sum(F.col("end_word") - F.col("first_word")).alias("words"))
+
+
+def _pieces(docs: DataFrame, mixed: Mix, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """One row per piece, with columns of ``docs``, ``text`` cut to its words; and the names under which the piece's
+    shard, slot and begin follow."""
+    file, row, cut, *rest = (fresh_name(docs, n) for n in ("file_key", "row_key", "cuts", "shard", "slot", "begin"))
+    names = dict(zip(("shard", "slot", "begin"), rest))
+    cuts = mixed.pieces.groupBy("file", "row").agg(F.collect_list(F.struct("first_word", "end_word", *names)).alias(cut)).withColumnsRenamed({"file": file, "row": row})
+    joined = with_row_key(docs, file, row).join(cuts, [file, row]).select(*columns, cut)
+    kinds = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(n, T.LongType()) for n in rest)])
+    n_chars = next((c for c in columns if c == "n_chars"), None)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
@@ -232,12 +251,33 @@ def apply(docs: DataFrame, **options) -> DataFrame:
                 for p in parts:
                     of.append(i)
                     texts.append(text[spans[p["first_word"]][0] : spans[p["end_word"] - 1][1]])
+            flat = pa.compute.list_flatten(batch.column(cut))
             out = batch.drop_columns([cut]).take(pa.array(of, pa.int64()))
-            strings = pa.array(texts, pa.binary()).cast(pa.string())
-            out = out.set_column(out.schema.get_field_index("text"), "text", strings)
+            out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).view(pa.string()))
             if n_chars:
                 at = out.schema.get_field_index(n_chars)
-                out = out.set_column(at, n_chars, pa.compute.utf8_length(strings).cast(out.schema.field(at).type))
+                out = out.set_column(at, n_chars, pa.array([len(t.translate(None, CONTINUATION)) for t in texts], out.schema.field(at).type))
+            for name, own in names.items():
+                out = out.append_column(own, pa.compute.struct_field(flat, name))
             yield out
 
-    return joined.mapInArrow(run, kinds)
+    return joined.mapInArrow(run, kinds), names
+
+
+def apply(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: one row per piece, ``text`` cut to its words (and the white
+    space between them), ``n_chars`` (if there) its length. A shard's pieces follow each other in one partition, slot
+    after slot, in the order of their source's stream. Documents taken twice appear twice."""
+    docs = scanned(docs)
+    rows, names = _pieces(docs, mix(docs, **options), docs.columns)
+    return rows.repartition(names["shard"]).sortWithinPartitions(*names.values()).select(*docs.columns)
+
+
+def blocks(docs: DataFrame, **options) -> DataFrame:
+    """The assembled output shards: shard, slot, n_words, text, one row per slot; texts of a slot's pieces are joined
+    by line feeds. All slots have ``length`` words but for the last block of a source and the last slot it fills."""
+    docs = scanned(docs)
+    rows, names = _pieces(docs, mix(docs, **options), ["text"])
+    piece = F.struct(F.col(names["begin"]).alias("begin"), F.col("text").alias("text"))
+    slots = rows.groupBy(F.col(names["shard"]).alias("shard"), F.col(names["slot"]).alias("slot")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["text"]), "\n").alias("text"))
+    return slots.select("shard", "slot", F.size(F.regexp_extract_all("text", F.lit("([^ \t\n\x0b\f\r]+)"), F.lit(1))).cast("long").alias("n_words"), "text")
