@@ -3,14 +3,19 @@
 Texts are equal when identical without ASCII white space. Each input partition
 sorts its digests into one run per digest range, folding copies; in each round
 the runs of ``fan_in`` neighbouring partitions meet and are merged in one pass
-(a binomial tree, radix ``fan_in``), again folding equal digests to the row
-that stays and the group's size. So a digest occurs once per run, however many
-copies there are: a group holding a third of all rows costs no more than any
-other. Ranges keep every run bounded; no task sees more than one range.
+(a binomial tree for 2, of higher radix else), again folding equal digests to
+the row that stays and the group's size, until one run per range is left. So a
+digest occurs once per run, however many copies there are. Ranges keep every run
+bounded; no task sees more than one range.
 
-Digests are verified where runs meet: rows fold only if SHA-256, an independent
-64-bit hash and the length of the normalised text all agree; otherwise they
-stay separate groups.
+Rows meet their group's answer by digest. The largest groups' answers are
+broadcast (groups over a hundred thousandth of all rows, so never more than a
+hundred thousand of them), and their copies stay where they are; what is
+shuffled has small groups only.
+
+Identifiers are verified where runs meet: rows fold only if SHA-256, an
+independent 64-bit hash and the length of the normalised text all agree;
+otherwise they stay separate groups. The texts themselves aren't compared again.
 
 Defined results: null text is empty; of equal texts the one with the most code
 points, then the smallest doc_id stays, a null doc_id after all others; of
@@ -35,6 +40,8 @@ from .common import fresh_name, scanned, small_batches, with_row_key, written
 RECORD = struct.Struct(">32sqqqqqqqq")
 RUN_ROWS = 100_000  # rows that a leaf sorts at a time
 RANGE_ROWS = 100_000  # rows of a digest range, about
+HOT_GROUPS = 100_000  # answers that are broadcast, at most; some 100 bytes each
+HOT_ROWS = 1000  # rows of a group whose answer is broadcast, at least
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -101,9 +108,9 @@ def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), *(pa.array(x, pa.int64()) for x in (c[1], c[2], null, c[6], c[7], c[8]))], ["sha", "chk", "n_bytes", "keep_id", "keep_file", "keep_row", "group_size"])
 
 
-def groups(base: DataFrame, fan_in: int = 16) -> DataFrame:
+def groups(base: DataFrame, fan_in: int = 4) -> DataFrame:
     """One row per distinct text: its digest, the row that stays, the group's size."""
-    n_leaves, n_rows = base.rdd.getNumPartitions(), base.count()
+    n_leaves, n_rows = base.rdd.getNumPartitions(), base.count()  # the number of partitions is known without a job
     runs = base.mapInArrow(_leaves(max(16, -(-n_rows // RANGE_ROWS))), "part int, node int, run binary")
     width = 1
     while True:
@@ -114,17 +121,20 @@ def groups(base: DataFrame, fan_in: int = 16) -> DataFrame:
             return runs.mapInArrow(_rows, "sha binary, chk long, n_bytes long, keep_id long, keep_file long, keep_row long, group_size long")
 
 
-def label(docs: DataFrame, fan_in: int = 16) -> DataFrame:
+def label(docs: DataFrame, fan_in: int = 4) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the row's key (file, row)."""
     small_batches(docs.sparkSession)
     base = written(digests(scanned(docs)), "digests")
-    found = groups(base, fan_in)
-    return base.join(found, ["sha", "chk", "n_bytes"]).select(
+    found, key = written(groups(base, fan_in), "groups"), ["sha", "chk", "n_bytes"]
+    large = F.col("group_size") > max(HOT_ROWS, base.count() // HOT_GROUPS)
+    hot = F.broadcast(found.where(large))
+    both = base.join(hot, key).unionByName(base.join(hot.select(*key), key, "left_anti").join(found.where(~large), key))
+    return both.select(
         "doc_id", "keep_id", "group_size", ((F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "file", "row"
     )
 
 
-def keep(docs: DataFrame, fan_in: int = 16) -> DataFrame:
+def keep(docs: DataFrame, fan_in: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     docs = scanned(docs)
     file, row = fresh_name(docs, "file_key"), fresh_name(docs, "row_key")
