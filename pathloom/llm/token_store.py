@@ -7,20 +7,26 @@ n_tokens, id width, n_null (documents without an id, at the end), n_levels, and
 per level its number of 64-bit words, as int64; the hash levels' words; per
 level word the keys before it (int64); fingerprints (uint32), first document
 and number of documents (uint32 each) per key; n_docs + 1 offsets in ids
-(int64); the documents' ids in order (int64).
+(int64). ``shard-N.key`` lists the documents' ids in order (int64), for going
+through a whole shard; lookups don't read it.
 
 The index is a minimal perfect hash of the shard's keys: at each level keys hash
 to bits, a key alone on its bit is settled, others go on to the next level; the
 rank of its bit numbers the key. A lookup hashes, tests bits, counts one rank
-and compares the stored fingerprint: constant time, no search, and no keys kept.
+and compares the stored fingerprint, reading a few numbers at computed places of
+the file: constant time (two levels on average), no search, and no keys. An id
+that isn't there is found with a chance of 2^-32, the fingerprint's.
 
-Shards are written by the task that encodes them, under a name of the attempt,
-then moved; a retried task just writes them again. Paths go through Arrow's
-file systems, so a store can lie wherever those reach.
+Documents are encoded where they are; then their ids, a fraction of the text,
+are sorted by doc_id over range partitions, each of which writes its shards
+under a name of the attempt and moves them; a retried task just writes them
+again. Paths go through Arrow's file systems, so a store can lie wherever those
+reach.
 
 Defined results: null text is empty (its ids are the end id alone); documents
 without an id come last; rows with one id repeated follow each other (ordered by
-text hash) and are all found under it; empty tables give a store without shards.
+text hash) and are all found under it; bytes that are no UTF-8 are encoded as
+replacement characters; empty tables give a store without shards.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ import json
 import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -46,6 +53,8 @@ from .mixing import mixed64
 MAGIC = b"PLIDX01\0"
 U = np.uint64
 CACHE_WORDS = 600_000
+SHARD_BYTES = 64 << 20
+READ_BYTES = 4 << 20
 
 
 def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -244,11 +253,12 @@ def write_shard(folder: str, name: str, ids: list[bytes], doc_ids: list[int | No
     index = build_index(keys, first, count)
     head = np.array([len(ids), len(keys), offsets[-1], width, len(ids) - len(known), len(index.levels), *map(len, index.levels)], "<i8")
     parts = [MAGIC, head.tobytes(), *(x.astype("<u8").tobytes() for x in index.levels), *(x.astype("<i8").tobytes() for x in index.ranks)]
-    parts += [x.astype("<u4").tobytes() for x in (index.prints, index.first, index.count)] + [offsets.astype("<i8").tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes()]
+    parts += [x.astype("<u4").tobytes() for x in (index.prints, index.first, index.count)] + [offsets.astype("<i8").tobytes()]
+    all_ids = np.array([d or 0 for d in doc_ids], "<i8").tobytes()
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     attempt = TaskContext.get().taskAttemptId() if TaskContext.get() else 0
-    for kind, content in (("bin", ids), ("idx", parts)):
+    for kind, content in (("bin", ids), ("idx", parts), ("key", [all_ids])):
         with fs.open_output_stream(f"{root}/.{name}.{kind}.{attempt}") as out:
             for x in content:
                 out.write(x)
@@ -257,43 +267,80 @@ def write_shard(folder: str, name: str, ids: list[bytes], doc_ids: list[int | No
 
 
 class Shard:
-    """One shard, opened for reading."""
+    """One shard, opened for reading; its head is read, all else as it is asked for."""
+
+    HEAD = 8 + 6 * 8
 
     def __init__(self, folder: str, name: str):
-        self.fs, root = file_system(folder)
-        with self.fs.open_input_stream(f"{root}/{name}.idx") as f:
-            raw = f.read()
+        self.fs, self.root = file_system(folder)
+        self.name = name
+        self.idx, self.bin = (self.fs.open_input_file(f"{self.root}/{name}.{kind}") for kind in ("idx", "bin"))
+        raw = self._read(0, self.HEAD)
         if raw[:8] != MAGIC:
             raise ValueError(f"{name}.idx is no index")
-        self.at, self.raw = 8, raw
-        self.n_docs, n_keys, self.n_tokens, self.width, self.n_null, n_levels = self._take(6, "<i8").tolist()
-        lengths = self._take(n_levels, "<i8").tolist()
-        levels = [self._take(n, "<u8") for n in lengths]
-        ranks = [self._take(n, "<i8") for n in lengths]
-        self.index = Index(levels, ranks, *(self._take(n_keys, "<u4") for _ in range(3)))
-        self.offsets, self.doc_ids = self._take(self.n_docs + 1, "<i8"), self._take(self.n_docs, "<i8")
-        self.body = self.fs.open_input_file(f"{root}/{name}.bin")
-
-    def _take(self, n: int, kind: str) -> np.ndarray:
-        out = np.frombuffer(self.raw, kind, n, self.at)
-        self.at += out.nbytes
-        return out
-
-    def ids(self, document: int) -> np.ndarray:
-        """The ids of the document with this number in the shard."""
-        begin, end = self.offsets[document : document + 2].tolist()
-        self.body.seek(begin * self.width)
-        return np.frombuffer(self.body.read((end - begin) * self.width), f"<u{self.width}")
+        self.n_docs, self.n_keys, self.n_tokens, self.width, self.n_null, n_levels = np.frombuffer(raw, "<i8", 6, 8).tolist()
+        self.words = self._numbers(self.HEAD, n_levels, "<i8").tolist()
+        at = self.HEAD + 8 * n_levels
+        self.levels = [at + 8 * sum(self.words[:i]) for i in range(n_levels)]
+        self.ranks = [x + 8 * sum(self.words) for x in self.levels]
+        self.prints = at + 16 * sum(self.words)
+        self.first, self.count, self.offsets = (self.prints + 4 * i * self.n_keys for i in (1, 2, 3))
+
+    def __enter__(self) -> Shard:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.idx.close()
+        self.bin.close()
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.idx.seek(at)
+        return self.idx.read(n)
+
+    def _numbers(self, at: int, n: int, kind: str) -> np.ndarray:
+        return np.frombuffer(self._read(at, n * np.dtype(kind).itemsize), kind)
+
+    def number(self, doc_id: int) -> int:
+        """The number of a key, -1 if its fingerprint isn't there; a few reads of 4 or 8 bytes."""
+        key = np.array([doc_id]).astype(U)
+        for level, (n, words, ranks) in enumerate(zip(self.words, self.levels, self.ranks)):
+            bit = int(_bits(key, level, 64 * n)[0])
+            word = int(self._numbers(words + 8 * (bit >> 6), 1, "<u8")[0])
+            if word >> (bit & 63) & 1:
+                out = int(self._numbers(ranks + 8 * (bit >> 6), 1, "<i8")[0]) + (word & ((1 << (bit & 63)) - 1)).bit_count()
+                return out if self._numbers(self.prints + 4 * out, 1, "<u4")[0] == _prints(key)[0] else -1
+        return -1
+
+    def ids(self, document: int, n: int = 1) -> list[np.ndarray]:
+        """The ids of ``n`` documents from this one in the shard on, read at once."""
+        ends = self._numbers(self.offsets + 8 * document, n + 1, "<i8")
+        self.bin.seek(int(ends[0]) * self.width)
+        flat = np.frombuffer(self.bin.read(int(ends[-1] - ends[0]) * self.width), f"<u{self.width}")
+        return np.split(flat, ends[1:-1] - ends[0])
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of all documents with this id; none if there is none."""
         if doc_id is None:
-            return [self.ids(i) for i in range(self.n_docs - self.n_null, self.n_docs)]
-        n = int(self.index.find(np.array([doc_id]))[0])
+            return self.ids(self.n_docs - self.n_null, self.n_null) if self.n_null else []
+        n = self.number(doc_id)
         if n < 0:
             return []
-        first = int(self.index.first[n])
-        return [self.ids(i) for i in range(first, first + int(self.index.count[n]))] if self.doc_ids[first] == doc_id else []
+        first, count = (int(self._numbers(at + 4 * n, 1, "<u4")[0]) for at in (self.first, self.count))
+        return self.ids(first, count)
+
+    def index(self) -> Index:
+        """The whole index, for many lookups at once."""
+        levels = [self._numbers(at, n, "<u8") for at, n in zip(self.levels, self.words)]
+        ranks = [self._numbers(at, n, "<i8") for at, n in zip(self.ranks, self.words)]
+        return Index(levels, ranks, *(self._numbers(at, self.n_keys, "<u4") for at in (self.prints, self.first, self.count)))
+
+    def doc_ids(self) -> np.ndarray:
+        """All documents' ids in order; those of the last ``n_null`` mean nothing."""
+        with self.fs.open_input_stream(f"{self.root}/{self.name}.key") as f:
+            return np.frombuffer(f.read(), "<i8")
 
 
 def write_store(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int | None = 1) -> tuple[str, list[dict]]:
@@ -301,29 +348,39 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str | None = None, end_
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or fresh_path(spark, "tokens")
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
+        for batch in batches(it, 1 << 20):
+            ids = pa.array([x + end for x in encoder.encode(text_bytes(batch))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), ids], ["doc_id", "tie", "ids"])
+
+    # written first: the sampling that finds the ranges then reads two columns
+    coded = written(slim.withColumn("tie", F.xxhash64("text")).mapInArrow(encoded, "doc_id long, tie long, ids binary"), "encoded")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie").asc()]
+    ranged = coded.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = encoder_of(tokenizer).width
         ids: list[bytes] = []
         doc_ids: list[int | None] = []
         part, seq, size = TaskContext.get().partitionId(), 0, 0
 
         def flush():
             nonlocal seq, size
-            line = write_shard(folder, f"shard-{part:08d}-{seq:04d}", ids, doc_ids, encoder.width)
+            line = write_shard(folder, f"shard-{part:08d}-{seq:04d}", ids, doc_ids, width)
             ids.clear()
             doc_ids.clear()
             seq, size = seq + 1, 0
             return pa.RecordBatch.from_pylist([line], pa.schema([("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("n_null", pa.int64())]))
 
-        for batch in batches(it, 1 << 20):
-            ids += [x + end for x in encoder.encode(text_bytes(batch))]
+        for batch in it:
+            ids += batch.column("ids").to_pylist()
             doc_ids += batch.column("doc_id").to_pylist()
-            size += sum(map(len, ids[-batch.num_rows :]))
-            if size > 64 << 20:
+            size += sum(map(len, ids[len(ids) - batch.num_rows :]))
+            if size > SHARD_BYTES:
                 yield flush()
         if ids:
             yield flush()
@@ -338,20 +395,27 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str | None = None, end_
 
 
 def read_store(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
-    """Every document of a store, read by key through the index: doc_id, start, n_tokens, ids_crc32."""
+    """Every document of a store, found by key through the index: doc_id, start, n_tokens, ids_crc32. A shard is read
+    in pieces of about READ_BYTES."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for name, start in zip(*batch.to_pydict().values()):
-                shard = Shard(folder, name)
-                known = shard.n_docs - shard.n_null
-                keys = shard.doc_ids[:known]
-                n = shard.index.find(keys)
-                if (n < 0).any() or (keys != shard.doc_ids[shard.index.first[n]]).any():
-                    raise ValueError(f"{name}: the index doesn't find its keys")
-                crc = [zlib.crc32(shard.ids(i).astype("<u4").tobytes()) for i in range(shard.n_docs)]
-                ids = pa.array(shard.doc_ids, mask=np.arange(shard.n_docs) >= known)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(start + shard.offsets[:-1]), pa.array(np.diff(shard.offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                with Shard(folder, name) as shard:
+                    known, keys, index = shard.n_docs - shard.n_null, shard.doc_ids(), shard.index()
+                    n = index.find(keys[:known])
+                    first = index.first[n].astype(np.int64)
+                    after = np.arange(known) - first
+                    if (n < 0).any() or (after < 0).any() or (after >= index.count[n]).any():
+                        raise ValueError(f"{name}: the index doesn't find its keys")
+                    offsets = shard._numbers(shard.offsets, shard.n_docs + 1, "<i8")
+                    crc, at = [], 0
+                    while at < shard.n_docs:
+                        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + READ_BYTES // shard.width)) - 1)
+                        crc += [zlib.crc32(x.astype("<u4").tobytes()) for x in shard.ids(at, end - at)]
+                        at = end
+                    ids = pa.array(keys, mask=np.arange(shard.n_docs) >= known)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = [(m["name"], m["start"]) for m in manifest]
     listed = spark.createDataFrame(rows, "name string, start long")
@@ -359,16 +423,30 @@ def read_store(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFr
 
 
 class Store:
-    """Keyed access from one process: which shards can hold a key is in the manifest, the rest is constant time."""
+    """Keyed access from one process. Shards ascend, so the manifest is bisected for those that can hold a key; the
+    rest is constant time. The ``most_open`` shards used last stay open."""
 
-    def __init__(self, folder: str, manifest: list[dict]):
-        self.folder, self.manifest, self.open = folder, manifest, {}
+    def __init__(self, folder: str, manifest: list[dict], most_open: int = 64):
+        self.folder, self.most_open, self.open = folder, most_open, {}
+        self.keyed = [m for m in manifest if m["least"] is not None]
+        self.least, self.most = [m["least"] for m in self.keyed], [m["most"] for m in self.keyed]
+        self.null = [m for m in manifest if m["n_null"]]
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.open:
+            self.open.popitem()[1].close()
+
+    def shard(self, name: str) -> Shard:
+        found = self.open.pop(name, None) or Shard(self.folder, name)
+        self.open[name] = found
+        if len(self.open) > self.most_open:
+            self.open.pop(next(iter(self.open))).close()
+        return found
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
-        out = []
-        for m in self.manifest:
-            if m["n_null"] if doc_id is None else m["least"] is not None and m["least"] <= doc_id <= m["most"]:
-                if m["name"] not in self.open:
-                    self.open[m["name"]] = Shard(self.folder, m["name"])
-                out += self.open[m["name"]].get(doc_id)
-        return out
+        """The ids of all documents with this id (None: without one)."""
+        held = self.null if doc_id is None else self.keyed[bisect_left(self.most, doc_id) : bisect_right(self.least, doc_id)]
+        return [x for m in held for x in self.shard(m["name"]).get(doc_id)]
