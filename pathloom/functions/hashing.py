@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .paths import path_key
+
 # The public FNV-1a parameters.
 OFFSET, PRIME = 14695981039346656037, 1099511628211
 
@@ -25,3 +27,8 @@ def fnv_hex(c: Column) -> Column:
         return s.map(lambda x: None if x is None else f"{fnv1a(x.encode()):016x}")
 
     return run(c)
+
+
+def path_hash(path: Column | str) -> Column:
+    """The hash of a path whose separators are all ``/``, without trailing ones: equal for paths of one key."""
+    return fnv_hex(path_key(path))

@@ -19,7 +19,7 @@ def _files(df: DataFrame) -> Column:
 
 def csv_lines(results: DataFrame) -> DataFrame:
     """(value): a guarded CSV line per row; files have no number of files."""
-    shown = display(results).join(results.select("id", "is_dir", _files(results).alias("files")), "id")
+    shown = display(results, F.col("is_dir"), _files(results).alias("files"))
     cells = ["filename", "size", "last_modified", "full_path", "extension"]
     return shown.select(F.concat_ws(",", *(csv_cell(c) for c in cells), F.when(F.col("is_dir"), F.col("files")).otherwise(F.lit("-"))).alias("value"))
 
@@ -40,7 +40,7 @@ def export_csv(results: DataFrame, path: str) -> None:
 
 def clipboard_csv(results: DataFrame, columns: tuple[str, ...] = VISIBLE) -> DataFrame:
     """(value): lines of the chosen columns, without the guard; ``Name`` has its extension."""
-    shown = display(results).join(results.select("id", "is_dir", _files(results).alias("files")), "id")
+    shown = display(results, F.col("is_dir"), _files(results).alias("files"))
     cells = {
         "Name": filename("full_path"), "Size": F.col("size"), "Last Modified": F.col("last_modified"), "Full Path": F.col("full_path"),
         "Extension": extension("full_path"), "# Files": F.when(F.col("is_dir"), F.col("files")).otherwise(F.lit("-")),

@@ -44,11 +44,11 @@ def total_bytes(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(~F.col("is_dir"), F.col("size_bytes"))), F.lit(0)).alias("total_bytes"))
 
 
-def display(df: DataFrame) -> DataFrame:
-    """Rows as a table shows them."""
+def display(df: DataFrame, *more: Column) -> DataFrame:
+    """Rows as a table shows them, and ``more`` columns of theirs."""
     return df.select(
         "id", stem("full_path").alias("filename"), size_display(F.col("is_dir"), F.col("size_bytes"), F.col("size_state")).alias("size"),
-        time_display(F.col("mtime"), F.col("mtime_state")).alias("last_modified"), "full_path", extension("full_path").alias("extension"),
+        time_display(F.col("mtime"), F.col("mtime_state")).alias("last_modified"), "full_path", extension("full_path").alias("extension"), *more,
     )
 
 

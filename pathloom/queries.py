@@ -255,6 +255,22 @@ register("c13_attributes", CAT + " SELECT id, CASE WHEN id % 3 = 1 THEN NULL WHE
     lambda s, d: (lambda c: dml.invalidate_sizes(dml.set_attributes(c, c.where("id % 3 = 0").select("id", F.col("id").alias("size_bytes"), F.lit(None).cast("timestamp_ntz").alias("mtime"))), c.where("id % 3 = 1")))(cat_docs(s, d)).select("id", "size_bytes")
 )
 register("c16_resolve_parents", TREE + " SELECT t.id, p.id AS parent_key FROM tree t LEFT JOIN tree p ON p.id = t.parent_id")(lambda s, d: dml.resolved_parents(tree(s, d)).select("id", "parent_key"))
+# parents by record number: every parent reference has other sequence bits than its row
+register("c16_stale_parents", _walk() + _OUT)(
+    lambda s, d: _shape(dml.recompute_paths(tree(s, d).withColumn("parent_id", F.when(F.col("parent_id") != 0, F.col("parent_id") + F.shiftleft(F.col("id") % 5 + 1, 48)).otherwise(F.col("parent_id"))), "/"))
+)
+register("c9_deep_chain", _walk("new", ", new AS (SELECT id, parent_id, name, is_dir, size_bytes FROM tree UNION ALL SELECT 5000000000 + range, CASE WHEN range = 0 THEN 1 ELSE 4999999999 + range END, 'level_' || range, true, 0 FROM range(100))") + _OUT)(
+    lambda s, d: _shape(dml.recompute_paths(tree(s, d).unionByName(as_catalog(s.range(100).selectExpr("5000000000 + id AS id", "CASE WHEN id = 0 THEN 1 ELSE 4999999999 + id END AS parent_id", "concat('level_', id) AS name", "true AS is_dir", "CAST(0 AS BIGINT) AS size_bytes"))), "/"))
+)
+register("c8_remove_deep_subtree", _walk() + _OUT)(
+    lambda s, d: _shape((lambda c: dml.remove_subtrees(c, s.createDataFrame([(5000000000,)], "id long")))(dml.recompute_paths(tree(s, d).unionByName(as_catalog(s.range(100).selectExpr("5000000000 + id AS id", "CASE WHEN id = 0 THEN 1 ELSE 4999999999 + id END AS parent_id", "concat('level_', id) AS name", "true AS is_dir", "CAST(0 AS BIGINT) AS size_bytes"))), "/")))
+)
+register("c1_unknown_parent", _walk() + " SELECT id, full_path, is_dir FROM walk UNION ALL SELECT 8, 'lost', true UNION ALL SELECT 9, 'lost/found.txt', false UNION ALL SELECT 6, 'bare.txt', false")(
+    lambda s, d: _shape(dml.upsert(full_tree(s, d), s.createDataFrame([(8, 7, "lost", True), (9, 8, "found.txt", False), (6, 7, "bare.txt", False)], "id long, parent_id long, name string, is_dir boolean"), "/"))
+)
+register("c2_reinsert_removed", CAT + " SELECT full_path, false AS deleted FROM cat")(
+    lambda s, d: (lambda p, c: dml.insert_paths(dml.mark_removed(c, c.where("not is_dir and id % 3 = 0")), p))(*(lambda p: (p, lists.catalog_from_paths(p)))(cat_docs(s, d).select("full_path", F.lit(False).alias("is_dir")))).where("not is_dir").select("full_path", "deleted")
+)
 
 # ---- journal
 
@@ -283,6 +299,19 @@ register("l2_change_fold", _FOLD + " SELECT file_ref AS id, op, CASE WHEN op = '
 register("l5_apply_changes", _walk("new", _FOLD.replace("WITH j", ", j", 1) + ", new AS (SELECT id, parent_id, name, is_dir, size_bytes FROM tree UNION ALL SELECT file_ref, parent_id, name, false, NULL FROM o WHERE op = 'upsert')") + " SELECT id, full_path FROM walk")(
     lambda s, d: apply_changes(full_tree(s, d), changes(s, d), "/").select("id", "full_path")
 )
+
+
+def reuse(catalog: DataFrame) -> DataFrame:
+    """Changes that delete every file and give its record, with other sequence bits, to a new one."""
+    files, none = catalog.where("not is_dir"), F.lit(None).cast("timestamp_ntz").alias("ts")
+    gone = files.select((F.col("id") * 2).alias("seq"), none, F.col("id").alias("file_ref"), F.col("parent_id").alias("parent_ref"), "name", "is_dir", F.array(F.lit("FILE_DELETE")).alias("reasons"))
+    again = files.select((F.col("id") * 2 + 1).alias("seq"), none, (F.col("id") + (1 << 48)).alias("file_ref"), (F.col("parent_id") + (2 << 48)).alias("parent_ref"), F.concat(F.lit("again_"), "name").alias("name"), "is_dir", F.array(F.lit("FILE_CREATE")).alias("reasons"))
+    return gone.union(again)
+
+
+register("l5_record_reuse", _walk("new", ", new AS (SELECT CASE WHEN is_dir THEN id ELSE id + 281474976710656 END AS id, parent_id, CASE WHEN is_dir THEN name ELSE 'again_' || name END AS name, is_dir, size_bytes FROM tree)") + " SELECT id, full_path FROM walk")(
+    lambda s, d: (lambda c: apply_changes(c, reuse(c), "/").select("id", "full_path"))(full_tree(s, d))
+)
 register("a5_action_filter", _JOURNAL + " SELECT seq, file_ref FROM j")(lambda s, d: journal.actions(changes(s, d)).select("seq", "file_ref"))
 register("l10_gaps", "SELECT min(event_id) AS first_seq, max(event_id) AS last_seq, count(DISTINCT event_id) < max(event_id) - min(event_id) + 1 AS compromised FROM events")(lambda s, d: journal.gaps(changes(s, d)))
 
@@ -297,7 +326,8 @@ def _guarded(c: str) -> str:
 register("b2_csv_escape", f"SELECT conv_id, turn, {_guarded('text')} AS cell FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '=' ELSE '' END || text AS text FROM conversations)")(
     lambda s, d: _read(s, d, "conversations").select("conv_id", "turn", formats.csv_cell(F.concat(F.when(F.col("turn") % 2 == 0, "=").otherwise(""), "text")).alias("cell"))
 )
-register("b1_csv_lines")(lambda s, d: export.csv_lines(cat_docs(s, d)))
+register("b1_csv_lines", PARTS + """ SELECT CASE WHEN extension <> '' THEN left(filename, length(filename) - length(extension) - 1) ELSE filename END || ',' || CASE WHEN size_bytes IS NULL THEN '...' WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024.0)
+  WHEN size_bytes < 1073741824 THEN printf('%.1f MB', size_bytes / 1048576.0) ELSE printf('%.2f GB', size_bytes / 1073741824.0) END || ',' || strftime(mtime, '%Y-%m-%d %H:%M') || ',' || full_path || ',' || extension || ',-' AS value FROM p""")(lambda s, d: export.csv_lines(cat_docs(s, d)))
 register("b3_clipboard_csv", PARTS + " SELECT filename || ',' || full_path AS value FROM p")(lambda s, d: export.clipboard_csv(cat_docs(s, d), ("Name", "Full Path")))
 register("b4_path_dump", CAT + " SELECT full_path FROM cat")(lambda s, d: cat_docs(s, d).select("full_path"))
 register("ks_numbers", CAT + """ SELECT id, CASE WHEN size_bytes = 0 THEN 'N/A' WHEN size_bytes >= 1073741824 THEN CAST((size_bytes + 536870912) // 1073741824 AS VARCHAR) || ' GB' WHEN size_bytes >= 1048576 THEN CAST((size_bytes + 524288) // 1048576 AS VARCHAR) || ' MB'
@@ -342,7 +372,14 @@ register("f9_history_merge", _HIST + " SELECT id, last_used_at FROM h WHERE is_p
 register("n1_normalize", "SELECT conv_id, turn, trim(text, ' \t\r\n') AS filename, array_to_string(list_sort(list_filter(list_transform(string_split(lower('B, a;;' || role), ','), lambda x: trim(x)), lambda x: x <> '')), ',') AS extensions FROM (SELECT conv_id, turn, text, replace(role, 'x', '') AS role FROM conversations)".replace("'B, a;;' || role", "'B, a,,' || role"))(
     lambda s, d: hist_params(s, d).select("conv_id", "turn", history.normalize(F.col("params")).alias("p")).select("conv_id", "turn", "p.filename", "p.extensions")
 )
-register("n2_history_ids")(lambda s, d: hist(s, d).select("id", hashing.fnv_hex(history.canonical(history.normalize(F.col("params")))).alias("hash")))
+
+def _fnv(text: str) -> str:
+    """SQL: FNV-1a of a string's bytes, as 16 hex digits."""
+    byte = f"CAST(CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS INTEGER) AS HUGEINT)"
+    return f"lower(lpad(to_hex(CAST(list_reduce(list_prepend(CAST({hashing.OFFSET} AS HUGEINT), list_transform(range(0, octet_length(encode({text}))), lambda i: {byte})), lambda h, b: (xor(h, b) * {hashing.PRIME}) & 18446744073709551615) AS UBIGINT)), 16, '0'))"
+
+
+register("n2_history_ids", _HIST + f", c AS (SELECT id, 'filename=' || filename || '|path=|extensions=|folders_only=0|case_sensitive=0|time_filter=0|size_filter=0|ai=' AS c FROM h) SELECT id, {_fnv('c')} AS hash FROM c")(lambda s, d: hist(s, d).select("id", hashing.fnv_hex(history.canonical(history.normalize(F.col("params")))).alias("hash")))
 
 
 def hist_params(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,3 +406,63 @@ register("ki6_abbreviated", "SELECT page_id AS id, CASE WHEN page_id % 4 = 0 THE
     lambda s, d: _read(s, d, "pages").select(F.col("page_id").alias("id"), formats.abbreviated(F.slice(F.array(*map(F.lit, "abcd")), F.lit(1), (F.col("page_id") % 4 + 1).cast("int"))).alias("shown"))
 )
 register("kd3_display_time", CAT + " SELECT id, strftime(mtime, '%Y-%m-%d %H:%M') AS shown FROM cat")(lambda s, d: cat_docs(s, d).select("id", formats.file_time("mtime").alias("shown")))
+
+# ---- rows that other queries don't reach: tombstones, failed times, history edits, helpers
+
+register("e1_live_rows", PARTS + " SELECT id FROM p WHERE id % 9 <> 0 AND extension = 'md'")(lambda s, d: q.search(cat_docs(s, d).withColumn("deleted", F.col("id") % 9 == 0), q.SearchQuery(filename="*.md")).select("id"))
+register("d6_search_rows", PARTS + " SELECT id, full_path, false AS is_dir, filename, extension FROM p WHERE contains(full_path, '/de/')")(lambda s, d: q.search_rows(cat_docs(s, d), q.SearchQuery(path="/de/")))
+_ODD = "full_path || CASE id % 3 WHEN 0 THEN '/.hidden' WHEN 1 THEN '/a.' ELSE '' END"
+register("d2b_utility_extension", CAT + f", o AS (SELECT id, regexp_extract({_ODD}, '([^/]*)$', 1) AS f FROM cat) SELECT id, CASE WHEN contains(f, '.') THEN regexp_extract(f, '([^.]*)$', 1) ELSE '' END AS extension FROM o")(
+    lambda s, d: cat_docs(s, d).select("id", paths.utility_extension(F.expr(_ODD)).alias("extension"))
+)
+register("e17_system_names", PARTS + " SELECT id, id % 4 = 0 AS is_system FROM p")(lambda s, d: cat_docs(s, d).select("id", paths.is_system_name(F.concat(F.when(F.col("id") % 4 == 0, "$").otherwise(""), paths.filename("full_path"))).alias("is_system")))
+register("ks4_until_nul", "SELECT conv_id, turn, text FROM conversations")(lambda s, d: _read(s, d, "conversations").select("conv_id", "turn", paths.until_nul(F.concat("text", F.when(F.col("turn") % 2 == 0, F.lit("\0tail\0")).otherwise(""))).alias("text")))
+register("ks12_trim_separators", CAT + r" SELECT id, full_path AS trimmed FROM cat")(lambda s, d: cat_docs(s, d).select("id", paths.trim_separators(F.concat("full_path", F.when(F.col("id") % 2 == 0, "//\\").otherwise(""))).alias("trimmed")))
+register("ks14_path_hash", CAT + f" SELECT id, {_fnv('full_path')} AS hash FROM cat")(lambda s, d: cat_docs(s, d).select("id", hashing.path_hash(F.concat(F.translate("full_path", "/", "\\"), F.lit("/"))).alias("hash")))
+register("kd5_tick_states", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'not_loaded' WHEN 1 THEN 'failed' ELSE 'loaded' END AS state, event_id * 10000000000 < 316224000000000 AS epoch FROM events")(
+    lambda s, d: _read(s, d, "events").select("event_id", formats.ticks_state(F.when(F.col("event_id") % 3 == 0, "18446744073709551615").when(F.col("event_id") % 3 == 1, "1").otherwise((F.col("event_id") + 5).cast("string"))).alias("state"), formats.is_epoch_time(F.col("event_id") * 10000000000).alias("epoch"))
+)
+_STATED = "CASE WHEN id % 5 < 2 THEN NULL ELSE mtime END"
+for _up in (True, False):
+    _dir = "ASC" if _up else "DESC"
+    register(f"i1c_sort_unknown_times_{_dir.lower()}", CAT + f" SELECT id, row_number() OVER (ORDER BY CASE id % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END {_dir}, {_STATED} {_dir} NULLS {'FIRST' if _up else 'LAST'}, full_path {_dir}, id {_dir}) - 1 AS row_index FROM cat")(
+        lambda s, d, u=_up: results.numbered(cat_docs(s, d).withColumns({"mtime_state": F.when(F.col("id") % 5 == 0, "failed").when(F.col("id") % 5 == 1, "not_loaded").otherwise("loaded"), "mtime": F.when(F.col("id") % 5 >= 2, F.col("mtime"))}), "LastModified", u).select("id", "row_index")
+    )
+    register(f"i1d_sort_folder_files_{_dir.lower()}", CAT + f" SELECT id, row_number() OVER (ORDER BY coalesce(nullif(id % 7, 3), 0) {_dir}, full_path {_dir}, id {_dir}) - 1 AS row_index FROM cat")(
+        lambda s, d, u=_up: results.numbered(cat_docs(s, d).withColumn("file_count", F.expr("nullif(id % 7, 3)")), "FolderFiles", u).select("id", "row_index")
+    )
+register("i2_attributes_then_sort", CAT + " SELECT id, row_number() OVER (ORDER BY CASE WHEN id % 2 = 0 THEN coalesce(size_bytes, 0) ELSE 0 END, full_path, id) - 1 AS row_index FROM cat")(
+    lambda s, d: (lambda c: results.numbered(results.with_attributes(c, c.where("id % 2 = 0").select("id", "size_bytes", "mtime")), "Size"))(cat_docs(s, d)).select("id", "row_index")
+)
+register("c14_insert_resets_failed", TREE + " SELECT id, CASE WHEN NOT is_dir AND id % 3 = 0 THEN 'not_loaded' ELSE 'loaded' END AS size_state FROM tree")(
+    lambda s, d: (lambda c: dml.upsert(c, c.select("id", "parent_id", "name", "is_dir"), "/"))(full_tree(s, d).withColumn("size_state", F.when(~F.col("is_dir") & (F.col("id") % 3 == 0), "failed").otherwise("loaded"))).select("id", "size_state")
+)
+register("c15_cleared", CAT + " SELECT id FROM cat WHERE false")(lambda s, d: dml.cleared(cat_docs(s, d)).select("id"))
+register("c3_rejected_paths", "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'null' WHEN 2 THEN 'empty' ELSE 'nul' END AS reason FROM documents WHERE doc_id % 4 <> 0")(
+    lambda s, d: dml.rejected_paths(_read(s, d, "documents").select("doc_id", F.expr(f"CASE doc_id % 4 WHEN 0 THEN {_PATH} WHEN 1 THEN NULL WHEN 2 THEN '//' ELSE concat({_PATH}, char(0), 'x') END").alias("full_path"))).select("doc_id", "reason")
+)
+register("c3_insert_counts_failures", CAT + " SELECT full_path FROM cat WHERE (id - 1000) % 4 = 0")(
+    lambda s, d: lists.catalog_from_paths(_read(s, d, "documents").select(F.expr(f"CASE doc_id % 4 WHEN 0 THEN {_PATH} WHEN 1 THEN NULL WHEN 2 THEN '//' ELSE concat({_PATH}, char(0), 'x') END").alias("full_path"), F.lit(False).alias("is_dir"))).where("not is_dir").select("full_path")
+)
+register("j1_union_all", CAT + " SELECT id FROM cat WHERE size_bytes >= 10485760 AND size_bytes < 104857600")(
+    lambda s, d: (lambda c: q.search_ids(c.where("id % 2 = 0"), q.SearchQuery(size_filter="Large")).union(q.search_ids(c.where("id % 2 = 1"), q.SearchQuery(size_filter="Large"))))(cat_docs(s, d))
+)
+register("j6_distinct_folders", PARTS + ", f AS (SELECT DISTINCT directory FROM p) SELECT directory AS full_path, CAST(count(*) AS BIGINT) AS file_count, CAST(sum(coalesce(size_bytes, 0)) AS BIGINT) AS total_size FROM p GROUP BY 1")(
+    lambda s, d: (lambda c: folders.folder_stats(c, c.select(paths.directory("full_path").alias("full_path")).distinct()))(cat_docs(s, d)).select("full_path", "file_count", "total_size")
+)
+register("n4_pin", _HIST + " SELECT id, is_pinned OR id = '11' AS is_pinned, CASE WHEN id = '11' THEN 777 ELSE pinned_at END AS pinned_at FROM h")(lambda s, d: history.pin(hist(s, d), "11", 777).select("id", "is_pinned", "pinned_at"))
+register("n5_unpin", _HIST + ", u AS (SELECT id, is_pinned AND id <> '130' AS is_pinned, CASE WHEN id = '130' THEN 5000 ELSE last_used_at END AS last_used_at, CASE WHEN id = '130' THEN 0 ELSE pinned_at END AS pinned_at FROM h) SELECT id, last_used_at, pinned_at FROM u WHERE is_pinned UNION ALL SELECT id, last_used_at, pinned_at FROM (SELECT * FROM u WHERE NOT is_pinned ORDER BY last_used_at DESC, id DESC LIMIT 50)")(
+    lambda s, d: history.unpin(hist(s, d), "130", 5000).select("id", "last_used_at", "pinned_at")
+)
+register("n6_label", _HIST + " SELECT id, CASE WHEN id = '11' THEN 'mine' ELSE '' END AS custom_name FROM h")(lambda s, d: history.label(hist(s, d), "11", "mine").select("id", "custom_name"))
+register("n7_delete", _HIST + " SELECT id FROM h WHERE id <> '11'")(lambda s, d: history.delete(hist(s, d), "11").select("id"))
+_NEW = "filename=brand new|path=|extensions=|folders_only=0|case_sensitive=0|time_filter=0|size_filter=0|ai="
+register("n3_record", _HIST + f", u AS (SELECT id, filename, is_pinned, CASE WHEN filename = 'user' THEN 9000 ELSE last_used_at END AS last_used_at FROM h UNION ALL SELECT {_fnv(f'CAST({chr(39)}{_NEW}{chr(39)} AS VARCHAR)')}, 'brand new', false, 9000) SELECT id, filename, last_used_at FROM u WHERE is_pinned UNION ALL SELECT id, filename, last_used_at FROM (SELECT * FROM u WHERE NOT is_pinned ORDER BY last_used_at DESC, id DESC LIMIT 50)")(
+    lambda s, d: (lambda h: history.record(h, h.limit(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("filename"), *(F.col(f"params.{f}").alias(f) for f in ("path", "extensions", "folders_only", "case_sensitive", "time_filter", "size_filter", "ai_search_description"))) for n in ("user", " brand new ")))).alias("params")), 9000))(hist(s, d)).select("id", "params.filename", "last_used_at")
+)
+register("l6_old_names_ignored", _FOLD.replace("IN ('signup', 'click')", "IN ('signup')").replace("event_type = 'click' AND", "false AND") + " SELECT file_ref AS id, op, greatest(killed, set_, data) AS seq FROM o WHERE coalesce(killed, set_, data) IS NOT NULL")(
+    lambda s, d: fold(changes(s, d).withColumn("reasons", F.transform("reasons", lambda r: F.when(r == "RENAME_NEW_NAME", "RENAME_OLD_NAME").otherwise(r)))).select("id", "op", "seq")
+)
+register("l10_read_status", "WITH b AS (SELECT event_id AS seq, CASE WHEN event_id % 1000 >= 850 THEN 'wrap' END AS error FROM events) SELECT (SELECT min(seq) FROM b WHERE seq % 1000 = 949) AS stop_seq, true AS compromised")(
+    lambda s, d: journal.read_status(_read(s, d, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 1000 >= 850, "wrap").alias("error")))
+)

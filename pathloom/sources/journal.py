@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import CHANGES, struct
@@ -37,3 +37,18 @@ def gaps(changes: DataFrame) -> DataFrame:
 def read_stream(spark: SparkSession, path: str, max_files: int = 100, fmt: str = "json") -> DataFrame:
     """Journal files as a stream; ``max_files`` a trigger is the back-pressure, and lost files end it."""
     return spark.readStream.schema(struct(CHANGES)).option("maxFilesPerTrigger", max_files).format(fmt).load(path)
+
+
+def read_status(log: DataFrame, most_errors: int = 100) -> DataFrame:
+    """Of a log of reads (seq, error; null if it went well), one row: the read after which reading stops, the last of
+    ``most_errors`` in a row (null if there are none), and whether the catalog is no longer to be trusted: once a
+    ``wrap`` or ``gap`` was met before that, it stays so. Runs of errors are told by the number of good reads before
+    them; a log is small, so one task numbers it."""
+    order = Window.orderBy("seq")
+    good = F.sum(F.col("error").isNull().cast("long")).over(order)
+    run = log.select("seq", "error", good.alias("run"))
+    place = F.sum(F.col("error").isNotNull().cast("long")).over(Window.partitionBy("run").orderBy("seq"))
+    whole = Window.partitionBy(F.lit(1))
+    stop = F.min(F.when((F.col("place") == most_errors) & F.col("error").isNotNull(), F.col("seq"))).over(whole)
+    read = run.withColumn("place", place).withColumn("stop_seq", stop).where("stop_seq is null or seq <= stop_seq")
+    return read.agg(F.max("stop_seq").alias("stop_seq"), F.coalesce(F.bool_or(F.col("error").isin("wrap", "gap")), F.lit(False)).alias("compromised"))

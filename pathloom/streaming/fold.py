@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.paths import is_system_name, record_no
-from ..operators.catalog import invalidate_sizes, recompute_paths, remove, remove_subtrees, upsert
+from ..operators.catalog import invalidate_sizes, remove, remove_subtrees, upsert
 from ..sources.journal import actions
 
 DATA = ("DATA_EXTEND", "DATA_TRUNCATION", "DATA_OVERWRITE")
@@ -59,15 +59,19 @@ def fold(changes: DataFrame) -> DataFrame:
 
 
 def apply_changes(catalog: DataFrame, changes: DataFrame, volume_root: str = "") -> DataFrame:
-    """The catalog after all changes."""
+    """The catalog after all changes. Changes mean the row of their record number, whatever its sequence bits; a record
+    that was used anew, with other sequence bits, replaces the row that had it."""
     from ..plans.lineage import cut
 
-    done = cut(fold(changes))
-    out = remove_subtrees(catalog, done.where("op = 'subtree_delete'").select("id"))
-    out = remove(out, done.where("op = 'delete' or fresh").select("id"))
+    done = cut(fold(changes).withColumn("_record", record_no("id")))
+    told = done.select("_record", F.col("id").alias("_id"), "op", "fresh", "data_changed")
+    met = cut(catalog.select("id", record_no("id").alias("_record")).join(told, "_record"))
+    reused = (F.col("op") == "upsert") & (F.col("id") != F.col("_id"))
+    out = remove_subtrees(catalog, met.where("op = 'subtree_delete'"))
+    out = remove(out, met.where((F.col("op") == "delete") | F.col("fresh") | reused))
     out = upsert(out, done.where("op = 'upsert'"), volume_root)
-    out = invalidate_sizes(out, done.where("data_changed").select("id"))
-    return recompute_paths(out, volume_root)
+    # of the rows that were there before; new ones have no size yet
+    return invalidate_sizes(out, met.where("data_changed"))
 
 
 def stream_into(changes: DataFrame, path: str, checkpoint: str, volume_root: str = "", then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
