@@ -14,9 +14,11 @@ compressed as a whole, chunk after chunk.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import zstandard
@@ -31,29 +33,31 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of the ratio (bytes before / bytes after): ``most`` and ``least`` have (length below, limit).
+    """Limits of the ratio (bytes before / bytes after). The upper ones are a line through ``most`` (bytes, ratio) over
+    the logarithm of the length, level before and beyond; the lower ones are steps, ``least`` (length below, limit).
 
-    The upper limits stand clear of prose (ratios of 1.0 to 2.6, growing with
-    length) on one side and of looped text (3.2 upwards for the shortest, 6
-    upwards from 1 KB) on the other. The lower ones stand above random text
-    (base64, printable, alphanumeric or CJK characters: up to 1.14 at 300 bytes,
-    1.26 at 512 and 1.43 at 30 KB, in words of four characters at least from
-    512 bytes on) and below prose (1.26 at 256, 1.40 at 512, 2.07 at 4096).
-    Texts under 256 bytes have no lower limit, because frame overhead dominates
-    there; chunks under ``least_length`` are not judged."""
+    The upper limits were fitted (see ``fit``) to 20,000 labelled documents: they stand just above the ratios of good
+    prose of a length (0.1 to 0.2 above the mean from 1 KB on), and reject looped text, tables of words and words
+    with repeated marks, which compress better than prose of their length. The lower ones stand above random text
+    (base64, printable, alphanumeric or CJK characters: up to 1.14 at 300 bytes, 1.26 at 512 and 1.43 at 30 KB, in
+    words of four characters at least from 512 bytes on) and below prose (1.26 at 256, 1.40 at 512, 2.07 at 4096).
+    Texts under 256 bytes have no lower limit, because frame overhead dominates there; chunks under
+    ``least_length`` (a text's last) are not judged, since the whole text is."""
 
     level: int = 3
-    most: tuple[tuple[int, float], ...] = ((256, 2.6), (512, 3.2), (1024, 3.5), (2048, 4.0), (8192, 4.3))
-    most_beyond: float = 4.8
+    most: tuple[tuple[int, float], ...] = ((256, 1.95), (512, 1.96), (724, 2.035), (1024, 2.08), (1448, 2.15), (2048, 2.19), (2896, 2.235), (4096, 2.285), (8192, 2.385), (16384, 2.465), (32768, 2.545), (65536, 2.605), (131072, 2.66), (4194304, 2.96))
     least: tuple[tuple[int, float], ...] = ((256, 0.0), (320, 1.155), (384, 1.195), (448, 1.225), (512, 1.255), (640, 1.315), (768, 1.34), (1024, 1.37), (1536, 1.4), (2048, 1.41), (4096, 1.43))
     least_beyond: float = 1.45
     least_length: int = 512
     chunk: int = 4096
-    chunk_most: float = 4.3
     chunk_share: float = 0.5
 
     def upper(self, n: int) -> float:
-        return next((r for below, r in self.most if n < below), self.most_beyond)
+        i = bisect_right(self.most, (n, math.inf))
+        if i in (0, len(self.most)):
+            return self.most[max(0, i - 1)][1]
+        (a, x), (b, y) = self.most[i - 1], self.most[i]
+        return x + (y - x) * math.log(n / a) / math.log(b / a)
 
     def lower(self, n: int) -> float:
         return next((r for below, r in self.least if n < below), self.least_beyond)
@@ -95,7 +99,7 @@ def in_bands(text: bytes, bands: Bands, zstd: zstandard.ZstdCompressor) -> tuple
                 break
             r = len(part) / len(zstd.compress(part))
             chunks += 1
-            outside += r > min(bands.chunk_most, bands.upper(len(part))) or r < bands.lower(len(part))
+            outside += r > bands.upper(len(part)) or r < bands.lower(len(part))
         if outside > bands.chunk_share * chunks:
             return False, ratio
     return True, ratio
@@ -138,3 +142,19 @@ def keep(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
             yield batch.filter(pa.array([r[6] for r in _judge(text_bytes(batch), bands)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def fit(docs: DataFrame, good: DataFrame, bands: Bands = Bands(), rows: int = 20_000, share: float = 0.9995, margin: float = 0.01) -> Bands:
+    """``bands`` with upper limits just above the ratios of documents that are known to be good (ids in ``good``,
+    column doc_id): at each length of ``most``, above ``share`` of those within half an octave that the base rules
+    pass, each moved along the limits there are; where there are fewer than 20, the limit stays. At most ``rows``
+    labelled documents, those of the smallest hashes of ids, are used."""
+    measured = measure(docs, bands).where("not base_failed").join(good.select("doc_id").distinct(), "doc_id", "left_semi")
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n"))
+    some = measured.join(sizes, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("n", "zstd_ratio").collect()
+    over = [(math.log2(r.n), r.zstd_ratio - bands.upper(r.n)) for r in some]
+    most = []
+    for n, limit in bands.most:
+        near = sorted(x for at, x in over if abs(at - math.log2(n)) <= 0.5)
+        most.append((n, round(limit + near[min(len(near) - 1, int(share * len(near)))] + margin, 4) if len(near) >= 20 else limit))
+    return replace(bands, most=tuple(most))
