@@ -15,7 +15,6 @@ import zstandard
 from pyspark.sql import functions as F
 
 from pathloom.llm import chat_format, exact_dedup, katz_lm, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, token_store
-from pathloom.llm.components import Forest
 from pathloom.llm.queries import QUERIES, SQL
 
 
@@ -118,7 +117,13 @@ def test_mixing(spark, sf_dir, docs, texts):
         taken[source[r.doc_id]] += r.taken
         goal[source[r.doc_id]] = r.target
     assert all(r.source_size == size[source[r.doc_id]] for r in rows)
-    assert goal == pytest.approx(mixing.targets(dict(size))) and sum(goal.values()) == pytest.approx(sum(size.values()))
+    order = sorted((s for s in size if s is not None)) + [None] * (None in size)
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    low, high = 0.0, float(3 * sum(size.values()))  # words per weight, found by halving: each source gets them, at most 3 times its size
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(mid * weight[s], 3 * size[s]) for s in size) < sum(size.values()) else (low, mid)
+    assert goal == pytest.approx({s: min(low * weight[s], 3 * size[s]) for s in size}) and sum(goal.values()) == pytest.approx(sum(size.values()))
     assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
 
 
@@ -132,20 +137,47 @@ def test_license_scan(spark, sf_dir, texts):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
 
 
+def test_license_labels(spark, sf_dir, texts):
+    """Labels of templates, as regular expressions over words say them."""
+    rules = []
+    for label, markup in license_scan.TEMPLATES:
+        rule = re.sub(r"\s*\[\[(.*?)\]\]", lambda m: "(?:" + "".join(rf" {w}" for w in m.group(1).split()) + ")?", " " + markup)
+        rule = re.sub(r"\s*\{(\d+)\}", r"(?: [^ ]+){0,\1}", rule)
+        rules.append((label, re.compile(rule + "(?= |$)")))
+    extra = {-1: "x released under the terms of the mit license y", -2: "licensed under cc by nc sa 4 0", -3: "licensed under cc by a b c 4 0", -4: "this is my tool is licensed under the gnu general public license version 2 or 3"}
+    df = spark.createDataFrame([*extra.items()], "doc_id long, text string")
+    rows = QUERIES["op6_license_scan"](spark, sf_dir).collect() + license_scan.scan(df).collect()
+    found = 0
+    for r in rows:
+        joined = "".join(" " + w.decode() for w in license_scan.words((texts | extra)[r.doc_id].encode()))
+        expected = {label for label, rule in rules if rule.search(joined)}
+        assert set(filter(None, r.labels.split(","))) - set(filter(None, r.base_labels.split(","))) == expected, r.doc_id
+        found += bool(expected)
+    assert found > len(extra) - 1
+
+
 def _links(texts, words, percent):
     shingles = {}
     for i, t in texts.items():
         w = t.encode().lower().split()
         shingles[i] = set(zip(*(w[j:] for j in range(words)))) if len(w) >= words else {tuple(w)} if w else set()
-    forest, index = Forest(), defaultdict(list)
+    linked, index = defaultdict(set), defaultdict(list)
     for i in sorted(shingles):
-        forest.root(i)
         for j, n in Counter(j for g in shingles[i] for j in index[g]).items():
             if 100 * n >= percent * (len(shingles[i]) + len(shingles[j]) - n):
-                forest.join(i, j)
+                linked[i].add(j)
+                linked[j].add(i)
         for g in shingles[i]:
             index[g].append(i)
-    return {i: (len(s), forest.root(i)) for i, s in shingles.items()}
+    root = {}
+    for i in sorted(shingles):
+        todo = [] if i in root else [i]
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = i
+                todo.extend(linked[x])
+    return {i: (len(s), root[i]) for i, s in shingles.items()}
 
 
 @pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])

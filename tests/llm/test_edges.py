@@ -180,7 +180,7 @@ def test_random_text_is_rejected(spark, kind):
 def test_mostly_random_chunks_are_rejected():
     rng = random.Random(6)
     vocabulary = ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(4000)]  # as rich as prose; 300 words compress like a table
-    prose = " ".join(rng.choices(vocabulary, k=3000)).encode()
+    prose = " ".join(rng.choices(vocabulary, k=30_000)).encode()
     dump = _random_text("base64 lines", 6 * len(prose) // 5, rng).encode()
     bands = quality_rules.Bands()
     counted = quality_rules._judge([dump + prose], bands)[0]
