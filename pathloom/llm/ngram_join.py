@@ -10,18 +10,20 @@ node from the start, whatever their number. Two nodes link when
    n-grams out of prefixes.)
 2. Prefix filter: nodes that link share one of their rarest
    ``n - ceil(percent * n / 100) + 1`` n-grams. Prefix rows are dealt out by
-   n-gram; n-grams that only one node has fall away as they stream by.
+   n-gram, those of n-grams that a sample shows to be frequent by a salt, too;
+   n-grams that only one node has fall away as they stream by.
 3. Candidates pass the length filter, the positional filter and a suffix
    filter: set sizes in 256 hash ranges bound the distance from below.
 4. Every distinct candidate pair that is left is verified once against the
-   texts.
+   texts: those of the second step below only if the first hadn't verified them.
 
 Groups of copies would make quadratically many pairs, and components don't need
 them: first each block of an n-gram's rows gives a spanning forest of its most
 similar pairs (by the suffix bound), then, with the components so found, all
 candidate pairs *between* components are verified, in blocks, so a frequent
-n-gram's rows are many tasks. No link between components is lost, and no cap
-applies anywhere.
+n-gram's rows are many tasks. Its blocks are cut by zones of set size: sets that
+link are in the same zone or in neighbouring ones, so other blocks never meet.
+No link between components is lost, and no cap applies anywhere.
 
 Defined results: null or blank texts have an empty set and link with nothing;
 texts of fewer words than ``n`` are one shingle; repeated rows link with each
@@ -32,6 +34,7 @@ or passed on by ``keep``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,10 +42,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fresh_name, scanned, small_batches, text_bytes, with_row_key, written
+from .common import batches, discard, fresh_name, scanned, small_batches, text_bytes, with_row_key, written
 from .components import components
 from .packing import units
 from .shingles import sets
@@ -52,6 +55,10 @@ SKETCH_BITS = 22
 PARTS = 64  # rows in which a fixed-size array is merged
 BLOOM_BITS = 26
 BLOOM_HASHES = 4
+ZONE = 1 << 20  # numbers of blocks in a zone
+FREQUENT_ROWS = 512  # prefix rows of an n-gram that is dealt out with salts, at least
+BROADCAST_TOKENS = 100_000  # n-grams whose lists of blocks are broadcast
+SALTS = 32
 SLICE = 1 << 20  # text bytes that are hashed at a time, at 40 or so bytes of memory each
 
 
@@ -64,6 +71,10 @@ class Rule:
     def prefix(self, n: int) -> int:
         return n - -(-self.percent * n // 100) + 1
 
+    def zone(self, n: Column) -> Column:
+        """The zone of set size; sets that link are at most one zone apart (a zone is a trifle wider than the ratio)."""
+        return F.floor(F.log(n.cast("double")) / (math.log(100 / self.percent) * (1 + 1e-9))).cast("long") if self.percent < 100 else n
+
     def needed(self, total: np.ndarray) -> np.ndarray:
         """The least overlap of two sets with ``total`` members together."""
         return -(-self.percent * total // (100 + self.percent))
@@ -174,21 +185,31 @@ def _prefix_rows(rule: Rule, shared):
     return run
 
 
+def _frequent(tokens: DataFrame) -> DataFrame:
+    """(token, salts) of frequent n-grams, told by a sample of rows; results don't depend on it. Those have more rows
+    than an eighth of an even partition, so they are at most 32 times as many as partitions."""
+    rows, parts = tokens.count(), int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = max(FREQUENT_ROWS, rows // (8 * parts))
+    share = min(1.0, 128 / many)
+    counted = tokens.sample(share, seed=3).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= many * share / 2)
+    return written(counted.select("token", F.ceil(F.col("c") / (many * share) * 2).cast("long").alias("salts")), "frequent")
+
+
 def _shared_tokens(rule: Rule):
     """Of rows sorted by (token, size_place, d1, d2), those whose token another node of a fitting size has too (a
-    neighbour in this order, if any), each node once per token, with the number of its block. One row is held
-    back between batches."""
-    names = ["token", "d1", "d2", "size_place"]
+    neighbour in this order, if any), and all of salted tokens, each node once per token. One row is held back
+    between batches."""
+    names = ["token", "d1", "d2", "size_place", "salted"]
 
-    def numbered(rows, shared, at):
+    def numbered(rows, shared):
         keep = np.flatnonzero(shared)
-        token, d1, d2, sp = (c[keep] for c in rows)
+        token, d1, d2, sp, _ = (c[keep] for c in rows)
         raw = np.ascontiguousarray(np.stack([d1, d2], axis=1).astype("<i8")).tobytes()
         d = pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(token), d, pa.array(sp >> 32), pa.array(sp & 0xFFFFFFFF), pa.array((at[keep] // rule.block).astype(np.int64))], ["token", "d", "n", "pos", "block"])
+        return pa.RecordBatch.from_arrays([pa.array(token), d, pa.array(sp >> 32), pa.array(sp & 0xFFFFFFFF)], ["token", "d", "n", "pos"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, run_at, fits = None, 0, False  # the last distinct row, its place among its token's, whether it is shared
+        carry, fits = None, False  # the last distinct row, and whether its token is shared
         for batch in it:
             rows = [batch.column(c).to_numpy() for c in names]
             if carry is not None:
@@ -199,24 +220,28 @@ def _shared_tokens(rule: Rule):
             first[1:] = rows[0][1:] != rows[0][:-1]
             fresh[1:] = first[1:] | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
             rows, first = [c[fresh] for c in rows], first[fresh]
-            m = len(first)
-            base = np.maximum.accumulate(np.where(first, np.arange(m), 0))
-            at = np.arange(m) - base
-            if carry is not None:
-                at[base == 0] += run_at
             n = rows[3] >> 32
             pair = ~first[1:] & (100 * n[:-1] >= rule.percent * n[1:])
-            shared = np.append(pair, False)
+            shared = np.append(pair, False) | (rows[4] > 0)
             shared[1:] |= pair
             shared[0] |= fits
-            yield numbered([c[: m - 1] for c in rows], shared[: m - 1], at[: m - 1])
-            carry, run_at, fits = [c[m - 1 :] for c in rows], int(at[-1]), bool(shared[-1])
+            yield numbered([c[:-1] for c in rows], shared[:-1])
+            carry, fits = [c[-1:] for c in rows], bool(shared[-1])
         if carry is not None:
-            yield numbered(carry, np.array([fits]), np.array([run_at]))
+            yield numbered(carry, np.array([fits]))
 
     return run
 
 
+def _with_tokens(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows joined by n-gram with a written table of one row each for frequent ones, which never deals rows out by the
+    n-gram alone: the table is broadcast, or else rows meet it by a salt of their node."""
+    if small.count() <= BROADCAST_TOKENS:
+        return rows.join(F.broadcast(small), "token", how)
+    spread = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(spread, ["token", "salt"], how).drop("salt")
+
+
 # ---- candidates
 
 
@@ -422,15 +447,23 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     keyed = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "file", "row")
     found = written(keyed.mapInArrow(_prefix_rows(rule, rank), PREFIXES), "prefixes")
     documents = found.where("file is not null").select("file", "row", "doc_id", "d", "n")
-    dealt = found.where("file is null").select("token", "d1", "d2", "size_place").repartition("token").sortWithinPartitions("token", "size_place", "d1", "d2")
-    shared = written(dealt.mapInArrow(_shared_tokens(rule), "token long, d binary, n long, pos long, block long"), "shared")
+    tokens = found.where("file is null").select("token", "d1", "d2", "size_place")
+    frequent = _frequent(tokens)
+    salted = tokens.join(F.broadcast(frequent), "token", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("d1", "d2"), "salts"), F.lit(0)))
+    dealt = salted.select("token", "d1", "d2", "size_place", F.col("salts").isNotNull().cast("long").alias("salted"), "salt").repartition("token", "salt").sortWithinPartitions("token", "size_place", "d1", "d2")
+    shared = written(dealt.mapInArrow(_shared_tokens(rule), "token long, d binary, n long, pos long"), "shared")
     sketches = found.where("file is not null and n > 0").select("d", "sketch").groupBy("d").agg(F.first("sketch").alias("sketch"))
-    # rows of a frequent n-gram are dealt to its blocks by hash: nodes fall into other blocks for each n-gram they
-    # share, so the forests of blocks grow together
-    blocks = shared.where("block > 0").groupBy("token").agg((F.max("block") + 1).alias("many"))
-    mixed = shared.join(blocks, "token", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("token", "d"), F.col("many")), F.lit(0)))
-    dealt = mixed.join(sketches, "d").select("token", "block", "d", "n", "pos", "sketch", F.col("many").isNotNull().alias("many")).repartition("token", "block").sortWithinPartitions("token", "block")
+    # an n-gram with more rows than a block has blocks by zone; within a zone rows are dealt out by hash: nodes fall
+    # into other blocks for each n-gram they share, so the forests of blocks grow together
+    zone = rule.zone(F.col("n"))
+    zones = shared.groupBy("token", zone.alias("zone")).agg(F.count("*").alias("c"))
+    zones = zones.groupBy("token").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("zone", F.ceil(F.col("c") / rule.block).cast("long").alias("many")))).alias("zones"))
+    blocks = written(zones.where(F.col("c") > rule.block).select("token", "zones"), "blocks")
+    own = zone * ZONE + F.pmod(F.xxhash64("token", "d"), F.col("zones")[zone])
+    mixed = _with_tokens(shared, blocks, "left").withColumn("block", F.coalesce(own, F.lit(0)))
+    dealt = mixed.join(sketches, "d").select("token", "block", "d", "n", "pos", "sketch", F.col("zones").isNotNull().alias("many")).repartition("token", "block").sortWithinPartitions("token", "block")
     near = written(dealt.mapInArrow(_nearest(rule), OPEN), "near")
+    discard(frequent, shared)
 
     first = near.where("token is null").select("a", "b").distinct()
     drawn = near.where("token is not null").select("token", "block", F.col("a").alias("d"), "n", "pos")
@@ -443,16 +476,27 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> Joined:
 
     labelled = drawn.join(roots.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
     labelled = written(labelled, "labelled")
-    counted = labelled.groupBy("token", "root").agg(F.count("*").alias("c"), F.max("block").alias("top"))
-    mains = counted.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.max("top").alias("top")).where("roots > 1").drop("roots")
-    open_ = labelled.join(mains, "token")
-    others = open_.where("root != main").select("token", "block").distinct().groupBy("token").agg(F.collect_set("block").alias("blocks"))
-    open_ = open_.join(others, "token")
-    partner = F.explode(F.when(F.array_contains("blocks", F.col("block")), F.sequence(F.lit(0).cast("long"), "top")).otherwise(F.col("blocks")))
-    pairs = open_.withColumn("with", partner).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-    pairs = pairs.join(sketches, "d").select("token", "i", "j", "block", "d", "n", "pos", "sketch", "root").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    more = pairs.mapInArrow(_between(rule), "a binary, b binary").distinct()
+    columns = ["token", "i", "j", "block", "d", "n", "pos", "root"]
+    # n-grams of one block, at most rule.block rows: those in several components
+    few = _with_tokens(labelled, blocks.select("token"), "left_anti")
+    several = few.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+    few = few.join(several, "token").withColumns({"i": F.col("block"), "j": F.col("block")}).select(*columns)
+    # n-grams of many blocks: rows outside the largest component meet all others of fitting zones
+    many = _with_tokens(labelled, blocks)
+    counted = many.groupBy("token", "root").agg(F.count("*").alias("c"))
+    mains = counted.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
+    mains = written(mains, "mains")
+    outside = _with_tokens(many, mains).where("root != main").groupBy("token").agg(F.collect_set("block").alias("outside"))
+    outside = written(outside, "outside")
+    open_ = _with_tokens(many, outside)
+    at = F.floor(F.col("block") / ZONE)
+    fitting = F.flatten(F.transform(F.array(at - 1, at, at + 1), lambda z: F.coalesce(F.transform(F.sequence(F.lit(0).cast("long"), F.col("zones")[z] - 1), lambda x: z * ZONE + x), F.array().cast("array<bigint>"))))
+    partner = F.explode(F.when(F.array_contains("outside", F.col("block")), fitting).otherwise(F.array_intersect(fitting, "outside")))
+    open_ = open_.withColumn("with", partner).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).select(*columns)
+    pairs = few.union(open_).join(sketches, "d").select(*columns, "sketch").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    more = pairs.mapInArrow(_between(rule), "a binary, b binary").distinct().join(first, ["a", "b"], "left_anti")
     more = written(_verified(more, texts, rule), "links")
+    discard(near, labelled, blocks, mains, outside, texts)
     links = links.union(more)
     roots = written(components(links), "roots")
     return Joined(links, documents, roots)
