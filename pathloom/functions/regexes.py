@@ -11,6 +11,7 @@ def escape(text: str) -> str:
 
 def template(kind: str, text: str = "") -> str:
     """The regular expression of a template; without its text, templates that need one give ''."""
+    # The shapes of the templates.
     fixed = {"numeric": r".*\d+.*", "date": r".*\d{4}[-_]\d{2}[-_]\d{2}.*"}
     if kind in fixed:
         return fixed[kind]

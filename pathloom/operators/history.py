@@ -10,6 +10,7 @@ from ..functions.paths import ascii_lower
 from ..plans.query import SearchQuery
 from ..schema import HISTORY, struct
 
+# The rows that stay, and the codes of filters.
 KEPT = 50
 TIME_CODES = ("None", "Today", "ThisWeek", "ThisMonth", "ThisYear", "Older")
 SIZE_CODES = ("None", "Empty", "Tiny", "Small", "Medium", "Large", "Huge", "Massive")
@@ -30,7 +31,7 @@ def normalize(params: Column) -> Column:
 
 
 def canonical(params: Column) -> Column:
-    """One string per query; equal queries have equal ones."""
+    """One string per query; equal queries have equal ones. Its form, which ids are hashes of."""
     flag = lambda name: F.when(params[name], "1").otherwise("0")
     return F.concat(
         F.lit("filename="), params["filename"], F.lit("|path="), params["path"], F.lit("|extensions="), params["extensions"], F.lit("|folders_only="), flag("folders_only"),

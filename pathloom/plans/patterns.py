@@ -20,6 +20,7 @@ Case-insensitive matching folds ASCII only.
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
@@ -248,7 +249,10 @@ def _valid(regex: str) -> bool:
 
 
 def regex_rule(pattern: str) -> Rule:
-    """The rule of a regular expression (without ``rs:``); invalid, empty or too long ones match nothing."""
+    """The rule of a regular expression (without ``rs:``); invalid, empty or too long ones match nothing, the last with
+    a warning."""
+    if len(pattern) > MAX_REGEX:
+        warnings.warn(f"a regular expression of {len(pattern)} characters matches nothing; {MAX_REGEX} are allowed", stacklevel=2)
     if not pattern or len(pattern) > MAX_REGEX or FOREIGN.search(pattern):
         return NONE
     whole = pattern.startswith("^") and pattern.endswith("$") and not pattern.endswith("\\$")

@@ -1,7 +1,8 @@
 """A data source that crawls a folder: ``spark.read.format("crawl").load(path)``.
 
-The driver only lists as deep as it takes to find enough directories to share
-out; each partition then walks some of them. Symbolic links are left out,
+The driver only looks for directories, as deep as it takes to find enough to
+share out, and keeps nothing but their names; executors report what lies in the
+shallow ones and walk the others. Symbolic links are left out,
 entries that can't be read become rows with an error, and a missing root is
 empty. Size and time come from the same call and are null where it fails.
 """
@@ -20,10 +21,10 @@ SCHEMA = "full_path string, is_dir boolean, size_bytes long, mtime timestamp_ntz
 
 
 class Share(InputPartition):
-    """Entries to report as they are, and directories to walk."""
+    """Directories of which only the entries are reported, and directories to walk."""
 
-    def __init__(self, listed: list[tuple], folders: list[str]):
-        self.listed, self.folders = listed, folders
+    def __init__(self, flat: list[str], folders: list[str]):
+        self.flat, self.folders = flat, folders
 
 
 def entries(folder: str) -> Iterator[tuple]:
@@ -52,15 +53,15 @@ class CrawlReader(DataSourceReader):
         self.shares = int(options.get("shares", 16))
 
     def partitions(self) -> list[Share]:
-        listed, open_ = [], [self.root]
+        flat, open_ = [], [self.root]
         while open_ and len(open_) < self.shares:
-            found = [e for f in open_ for e in entries(f)]
-            listed += found
-            open_ = [e[0] for e in found if e[1] and e[4] is None]
-        return [Share(listed, [])] + [Share([], open_[i :: self.shares]) for i in range(min(self.shares, len(open_)))]
+            flat += open_
+            open_ = [e[0] for f in open_ for e in entries(f) if e[1] and e[4] is None]
+        return [Share(flat[i :: self.shares], open_[i :: self.shares]) for i in range(min(self.shares, max(len(flat), len(open_))))]
 
     def read(self, partition: Share) -> Iterator[tuple]:
-        yield from partition.listed
+        for folder in partition.flat:
+            yield from entries(folder)
         todo = list(partition.folders)
         while todo:
             for e in entries(todo.pop()):
