@@ -125,3 +125,14 @@ def is_epoch_time(ticks: Column | str) -> Column:
 def clamped(value: int, low: int, high: int) -> int:
     """A setting brought into its range."""
     return max(low, min(high, value))
+
+
+def truncated_start(path: Column | str, most: int) -> Column:
+    """A path in ``most`` characters: its root stays, and dots stand for what is left out after it."""
+    p = _col(path)
+    root = F.regexp_extract(p, r"^([A-Za-z]:[/\\]|[/\\]+)", 1)
+    left = F.lit(most - 3) - F.length(root)
+    if most <= 3:
+        return F.when(F.length(p) <= most, p).otherwise(F.lit("..."))
+    short = F.when(left > 0, F.concat(root, F.lit("..."), F.right(p, left))).otherwise(F.concat(F.lit("..."), F.right(p, F.lit(most - 3))))
+    return F.when(F.length(p) <= most, p).otherwise(short)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ROOT_RECORD, ancestors, filename, is_volume_root, is_volume_root_child, join_path, path_key, record_no, trim_separators
+from ..functions.paths import ROOT_RECORD, ancestors, filename, is_cloud, is_volume_root, is_volume_root_child, join_path, path_key, record_no, trim_separators
 from ..plans.lineage import cut
 from ..schema import as_catalog
 from .filters import live
@@ -226,5 +226,30 @@ def invalidate_sizes(catalog: DataFrame, ids: DataFrame) -> DataFrame:
     return out.withColumns({"size_bytes": F.when(~hit, F.col("size_bytes")), "size_state": F.when(hit, "not_loaded").otherwise(F.col("size_state"))}).drop("_gone")
 
 
+def finalize_crawl(catalog: DataFrame) -> DataFrame:
+    """After a crawl: sizes and times of files in cloud folders count as not loaded, since asking for them fetches the
+    file; they come by ``set_attributes`` when they are wanted."""
+    cloud = ~F.col("is_dir") & F.coalesce(is_cloud("full_path"), F.lit(False))
+    out = catalog.withColumns({c: F.when(~cloud, F.col(c)) for c in ("size_bytes", "mtime")})
+    return out.withColumns({c: F.when(cloud, "not_loaded").otherwise(F.col(c)) for c in ("size_state", "mtime_state")})
+
+
+def paths_of(catalog: DataFrame, ids: DataFrame, volume_root: str = "", most: int = 64) -> DataFrame:
+    """(id, full_path) of some rows, built from parents and names step by step, without the rest of the catalog. A line
+    of more than ``most`` names, such as a cycle, ends there; so does one at an unknown parent."""
+    links = resolved_parents(catalog.select("id", "parent_id", "name"))
+    links = cut(links.select("id", F.when(_is_root() | (record_no("parent_id") == ROOT_RECORD), F.lit(0)).otherwise(F.col("parent_key")).cast("long").alias("up"), "name"))
+    state = cut(ids.select("id").distinct().join(links, "id").select("id", "up", F.col("name").alias("path")))
+    above = links.select(F.col("id").alias("up"), F.col("up").alias("_next"), F.col("name").alias("_above"))
+    for _ in range(most - 1):
+        open_ = state.where("up != 0")
+        if open_.isEmpty():
+            break
+        stepped = open_.join(above, "up").select("id", F.col("_next").alias("up"), join_path("_above", "path").alias("path"))
+        state = cut(state.where("up = 0 or up is null").unionByName(stepped))
+    path = F.when(F.lit(volume_root) != "", join_path(F.lit(volume_root), F.col("path"))).otherwise(F.col("path"))
+    return state.select("id", path.alias("full_path"))
+
+
 def cleared(catalog: DataFrame) -> DataFrame:
     return catalog.limit(0)

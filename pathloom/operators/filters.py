@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.paths import ascii_lower, directory, extension, filename
+from ..functions.paths import ascii_lower, directory, extension, filename, is_cloud
 
 KB, MB, GB = 1 << 10, 1 << 20, 1 << 30
 #: Bucket -> [from, to) in bytes.
@@ -15,6 +15,11 @@ SIZES: dict[str, tuple[int, int | None]] = {
     "Empty": (0, 1), "Tiny": (1, KB), "Small": (KB, 100 * KB), "Medium": (100 * KB, 10 * MB),
     "Large": (10 * MB, 100 * MB), "Huge": (100 * MB, GB), "Massive": (GB, None),
 }
+# The buckets' labels.
+SIZE_LABELS = {
+    "Empty": "Empty (0 bytes)", "Tiny": "Tiny (< 1 KB)", "Small": "Small (1-100 KB)", "Medium": "Medium (100 KB - 10 MB)",
+    "Large": "Large (10-100 MB)", "Huge": "Huge (100 MB - 1 GB)", "Massive": "Massive (> 1 GB)",
+}
 TIMES = {"Today": "DAY", "ThisWeek": "WEEK", "ThisMonth": "MONTH", "ThisYear": "YEAR", "Older": None}
 MAX_EXTENSION = 255
 
@@ -67,3 +72,13 @@ def in_folder(folder: str, path: str = "full_path") -> Column:
     base = folder.rstrip("/\\")
     p = F.col(path)
     return (p == folder) | p.startswith(base + "/") | p.startswith(base + "\\")
+
+
+def size_label(size: str = "size_bytes") -> Column:
+    """The label of a file's size bucket; ``None`` for folders and unknown sizes."""
+    return F.coalesce(*(F.when(size_bucket(name, size), label) for name, label in SIZE_LABELS.items()), F.lit("None"))
+
+
+def time_bucket_or_deferred(name: str, as_of: datetime, path: str = "full_path") -> Column:
+    """``time_bucket``, or a file in a cloud folder whose time isn't loaded: it stays among the results until it is."""
+    return F.coalesce(time_bucket(name, as_of), F.lit(False)) | (is_cloud(path) & (F.col("mtime_state") == "not_loaded"))

@@ -466,3 +466,13 @@ register("l6_old_names_ignored", _FOLD.replace("IN ('signup', 'click')", "IN ('s
 register("l10_read_status", "WITH b AS (SELECT event_id AS seq, CASE WHEN event_id % 1000 >= 850 THEN 'wrap' END AS error FROM events) SELECT (SELECT min(seq) FROM b WHERE seq % 1000 = 949) AS stop_seq, true AS compromised")(
     lambda s, d: journal.read_status(_read(s, d, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 1000 >= 850, "wrap").alias("error")))
 )
+register("kd6_size_labels", CAT + " SELECT id, CASE WHEN size_bytes IS NULL THEN 'None' WHEN size_bytes = 0 THEN 'Empty (0 bytes)' WHEN size_bytes < 1024 THEN 'Tiny (< 1 KB)' WHEN size_bytes < 102400 THEN 'Small (1-100 KB)' WHEN size_bytes < 10485760 THEN 'Medium (100 KB - 10 MB)' WHEN size_bytes < 104857600 THEN 'Large (10-100 MB)' WHEN size_bytes < 1073741824 THEN 'Huge (100 MB - 1 GB)' ELSE 'Massive (> 1 GB)' END AS label FROM cat")(
+    lambda s, d: cat_docs(s, d).select("id", filters.size_label().alias("label"))
+)
+_CLOUD = "CASE WHEN id % 3 = 0 THEN '/home/OneDrive - x' ELSE '' END || full_path"
+_some_cloud = lambda s, d: cat_docs(s, d).withColumns({"full_path": F.expr(_CLOUD), "mtime": F.when(F.col("id") % 2 == 1, F.col("mtime")), "mtime_state": F.when(F.col("id") % 2 == 1, "loaded").otherwise("not_loaded")})
+register("e13b_cloud_deferral", CAT + " SELECT id FROM cat WHERE (id % 2 = 1 AND mtime >= TIMESTAMP '2024-01-01') OR (id % 2 = 0 AND id % 3 = 0)")(lambda s, d: _some_cloud(s, d).where(filters.time_bucket_or_deferred("ThisYear", AS_OF)).select("id"))
+register("c17_finalize_crawl", CAT + " SELECT id, CASE WHEN id % 3 <> 0 THEN size_bytes END AS size_bytes, CASE WHEN id % 3 = 0 OR size_bytes IS NULL THEN 'not_loaded' ELSE 'loaded' END AS size_state FROM cat")(lambda s, d: dml.finalize_crawl(_some_cloud(s, d)).select("id", "size_bytes", "size_state"))
+register("c11_paths_of", _walk() + " SELECT id, full_path FROM walk WHERE id % 7 = 0")(lambda s, d: (lambda t: dml.paths_of(t, t.where("id % 7 = 0"), "/"))(tree(s, d)))
+register("ks13_truncated_start", CAT + " SELECT id, CASE WHEN length(full_path) <= 20 THEN full_path ELSE '/...' || right(full_path, 16) END AS shown FROM cat")(lambda s, d: cat_docs(s, d).select("id", formats.truncated_start("full_path", 20).alias("shown")))
+register("g3b_requested_stats", SQL["j6_distinct_folders"])(lambda s, d: (lambda c: folders.FolderStats(c).request(c.select(paths.directory("full_path").alias("full_path"))))(cat_docs(s, d)).select("full_path", "file_count", "total_size"))

@@ -16,6 +16,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
 
 SCHEMA = "full_path string, is_dir boolean, size_bytes long, mtime timestamp_ntz, error string"
 
@@ -99,3 +100,16 @@ def crawl_catalog(spark: SparkSession, root: str, shares: int = 16) -> DataFrame
     attributes = found.where("not is_dir").select(path_key("full_path").alias("_key"), "size_bytes", "mtime")
     ids = catalog.select("id", path_key("full_path").alias("_key")).join(attributes, "_key").select("id", F.col("size_bytes"), F.col("mtime"))
     return set_attributes(catalog, ids)
+
+
+def recrawl(spark: SparkSession, root: str, path: str, checkpoint: str, minutes: float = 3, shares: int = 16) -> StreamingQuery:
+    """Crawl again every so many minutes (1 to 60), writing the catalog at ``path`` anew as ``v=N``; a clock stream is
+    the trigger, so a restart goes on where it stopped."""
+    from ..functions.formats import clamped
+    from ..operators.catalog import finalize_crawl
+
+    def batch(_: DataFrame, n: int) -> None:
+        finalize_crawl(crawl_catalog(spark, root, shares)).write.mode("overwrite").parquet(f"{path}/v={n}")
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(batch).trigger(processingTime=f"{int(clamped(minutes, 1, 60) * 60)} seconds").option("checkpointLocation", checkpoint).start()

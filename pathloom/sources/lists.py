@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,19 @@ from ..operators.catalog import insert_paths, recompute_paths, subtree_ids
 from ..schema import CATALOG, as_catalog
 
 
+def resolve_list_path(name: str, base: str, levels: int = 8) -> str | None:
+    """An existing file of this name: as it is, or in ``base`` or one of the folders above it, ``levels`` in all."""
+    if os.path.isfile(name):
+        return name
+    for _ in range(levels if not os.path.isabs(name) else 0):
+        if os.path.isfile(found := os.path.join(base, name)):
+            return found
+        base, last = os.path.dirname(base), base
+        if base == last:
+            break
+    return None
+
+
 def read_path_list(spark: SparkSession, path: str) -> DataFrame:
     """(full_path, is_dir) of a text file: a path per line, empty lines skipped, nothing trimmed; a trailing
     separator marks a directory."""

@@ -52,3 +52,18 @@ def cancellable(spark: SparkSession, tag: str):
         yield
     finally:
         spark.removeTag(tag)
+
+
+class Debounce:
+    """Whether a search is due: the input has changed since the last one, and then stood still for ``wait`` seconds."""
+
+    def __init__(self, wait: float = 0.2):
+        self.wait, self.changed, self.shown = wait, None, None
+
+    def due(self, text: str, now: float) -> bool:
+        if self.changed is None or self.changed[0] != text:
+            self.changed = text, now
+        if self.shown == text or now - self.changed[1] < self.wait:
+            return False
+        self.shown = text
+        return True

@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pathloom.queries import QUERIES
 from pathloom.schema import CATALOG, CHANGES, HISTORY, as_catalog
 from pathloom.sources import crawl, journal, lists
 from pathloom.streaming.fold import fold, start_catalog, stateful_ops, stream_into
-from pathloom.streaming.monitor import standing
+from pathloom.streaming.monitor import Debounce, standing
 
 FILES = {"alpha/a.txt": 1, "alpha/b.txt": 1, "alpha/c.cpp": 2, "beta/x.h": 3, "beta/y.json": 5, "beta/z.md": 8, "beta/sub/p.txt": 13, "beta/sub/q.cpp": 21, "gamma/r.txt": 55, "gamma/deep/deeper/leaf.h": 34}
 
@@ -211,3 +212,46 @@ def test_scalar_queries_of_whole_tables(spark):
     assert (ago.count(), numbers.count(), sizes.count()) == (events, events, documents)
     assert ago.where("ago = 'Future'").count() == ago.where("event_id > 8000").count() > 0
     assert sizes.where("memory is null and floored is null and thousands is null").count() == documents // 8
+
+
+def test_requests_are_kept(spark):
+    rows = [(1, "/a/x.txt", 5), (2, "/a/b/y.txt", 7)]
+    catalog = as_catalog(spark.createDataFrame(rows, "id long, full_path string, size_bytes long"))
+    stats = folders.FolderStats(catalog)
+    asked = spark.createDataFrame([("/a",), ("/a/",), ("/a/b",), ("/none",)], "full_path string")
+    got = lambda: {r.full_path: (r.total_size, r.file_count) for r in stats.request(asked).collect()}
+    assert got() == {"/a": (12, 2), "/a/b": (7, 1), "/none": (0, 0)}
+    kept = stats._totals
+    assert got() and stats._totals is kept
+    stats.reset(catalog.where("id = 1"))
+    assert got()["/a"] == (5, 1) and stats.generation == 1
+
+
+def test_small_helpers(tmp_path):
+    (tmp_path / "list.txt").write_text("x")
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    assert lists.resolve_list_path("list.txt", str(deep)) == str(tmp_path / "list.txt")
+    assert lists.resolve_list_path("list.txt", str(deep), levels=2) is None and lists.resolve_list_path("/none", "/") is None
+    d = Debounce(0.2)
+    assert [d.due(t, now) for t, now in (("a", 0.0), ("ab", 0.1), ("ab", 0.25), ("ab", 0.31), ("ab", 0.9), ("a", 1.0), ("a", 1.25))] == [False, False, False, True, False, False, True]
+
+
+def test_recrawl(spark, tmp_path):
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "one.txt").write_text("1")
+    run = crawl.recrawl(spark, str(tmp_path / "data"), f"file://{tmp_path}/catalog", f"file://{tmp_path}/checkpoint", shares=2)
+    deadline = time.time() + 60
+    while time.time() < deadline and not (run.lastProgress and (tmp_path / "catalog" / "v=0" / "_SUCCESS").exists()):
+        time.sleep(0.5)
+    run.stop()
+    assert lists.read_catalog(spark, f"file://{tmp_path}/catalog/v=0").where("not is_dir").first().size_bytes == 1
+
+
+def test_journal_status(spark):
+    log = [(i, "denied" if 10 <= i < 15 or i >= 30 else None) for i in range(50)]
+    frame = lambda rows: spark.createDataFrame(rows, "seq long, error string")
+    assert journal.read_status(frame(log), 10).first() == (39, False)
+    assert journal.read_status(frame(log[:30]), 10).first() == (None, False)
+    assert journal.read_status(frame([*log[:20], (20, "gap"), (21, None)]), 10).first() == (None, True)
+    assert journal.read_status(frame([]), 10).first() == (None, False)
