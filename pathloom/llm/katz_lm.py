@@ -1,31 +1,40 @@
-"""Scores of a Katz backoff bigram model that is learnt from the same documents.
+"""Scores of a Katz backoff model of n-grams that is learnt from the same documents.
 
 A document's tokens are its words (A-Z as a-z) and an end. With counts ``c``
-over the training documents, ``d_r`` the Good-Turing discount of counts up to 5:
+over the training documents, ``d_r`` the Good-Turing discount of counts up to 5
+(of each order its own):
 
 * ``P(w) = d * c(w) / N`` for known tokens; what the discounts leave is the
   probability of the unknown word;
 * ``P(w | h) = s(h) * d * c(h w) / c(h)`` where ``h w`` was seen, else
-  ``a(h) * P(w)``, and ``P(w)`` alone where ``h`` was not. ``a(h)`` makes the
-  sum over all tokens exactly one. ``s(h)`` is 1, but where all that follows
-  ``h`` is too frequent to be discounted: there ``s(h) = c(h) / (c(h) + 1)``
-  leaves mass for the rest. Discounts that irregular counts of counts would put
-  outside (0, 1) are ``(r - 1/2) / r``.
+  ``a(h) * P(w | h')``, and ``P(w | h')`` alone where ``h`` was not; ``h'`` is
+  ``h`` without its first token. ``a(h)`` makes the sum over all tokens exactly
+  one. ``s(h)`` is 1, but where all that follows ``h`` is too frequent to be
+  discounted: there ``s(h) = c(h) / (c(h) + 1)`` leaves mass for the rest.
+  Discounts that irregular counts of counts would put outside (0, 1) are
+  ``(r - 1/2) / r``.
+
+A document's first token has the begin as its history, the next ones what there
+is, up to ``order - 1`` tokens. Every order is a pass of its own, since an
+order's probabilities of what was seen are what the next one's weights need.
 
 Rows of single tokens would be many times the input, so all steps move packed,
 compressed arrays of blocks of documents:
 
 1. A block codes its texts by its own word list; the list goes, cut by hash, to
    the tables of words, which answer with counts and ids (request, response).
-2. Each block pairs neighbours and sends every distinct pair to the pair's
-   partition: that of ``h``, or, if ``h`` is so frequent that it would fill one
-   (there are at most twice as many such words as partitions), that of ``h w``.
-   The partition answers with counts, and keeps what ``a(h)`` needs of histories
-   after which a block has unseen words (only held-out documents have them).
+2. For each order a block sends its distinct n-grams, as ids of history and
+   word, to the n-gram's partition: that of the history, or, if that is so
+   frequent that it would fill one (there are at most twice as many such as
+   partitions), that of the n-gram. The partition answers with counts (and, as
+   histories of the next order, with numbers), and keeps what ``a(h)`` needs of
+   histories after which a block has unseen words (only held-out documents have
+   them).
 3. Once the counts of counts fix the discounts, the weights of these histories
-   are answered, too, and each block scores its documents.
+   are answered, too; after the last order each block scores its documents.
 
-The driver sees one row of sums per partition, and the frequent histories.
+The driver sees one row of sums per partition and order, and the frequent
+histories.
 
 Defined results: a null text is empty and has the end as its one token; a null
 doc_id is hashed as empty text; repeated rows are documents of their own; with
@@ -88,7 +97,7 @@ class Unigrams:
 
 
 ROW = "kind int, block long, part int, n long, body binary"
-DOCS, LIST, ANSWER, STATS, PAIRS, COUNTS, BACKOFF, WEIGHTS = range(8)
+DOCS, LIST, ANSWER, STATS, GRAMS, COUNTS, BACKOFF, WEIGHTS = range(8)
 
 
 def _row(kind: int, block: int, part: int, n: int, body: bytes) -> tuple:
@@ -174,9 +183,39 @@ class Totals:
         return self.tokens / (2 * cells)
 
 
+@dataclass
+class Level:
+    """The distinct n-grams of one order in a block, dealt out to cells."""
+
+    gram: np.ndarray  # per token, the number of the n-gram that it ends; -1 without enough history
+    last: np.ndarray  # per n-gram, a token that ends it
+    ids: np.ndarray  # per n-gram, its history's id in the tables
+    count: np.ndarray  # and training count
+    by: np.ndarray  # n-grams by cell, in the order of their histories' ids
+    begins: np.ndarray
+
+    def cell(self, k: int) -> np.ndarray:
+        return self.by[self.begins[k] : self.begins[k + 1]]
+
+
+def _level(hist: np.ndarray, hist_ids: np.ndarray, hist_count: np.ndarray, word: np.ndarray, ids: np.ndarray, crowd: float, cells: int) -> Level:
+    """``hist``: per token the number of its history in ``hist_ids`` and ``hist_count``, or -1."""
+    at = np.flatnonzero(hist >= 0)
+    _, first, number = np.unique(hist[at] << 32 | word[at], return_index=True, return_inverse=True)
+    gram = np.full(len(word), -1, np.int64)
+    gram[at] = number
+    last = at[first]
+    own, count = hist_ids[hist[last]], hist_count[hist[last]]
+    spot = mixed64(own.astype(U))
+    spot = np.where(count > crowd, mixed64(spot + ids[word[last]].astype(U)), spot)
+    cell = ((spot >> U(32)) * U(cells) >> U(32)).astype(np.int64)
+    by = np.lexsort((own, cell))
+    return Level(gram, last, own, count, by, np.searchsorted(cell[by], np.arange(cells + 1)))
+
+
 @dataclass
 class Block:
-    """A block of documents with what the word tables answered: its tokens, and its distinct pairs by cell."""
+    """A block of documents with what the word tables answered, and its n-grams as far as the tables have answered."""
 
     doc_ids: np.ndarray
     null: np.ndarray
@@ -186,22 +225,24 @@ class Block:
     base: np.ndarray
     ids: np.ndarray  # of the block's words, by local number
     count: np.ndarray
-    h: np.ndarray  # pairs, in order, as local numbers
-    w: np.ndarray
-    pair: np.ndarray  # postings: pair, document, times
+    word: np.ndarray  # tokens: local word, document
     doc: np.ndarray
-    times: np.ndarray
-    by: np.ndarray  # pairs by cell
-    begins: np.ndarray
+    value: np.ndarray  # per token, log10 of its probability by the orders that are known
+    level: Level | None = None  # of the order that isn't
 
-    def cell(self, k: int) -> np.ndarray:
-        return self.by[self.begins[k] : self.begins[k + 1]]
 
+class Known:
+    """What the driver knows of an order: discounts, and weights of histories that are spread over all cells."""
+
+    def __init__(self, d: np.ndarray, hot: dict[int, tuple[float, float]]):
+        self.d, self.hot = d, hot
 
-def _block(rows: list[tuple[int, int, bytes]], totals: Totals, cells: int) -> Block:
-    """Of rows (kind, part, body) with one block's documents and answers."""
-    doc_ids, null, held, n, codes = unpack(next(b for k, _, b in rows if k == DOCS))
-    found = [(p, *unpack(b)) for p, b in sorted((p, b) for k, p, b in rows if k == ANSWER)]
+
+def _block(rows: list[tuple[int, int, int, bytes]], totals: Totals, cells: int, known: list[Known], more: bool) -> Block:
+    """Of rows (kind, part, order, body) with one block's documents and answers: probabilities by the ``known`` orders
+    (2 and up), recursively, and the n-grams of the next one if there is ``more``."""
+    doc_ids, null, held, n, codes = unpack(next(b for k, *_, b in rows if k == DOCS))
+    found = [(p, *unpack(b)) for p, b in sorted((p, b) for k, p, _, b in rows if k == ANSWER)]
     ids = np.concatenate([np.array([BEGIN, END]), *(totals.begins[p] + place.astype(np.int64) for p, place, _ in found)])
     c = np.concatenate([np.full(2, totals.train_docs), *(x.astype(np.int64) for *_, x in found)])
     n = n.astype(np.int64)
@@ -210,51 +251,67 @@ def _block(rows: list[tuple[int, int, bytes]], totals: Totals, cells: int) -> Bl
     inner = np.ones(len(word), bool)
     inner[ends] = False
     word[inner] = codes.astype(np.int64) + 2
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[ends - n] = BEGIN
     doc = spread(n + 1)
-    known = np.bincount(doc[c[word] > 0], minlength=docs)
-    base = np.bincount(doc, weights=np.log10((c[word] + 1) / (totals.tokens + totals.kinds + 1)), minlength=docs)
-
-    key = before << 32 | word
-    order = np.argsort(key, kind="stable")
-    key, d = key[order], doc[order]
-    del before, word, doc, order, inner
-    first = runs(key)
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (d[1:] != d[:-1])
-    post = np.flatnonzero(new)
-    pair = np.searchsorted(first, post, side="right") - 1
-    times = np.diff(np.append(post, len(key)))
-    h, w, d = key[first] >> 32, key[first] & 0xFFFFFFFF, d[post]
-    spot = mixed64(ids[h].astype(U))
-    spot = np.where(c[h] > totals.crowd(cells), mixed64(spot + ids[w].astype(U)), spot)
-    cell = ((spot >> U(32)) * U(cells) >> U(32)).astype(np.int64)
-    by = np.argsort(cell, kind="stable")
-    return Block(doc_ids, null, held, n + 1, known, base, ids, c, h, w, pair, d, times, by, np.searchsorted(cell[by], np.arange(cells + 1)))
-
-
-def _of_unit(t: pa.Table) -> list[tuple[int, int, bytes]]:
-    return list(zip(t.column("kind").to_pylist(), t.column("part").to_pylist(), t.column("body").to_pylist()))
-
-
-def _pair(totals: Totals, cells: int):
-    """Blocks with their answers to their distinct pairs, by cell."""
+    x = Block(doc_ids, null, held, n + 1, np.bincount(doc[c[word] > 0], minlength=docs), np.bincount(doc, weights=np.log10((c[word] + 1) / (totals.tokens + totals.kinds + 1)), minlength=docs), ids, c, word, doc, np.log10(totals.unigrams.p(c))[word])
+    starts, crowd = ends - n, totals.crowd(cells)
+    hist, hist_ids, hist_count = np.concatenate([[BEGIN], word[:-1]]), ids, c
+    hist[starts] = BEGIN
+    for order, of in enumerate(known, 2):
+        level = _level(hist, hist_ids, hist_count, word, ids, crowd, cells)
+        count, number = np.zeros(len(level.last), np.int64), np.zeros(len(level.last), np.int64)
+        extra, crowded = np.zeros(len(count)), level.count > crowd
+        for k, cell, o, body in rows:
+            if k == COUNTS and o == order:
+                counts, scaled, *numbers = unpack(body)
+                p = level.cell(cell)
+                count[p] = counts
+                extra[p[scaled]] = np.log10(level.count[p[scaled]] / (level.count[p[scaled]] + 1.0))
+                if numbers:
+                    number[p] = cell << 40 | numbers[0].astype(np.int64)
+        for k, cell, o, body in rows:
+            if k == WEIGHTS and o == order:
+                p = level.cell(cell)
+                p = p[(count[p] == 0) & (level.count[p] > 0) & ~crowded[p]]
+                extra[p] = unpack(body)[0][np.unique(level.ids[p], return_inverse=True)[1]]
+        q = np.flatnonzero(crowded)
+        if len(q):
+            own, place = np.unique(level.ids[q], return_inverse=True)
+            both = np.array([of.hot[i] for i in own.tolist()])[place]
+            extra[q] = np.where(count[q] > 0, both[:, 1], both[:, 0])
+        discounted = np.append(np.append(1.0, of.d), 1.0)[np.minimum(count, K + 1)] * count
+        value = np.where(count > 0, _log(discounted) - _log(level.count), x.value[level.last]) + extra
+        x.value = np.where(level.gram >= 0, value[level.gram], x.value)
+        hist, hist_ids, hist_count = np.concatenate([[-1], level.gram[:-1]]), number, count
+        hist[starts] = -1
+    if more:
+        x.level = _level(hist, hist_ids, hist_count, word, ids, crowd, cells)
+    return x
+
+
+def _of_unit(t: pa.Table) -> list[tuple[int, int, int, bytes]]:
+    return list(zip(*(t.column(c).to_pylist() for c in ("kind", "part", "n", "body"))))
+
+
+def _grams(totals: Totals, cells: int, known: list[Known]):
+    """Blocks with their answers to their distinct n-grams of the next order, by cell."""
+    order = len(known) + 2
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in units(it, ["block"]):
             block = t.column("block")[0].as_py()
-            x = _block(_of_unit(t), totals, cells)
-            train = np.bincount(x.pair, weights=x.times * ~x.held[x.doc], minlength=len(x.h)).astype(np.int64)
+            x = _block(_of_unit(t), totals, cells, known, True)
+            level = x.level
+            train = np.bincount(level.gram[(level.gram >= 0) & ~x.held[x.doc]], minlength=len(level.last))
             out = []
             for k in range(cells):
-                p = x.cell(k)
+                p = level.cell(k)
                 if len(p):
-                    h, heads = x.h[p], runs(x.h[p])
-                    words, which = np.unique(x.w[p], return_inverse=True)  # the block's order is that of ids
-                    body = pack(*map(narrow, (np.diff(x.ids[h[heads]], prepend=0), x.count[h[heads]], np.diff(np.append(heads, len(p))), np.diff(x.ids[words], prepend=0), x.count[words], which, train[p])))
-                    out.append(_row(PAIRS, block, k, 0, body))
+                    heads = runs(level.ids[p])
+                    words, which = np.unique(x.word[level.last[p]], return_inverse=True)  # the block's order is that of ids
+                    # what the lower order gives: a word's count says it, of longer ones the logarithm does
+                    lower = narrow(x.count[words]) if order == 2 else x.value[level.last[p]]
+                    body = pack(*map(narrow, (np.diff(level.ids[p][heads], prepend=0), level.count[p][heads], np.diff(np.append(heads, len(p))), np.diff(x.ids[words], prepend=0), which, train[p])), lower)
+                    out.append(_row(GRAMS, block, k, order, body))
             if out:
                 yield _out(out)
 
@@ -265,8 +322,9 @@ def _log(x: np.ndarray) -> np.ndarray:
     return np.log10(np.where(x > 0, x, 1))
 
 
-def _sum(totals: Totals, cells: int):
-    """A cell's pairs to counts, answered to each block; backoff requests; and the cell's counts of counts."""
+def _sum(totals: Totals, cells: int, order: int, top: int):
+    """A cell's n-grams to counts, answered to each block; backoff requests; and the cell's counts of counts. Below the
+    top order n-grams get numbers, as histories of the next."""
     crowd = totals.crowd(cells)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,25 +333,26 @@ def _sum(totals: Totals, cells: int):
             rows = [unpack(b) for b in t.column("body").to_pylist()]
             h = np.concatenate([np.repeat(np.cumsum(r[0], dtype=np.int64), r[2]) for r in rows])
             ch = np.concatenate([np.repeat(r[1], r[2]) for r in rows])
-            w = np.concatenate([np.cumsum(r[3], dtype=np.int64)[r[5]] for r in rows])
-            cw = np.concatenate([r[4][r[5]] for r in rows])
-            train = np.concatenate([r[6] for r in rows])  # as narrow as they came
-            ends = np.cumsum([len(r[5]) for r in rows])
+            w = np.concatenate([np.cumsum(r[3], dtype=np.int64)[r[4]] for r in rows])
+            train = np.concatenate([r[5] for r in rows])  # as narrow as they came
+            lower = np.concatenate([r[6][r[4]] if order == 2 else r[6] for r in rows])
+            ends = np.cumsum([len(r[4]) for r in rows])
             del rows
-            order = np.lexsort((w, h))
-            new = np.ones(len(order), bool)
-            new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
-            pair = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
-            pair[order] = np.cumsum(new) - 1
-            one = order[new]
-            h, w, ch, cw = h[one], None, ch[one].astype(np.int64), cw[one]
-            del order, new
-            c = np.bincount(pair, weights=train, minlength=len(one)).astype(np.int64)
-            # histories: numbers of pairs by count, and the probability of all words seen after
+            by = np.lexsort((w, h))
+            new = np.ones(len(by), bool)
+            new[1:] = (h[by][1:] != h[by][:-1]) | (w[by][1:] != w[by][:-1])
+            gram = np.empty(len(by), np.int32 if len(by) < 1 << 31 else np.int64)
+            gram[by] = np.cumsum(new) - 1
+            one = by[new]
+            h, w, ch, lower = h[one], None, ch[one].astype(np.int64), lower[one]
+            del by, new
+            c = np.bincount(gram, weights=train, minlength=len(one)).astype(np.int64)
+            # histories: numbers of n-grams by count, and the lower order's probability of all words seen after
             hh, of = np.unique(h, return_inverse=True)
             m = np.stack([np.bincount(of[c == r], minlength=len(hh)) for r in range(1, K + 1)])
             big = np.bincount(of[c > K], minlength=len(hh))
-            seen_mass = np.bincount(of, weights=np.where(c > 0, totals.unigrams.p(cw), 0.0), minlength=len(hh))
+            seen = np.where(c > 0, totals.unigrams.p(lower) if order == 2 else 10.0**lower, 0.0)
+            seen_mass = np.bincount(of, weights=seen, minlength=len(hh))
             count_h = np.zeros(len(hh), np.int64)
             count_h[of] = ch
             hot = count_h > crowd
@@ -301,18 +360,19 @@ def _sum(totals: Totals, cells: int):
             asks = ((count_h > 0) & ~hot)[of] & (c == 0)
             asked, begin = [], 0
             for block, end in zip(blocks, ends.tolist()):
-                own = pair[begin:end]
+                own = gram[begin:end]
                 begin = end
-                yield _out([_row(COUNTS, block, cell, 0, pack(narrow(c[own]), np.flatnonzero(scaled[of[own]] & (c[own] > 0))))])
+                numbers = [narrow(own)] if order < top else []
+                yield _out([_row(COUNTS, block, cell, order, pack(narrow(c[own]), np.flatnonzero(scaled[of[own]] & (c[own] > 0)), *numbers))])
                 if len(q := np.unique(of[own[asks[own]]])):
                     asked.append((q, np.full(len(q), block)))
             n = np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
             x = np.flatnonzero(hot)
-            yield _out([_row(STATS, 0, cell, 0, pack(n, hh[x], count_h[x], m[:, x].ravel(), big[x], seen_mass[x]))])
+            yield _out([_row(STATS, 0, cell, order, pack(n, hh[x], count_h[x], m[:, x].ravel(), big[x], seen_mass[x]))])
             if asked:
                 q, block = (np.concatenate(y) for y in zip(*asked))
                 used, q = np.unique(q, return_inverse=True)
-                yield _out([_row(BACKOFF, 0, cell, 0, pack(narrow(count_h[used]), narrow(m[:, used].ravel()), seen_mass[used], narrow(q), block))])
+                yield _out([_row(BACKOFF, 0, cell, order, pack(narrow(count_h[used]), narrow(m[:, used].ravel()), seen_mass[used], narrow(q), block))])
 
     return run
 
@@ -330,11 +390,11 @@ def _back_off(d: np.ndarray):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for cell, body in zip(batch.column("part").to_pylist(), batch.column("body").to_pylist()):
+            for cell, order, body in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "body"))):
                 count, m, seen, of, block = unpack(body)
                 back, _ = weights(d, count.astype(np.int64), m.reshape(K, -1).astype(np.int64), seen)
                 starts = runs(block)
-                yield _out([_row(WEIGHTS, int(block[a]), cell, 0, pack(back[of[a:b]])) for a, b in zip(starts, np.append(starts[1:], len(of)))])
+                yield _out([_row(WEIGHTS, int(block[a]), cell, order, pack(back[of[a:b]])) for a, b in zip(starts, np.append(starts[1:], len(of)))])
 
     return run
 
@@ -342,43 +402,35 @@ def _back_off(d: np.ndarray):
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _finish(totals: Totals, cells: int, d: np.ndarray, hot: dict[int, tuple[float, float]]):
+def _finish(totals: Totals, cells: int, known: list[Known]):
     """Blocks with all answers to scores."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in units(it, ["block"]):
-            rows = _of_unit(t)
-            x = _block(rows, totals, cells)
-            c, extra = np.zeros(len(x.h), np.int64), np.zeros(len(x.h))
-            ch = x.count[x.h]
-            crowded = ch > totals.crowd(cells)
-            for k, cell, body in rows:
-                if k == COUNTS:
-                    counts, scaled = unpack(body)
-                    p = x.cell(cell)
-                    c[p] = counts
-                    extra[p[scaled]] = np.log10(ch[p[scaled]] / (ch[p[scaled]] + 1.0))
-            for k, cell, body in rows:
-                if k == WEIGHTS:
-                    p = x.cell(cell)
-                    p = p[(c[p] == 0) & (ch[p] > 0) & ~crowded[p]]
-                    extra[p] = unpack(body)[0][np.unique(x.h[p], return_inverse=True)[1]]
-            q = np.flatnonzero(crowded)
-            if len(q):
-                own, place = np.unique(x.ids[x.h[q]], return_inverse=True)
-                both = np.array([hot[i] for i in own.tolist()])[place]
-                extra[q] = np.where(c[q] > 0, both[:, 1], both[:, 0])
-            discounted = np.append(np.append(1.0, d), 1.0)[np.minimum(c, K + 1)] * c
-            value = np.where(c > 0, _log(discounted) - _log(ch), np.log10(totals.unigrams.p(x.count[x.w]))) + extra
-            score = np.bincount(x.doc, weights=x.times * value[x.pair], minlength=len(x.sizes))
+            x = _block(_of_unit(t), totals, cells, known, False)
+            score = np.bincount(x.doc, weights=x.value, minlength=len(x.sizes))
             columns = [pa.array(x.doc_ids, mask=x.null), pa.array(x.held), *map(pa.array, (x.sizes, x.known, np.full(len(x.sizes), totals.tokens, np.int64), x.base, score))]
             yield pa.RecordBatch.from_arrays(columns, [y.split()[0] for y in RESULT.split(", ")])
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+def _known(summed: DataFrame) -> Known:
+    """An order's discounts and frequent histories, of what its cells sum up to."""
+    n, hot = np.zeros(K + 1, np.int64), {}
+    for row in summed.where(F.col("kind") == STATS).collect():
+        own, h, count, m, _, seen = unpack(row["body"])
+        n += own
+        for i, x in enumerate(h.tolist()):
+            old = hot.get(x, (0, np.zeros(K, np.int64), 0.0))
+            hot[x] = (int(count[i]), old[1] + m.reshape(K, -1)[:, i], old[2] + float(seen[i]))
+    d = discounts(n)
+    return Known(d, {x: tuple(float(y[0]) for y in weights(d, np.array([count]), m[:, None], np.array([seen]))) for x, (count, m, seen) in hot.items()})
+
+
+def score(docs: DataFrame, order: int = 2) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), by a model of n-grams
+    of up to ``order`` (2 at least) tokens."""
     spark = docs.sparkSession
     small_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -390,19 +442,12 @@ def score(docs: DataFrame) -> DataFrame:
     train_docs = coded.where(F.col("kind") == DOCS).agg(F.sum("n")).first()[0] or 0
     totals = Totals(answered.where(F.col("kind") == STATS).collect(), train_docs, cells)
 
-    both = coded.where(F.col("kind") == DOCS).union(answered.where(F.col("kind") == ANSWER))
-    paired = both.repartition("block").sortWithinPartitions("block").mapInArrow(_pair(totals, cells), ROW)
-    summed = written(paired.repartitionById(tasks, of_task).sortWithinPartitions("part", "block").mapInArrow(_sum(totals, cells), ROW), "counts")
-
-    n, hot = np.zeros(K + 1, np.int64), {}
-    for row in summed.where(F.col("kind") == STATS).collect():
-        own, h, count, m, _, seen = unpack(row["body"])
-        n += own
-        for i, x in enumerate(h.tolist()):
-            old = hot.get(x, (0, np.zeros(K, np.int64), 0.0))
-            hot[x] = (int(count[i]), old[1] + m.reshape(K, -1)[:, i], old[2] + float(seen[i]))
-    d = discounts(n)
-    ready = {x: tuple(float(y[0]) for y in weights(d, np.array([count]), m[:, None], np.array([seen]))) for x, (count, m, seen) in hot.items()}
-    weighed = summed.where(F.col("kind") == BACKOFF).mapInArrow(_back_off(d), ROW)
-    parts = both.union(summed.where(F.col("kind") == COUNTS)).union(weighed)
-    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(_finish(totals, cells, d, ready), RESULT)
+    rows = coded.where(F.col("kind") == DOCS).union(answered.where(F.col("kind") == ANSWER))
+    known: list[Known] = []
+    for k in range(2, order + 1):
+        grams = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_grams(totals, cells, list(known)), ROW)
+        summed = written(grams.repartitionById(tasks, of_task).sortWithinPartitions("part", "block").mapInArrow(_sum(totals, cells, k, order), ROW), "counts")
+        known.append(_known(summed))
+        weighed = summed.where(F.col("kind") == BACKOFF).mapInArrow(_back_off(known[-1].d), ROW)
+        rows = rows.union(summed.where(F.col("kind") == COUNTS)).union(weighed)
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_finish(totals, cells, known), RESULT)
