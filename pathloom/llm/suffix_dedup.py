@@ -183,12 +183,12 @@ def _suffixes(rule: Rule, splitters):
 
 
 ALONE, CONTESTED, REPEATED = 0, 1, 2
-JUDGED = KEYED + ", bucket int, status int, edge boolean, meets boolean, crowd boolean"
+JUDGED = KEYED + ", bucket int, status int, meets boolean, crowd boolean"
 
 
 def _judged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's suffixes that repeat, are contested, or may be so across its boundaries (``edge``: first or last
-    leading tokens); and its first and last key (windows 0). ``meets``: the suffix is compared window by window if
+    """A bucket's suffixes that repeat, are contested, or may be so across its boundaries (its first or last leading
+    tokens); and its first and last key (windows 0). ``meets``: the suffix is compared window by window if
     contested, or if it is the first of a repeated stretch; ``crowd``: so are many with its leading tokens."""
     for t in units(it, ["bucket"]):
         order = multikey_sort([t.column(c).to_numpy().view(U) for c in NAMES[:4]])
@@ -206,7 +206,7 @@ def _judged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = (g == 0) | (g == g[-1])
         meets = contested | new & (np.bincount(g, weights=contested)[g] > 0)
         crowd = kinds > CROWD
-        for name, c in (("status", status.astype(np.int32)), ("edge", edge), ("meets", meets | new & edge), ("crowd", crowd)):
+        for name, c in (("status", status.astype(np.int32)), ("meets", meets | new & edge), ("crowd", crowd)):
             t = t.append_column(name, pa.array(c))
         kept = t.filter(pa.array((status != ALONE) | edge))
         ends = t.take(pa.array([0, len(t0) - 1])).set_column(7, "windows", pa.array([0, 0], pa.int32())).set_column(9, "status", pa.array([0, 1], pa.int32()))
@@ -389,11 +389,10 @@ def spans(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     small = F.broadcast if len(cut_leads) <= BROADCAST_CUTS else lambda x: x
     leads = small(spark.createDataFrame([(*x, True) for x in cut_leads], "t0 long, lead long, over boolean"))
     digests = small(spark.createDataFrame([(*x, True) for x in cut_digests], "t0 long, lead long, d1 long, d2 long, same boolean"))
-    found = judged.where("windows > 0")
-    cut = found.where("edge").join(leads, ["t0", "lead"], "left").join(digests, ["t0", "lead", "d1", "d2"], "left")
+    # one row of these, at most, for each; other leading tokens than those at the edges of buckets aren't among them
+    found = judged.where("windows > 0").join(leads, ["t0", "lead"], "left").join(digests, ["t0", "lead", "d1", "d2"], "left")
     status = F.when(F.col("same"), REPEATED).otherwise(F.when(F.col("over"), F.greatest("status", F.lit(CONTESTED))).otherwise(F.col("status")))
-    cut = cut.select(*NAMES, status.alias("status"), "meets", F.coalesce(F.col("over") | F.col("crowd"), F.col("crowd")).alias("crowd"))
-    found = found.where("not edge").select(*NAMES, "status", "meets", "crowd").union(cut).where(F.col("status") != ALONE)
+    found = found.select(*NAMES, status.alias("status"), "meets", (F.col("crowd") | F.coalesce("over", F.lit(False))).alias("crowd")).where(F.col("status") != ALONE)
 
     whole = found.where(F.col("status") == REPEATED).select("file", "row", F.col("first").alias("begin"), (F.col("first") + F.col("windows") - 1 + rule.length).alias("end"))
     # contested stretches, and one of each repeated stretch (and bucket) beside them
