@@ -34,7 +34,7 @@ compressed arrays of blocks of documents:
    are answered, too; after the last order each block scores its documents.
 
 The driver sees one row of sums per partition and order, and the frequent
-histories.
+histories. Partitions are as many as the session's, or as the text needs.
 
 Defined results: a null text is empty and has the end as its one token; a null
 doc_id is hashed as empty text; repeated rows are documents of their own; with
@@ -62,6 +62,7 @@ from .shingles import word_hashes
 U = np.uint64
 K = 5
 BLOCK_TOKENS = 1_500_000
+TASK_BYTES = 64 << 20  # text whose n-grams one task of the tables takes, about
 CELLS = 2  # parts of the tables per task, which goes through them one by one and holds no more
 BEGIN, END, WORDS = 0, 1, 2  # ids of the begin and of the end; words' ids follow
 
@@ -433,9 +434,10 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
     of up to ``order`` (2 at least) tokens."""
     spark = docs.sparkSession
     small_batches(spark)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells, of_task = CELLS * tasks, F.col("part") % tasks
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    cells, of_task = CELLS * tasks, F.col("part") % tasks
     coded = written(slim.mapInArrow(_code(cells), ROW), "coded")
     lists = coded.where(F.col("kind") == LIST)
     answered = written(lists.repartitionById(tasks, of_task).sortWithinPartitions("part", "block").mapInArrow(_count, ROW), "words")
