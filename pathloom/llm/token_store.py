@@ -17,11 +17,12 @@ and compares the stored fingerprint, reading a few numbers at computed places of
 the file: constant time (two levels on average), no search, and no keys. An id
 that isn't there is found with a chance of 2^-32, the fingerprint's.
 
-Documents are encoded where they are; then their ids, a fraction of the text,
-are sorted by doc_id over range partitions, each of which writes its shards
-under a name of the attempt and moves them; a retried task just writes them
-again. Paths go through Arrow's file systems, so a store can lie wherever those
-reach.
+Documents are encoded where they are, and their ids, a fraction of the text, go
+to ranges of doc_id; each sorts its own and writes its shards under a name of
+the attempt and moves them; a retried task just writes them again. A sample of
+documents (the rows of SAMPLE_ROWS, or SAMPLE_KEYS for each range) cuts the
+ranges; nothing else depends on it. Paths go through Arrow's file systems, so a
+store can lie wherever those reach.
 
 Defined results: null text is empty (its ids are the end id alone); documents
 without an id come last; rows with one id repeated follow each other (ordered by
@@ -55,6 +56,9 @@ U = np.uint64
 CACHE_WORDS = 600_000
 SHARD_BYTES = 64 << 20
 READ_BYTES = 4 << 20
+RANGE_BYTES = 16 << 20  # text of a range of documents
+SAMPLE_ROWS = 20_000  # documents that the ranges are cut by, or SAMPLE_KEYS for each range if these are more
+SAMPLE_KEYS = 20
 
 
 def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -343,27 +347,52 @@ class Shard:
             return np.frombuffer(f.read(), "<i8")
 
 
+def _sort_keys(rows: pa.RecordBatch | pa.Table, salt: np.ndarray) -> np.ndarray:
+    """Byte strings that sort as (doc_id, nulls last, tie, salt) do; the salt tells repeated rows apart, so that ranges
+    can cut between them."""
+    doc_id, sign = rows.column("doc_id"), U(1 << 63)
+    known = doc_id.fill_null(0).to_numpy().astype(U) ^ sign
+    null = np.asarray(doc_id.is_null(), bool).astype(U)
+    return np.ascontiguousarray(np.stack([null, known, rows.column("tie").to_numpy().astype(U) ^ sign, salt], axis=1).astype(">u8")).view("S32").ravel()
+
+
+def _cuts(slim: DataFrame) -> np.ndarray:
+    """Keys that cut the documents into ranges of about RANGE_BYTES of text, by a sample of some SAMPLE_KEYS a range."""
+    n = max(1, slim.count())
+    keyed = slim.select("doc_id", F.xxhash64("text").alias("tie"), F.octet_length("text").cast("long").alias("size"))
+    share = min(1.0, SAMPLE_ROWS / n)
+    rows = keyed.sample(share, seed=17).toArrow()
+    parts = int(sum(x or 0 for x in rows.column("size").to_pylist()) / share / RANGE_BYTES) + 1
+    if share < 1 and rows.num_rows < SAMPLE_KEYS * parts:
+        rows = keyed.sample(min(1.0, 1.2 * SAMPLE_KEYS * parts / n), seed=17).toArrow()
+    keys = np.sort(_sort_keys(rows, mixed64(np.arange(1, rows.num_rows + 1, dtype=U))))
+    return np.unique(keys[np.linspace(0, len(keys), parts + 1).astype(int)[1:-1]]) if len(keys) else keys
+
+
 def write_store(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int | None = 1) -> tuple[str, list[dict]]:
     """Encode all documents into a store; returns its folder and manifest (a row per shard, in order)."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or fresh_path(spark, "tokens")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cuts = _cuts(slim)
 
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
+        row = TaskContext.get().partitionId() << 40  # the same in every attempt
         for batch in batches(it, 1 << 20):
+            salt = mixed64(np.arange(row + 1, row + 1 + batch.num_rows, dtype=U))
+            row += batch.num_rows
+            part = np.searchsorted(cuts, _sort_keys(batch, salt)).astype(np.int32)
             ids = pa.array([x + end for x in encoder.encode(text_bytes(batch))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), ids], ["doc_id", "tie", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), ids, pa.array(part)], ["doc_id", "tie", "ids", "part"])
 
-    # written first: the sampling that finds the ranges then reads two columns
-    coded = written(slim.withColumn("tie", F.xxhash64("text")).mapInArrow(encoded, "doc_id long, tie long, ids binary"), "encoded")
-    order = [F.col("doc_id").asc_nulls_last(), F.col("tie").asc()]
-    ranged = coded.repartitionByRange(*order).sortWithinPartitions(*order)
+    coded = slim.withColumn("tie", F.xxhash64("text")).mapInArrow(encoded, "doc_id long, tie long, ids binary, part int")
+    ranged = coded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.col("tie").asc())
+    width = encoder_of(tokenizer).width
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = encoder_of(tokenizer).width
         ids: list[bytes] = []
         doc_ids: list[int | None] = []
         part, seq, size = TaskContext.get().partitionId(), 0, 0
