@@ -65,15 +65,15 @@ HUB_LINKS = 1000  # links of a node that counts as a hub, at least
 HUBS = 100_000  # hubs, at most, whose least neighbours are broadcast
 
 
-def _star(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Written links (u, v) with ``m``, the least v of their u; and the tables they are read from. Links of a hub stay
-    where they are: its least neighbour is broadcast. A hub has more links than a share of them all, so there are
-    never more than HUBS."""
-    least = written(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "least")
-    hub = F.col("c") > max(HUB_LINKS, links.count() // HUBS)
+def _star(links: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``n`` links (u, v): with ``m``, the least v of their u; and (u, m) alone. Links of a hub stay where they are:
+    its least neighbour is broadcast. A hub has more links than a share of them all, so there are never more than
+    HUBS."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    hub = F.col("c") > max(HUB_LINKS, n // HUBS)
     hubs = F.broadcast(least.where(hub).select("u", "m"))
     rest = links.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u")
-    return links.join(hubs, "u").unionByName(rest), [least]
+    return links.join(hubs, "u").unionByName(rest), least.select("u", "m")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -83,21 +83,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     no links give an empty result."""
     now = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null").mapInArrow(_forest, "u binary, v binary").distinct(), "links")
     alone = links.where(F.col(a) == F.col(b)).select(F.col(a).alias("u"))
-    before = None
+    before, n = None, now.count()
     while True:
         # large-star: the larger neighbours of a node link to the least of its neighbourhood
-        both = written(now.union(now.select("v", "u")), "both")
-        star, read = _star(both)
+        star, _ = _star(now.union(now.select("v", "u")), 2 * n)
         large = written(star.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), "large")
-        discard(now, both, *read)
+        discard(now)
         # small-star: each node and its smaller neighbours link to the least of these
-        star, read = _star(large)
-        small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(read[0].select("u", F.col("m").alias("v"))).distinct()
-        now = written(small, "links")
-        discard(large, *read)
+        star, least = _star(large, n)
+        now = written(star.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least).distinct(), "links")
+        discard(large)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             found = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             loners = alone.join(found.select(F.col("node").alias("u")), "u", "left_anti")
             return found.union(now.select(F.col("v").alias("u")).union(loners).distinct().select("u", F.col("u").alias("v")))
-        before = state
+        before, n = state, state[0]

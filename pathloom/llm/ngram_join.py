@@ -443,6 +443,8 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     spark = docs.sparkSession
     small_batches(spark)
     docs = scanned(docs)
+    # units of work are few bytes and much time, so their partitions are numbered, which adaptive execution leaves alone
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rank = spark.sparkContext.broadcast(ranks(docs, rule).tobytes())
     keyed = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "file", "row")
     found = written(keyed.mapInArrow(_prefix_rows(rule, rank), PREFIXES), "prefixes")
@@ -461,7 +463,7 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     blocks = written(zones.where(F.col("c") > rule.block).select("token", "zones"), "blocks")
     own = zone * ZONE + F.pmod(F.xxhash64("token", "d"), F.col("zones")[zone])
     mixed = _with_tokens(shared, blocks, "left").withColumn("block", F.coalesce(own, F.lit(0)))
-    dealt = mixed.join(sketches, "d").select("token", "block", "d", "n", "pos", "sketch", F.col("zones").isNotNull().alias("many")).repartition("token", "block").sortWithinPartitions("token", "block")
+    dealt = mixed.join(sketches, "d").select("token", "block", "d", "n", "pos", "sketch", F.col("zones").isNotNull().alias("many")).repartition(parts, "token", "block").sortWithinPartitions("token", "block")
     near = written(dealt.mapInArrow(_nearest(rule), OPEN), "near")
     discard(frequent, shared)
 
@@ -493,7 +495,7 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     fitting = F.flatten(F.transform(F.array(at - 1, at, at + 1), lambda z: F.coalesce(F.transform(F.sequence(F.lit(0).cast("long"), F.col("zones")[z] - 1), lambda x: z * ZONE + x), F.array().cast("array<bigint>"))))
     partner = F.explode(F.when(F.array_contains("outside", F.col("block")), fitting).otherwise(F.array_intersect(fitting, "outside")))
     open_ = open_.withColumn("with", partner).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).select(*columns)
-    pairs = few.union(open_).join(sketches, "d").select(*columns, "sketch").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    pairs = few.union(open_).join(sketches, "d").select(*columns, "sketch").repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
     more = pairs.mapInArrow(_between(rule), "a binary, b binary").distinct().join(first, ["a", "b"], "left_anti")
     more = written(_verified(more, texts, rule), "links")
     discard(near, labelled, blocks, mains, outside, texts)

@@ -46,8 +46,8 @@ def test_row_keys_above_joins(spark, docs, twice, texts):
     assert len(rows) == 2 * n and all(r.n_removed == (r.n_bytes if r.n_bytes >= 400 else 0) for r in rows)
     taken = mixing.taken(mixing.mix(twice)).collect()
     assert len(taken) == 2 * n and all(r.taken <= 3 * r.size for r in taken)
-    joined = ngram_join.label(twice).collect()
-    assert len(joined) == 2 * n and ngram_join.keep(twice).count() == ngram_join.keep(docs).count()
+    joined = Counter(r.component_id for r in ngram_join.label(twice).where("n_shingles > 0").collect())
+    assert sum(joined.values()) == 2 * sum(bool(t.split()) for t in texts.values()) and not any(k % 2 for k in joined.values())
     keyed = common.with_row_key(twice, "f", "r")
     assert keyed.select("f", "r").distinct().count() == 2 * n
     exploded = docs.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2))))
@@ -187,7 +187,7 @@ def _katz(tokens, held, order):
     return p, grams
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("order", [2, 4])
 def test_katz_orders(spark, order):
     rng = random.Random(order)
     rows = [(i, " ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(rng.randint(0, 40)))) for i in range(150)]
@@ -229,7 +229,7 @@ def test_frequent_tokens_and_zones(spark, monkeypatch):
             if i < j and 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j]):
                 a, b = sorted((root[i], root[j]))
                 root = {x: a if r == b else r for x, r in root.items()}
-    for frequent, tables, block in ((512, 100_000, 512), (4, 100_000, 5), (4, 0, 5)):
+    for frequent, tables, block in ((4, 100_000, 5), (4, 0, 5)):
         monkeypatch.setattr(ngram_join, "FREQUENT_ROWS", frequent)
         monkeypatch.setattr(ngram_join, "BROADCAST_TOKENS", tables)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.label(df, ngram_join.Rule(3, 90, block=block)).collect()}
