@@ -46,6 +46,7 @@ from .common import batches, fresh_name, scanned, small_batches, text_bytes, wit
 
 U = np.uint64
 CONTINUATION = bytes(range(0x80, 0xC0))
+TASK_SHARDS = 8  # shards that one task writes, about
 KNOWN_ROWS = 200_000  # of partitions and their sources, that are broadcast
 
 
@@ -161,6 +162,7 @@ class Mix:
 
     pieces: DataFrame
     measured: DataFrame
+    shards: int = 0
 
 
 def mix(docs: DataFrame, length: int = 1024, shard_slots: int = 1024, seed: int = 7, most: float = 3.0, weights: tuple[float, ...] = (1, 2, 3)) -> Mix:
@@ -216,7 +218,7 @@ def mix(docs: DataFrame, length: int = 1024, shard_slots: int = 1024, seed: int
     per_block = per_block.withColumns({"lo": F.greatest(F.col("begin") - origin, F.lit(0)), "hi": F.least(end - origin, F.lit(length)), "shift": origin - F.col("begin")})
     met = per_block.join(slots.hint("merge"), ["source_no", "block"]).withColumn("hi", F.least("hi", "take")).where("hi > lo")
     pieces = met.select(*order, "shard", "slot", "begin", (F.col("shift") + F.col("lo")).alias("first_word"), (F.col("shift") + F.col("hi")).alias("end_word"))
-    return Mix(pieces, placed)
+    return Mix(pieces, placed, n_shards)
 
 
 def taken(mixed: Mix) -> DataFrame:
@@ -269,8 +271,10 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     space between them), ``n_chars`` (if there) its length. A shard's pieces follow each other in one partition, slot
     after slot, in the order of their source's stream. Documents taken twice appear twice."""
     docs = scanned(docs)
-    rows, names = _pieces(docs, mix(docs, **options), docs.columns)
-    return rows.repartition(names["shard"]).sortWithinPartitions(*names.values()).select(*docs.columns)
+    mixed = mix(docs, **options)
+    rows, names = _pieces(docs, mixed, docs.columns)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-mixed.shards // TASK_SHARDS))
+    return rows.repartition(tasks, names["shard"]).sortWithinPartitions(*names.values()).select(*docs.columns)
 
 
 def blocks(docs: DataFrame, **options) -> DataFrame:
