@@ -12,7 +12,8 @@ broken differently).
 If normalisation leaves texts as they are but for blanks, and no piece has
 something before a metaspace, then a piece never crosses the start of a run of
 blanks. Texts are then cut there, and batches hold each distinct segment that
-the worker hasn't met yet.
+the worker hasn't met yet. Cutting, telling segments apart, and joining their
+ids and the texts of pieces are Arrow kernels over whole batches.
 
 Defined results: null text is empty and has no ids; bytes that are no UTF-8 are
 encoded as replacement characters; ids decode to the normalised text, which is
@@ -30,7 +31,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from .common import batches, fresh_name, small_batches, text_bytes
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_SEGMENTS = 500_000
+CACHE_SEGMENTS = 1_000_000
 JOINED = 64  # segments that the library encodes as one text
 
 
@@ -148,10 +148,22 @@ def rebuild(m: Model):
     return t
 
 
-SEGMENT = re.compile(rb" +[^ ]*")
 MARK = SPACE.encode()
 
 
+def packed_array(raw: bytes, offsets: np.ndarray) -> pa.Array:
+    """The stretches of ``raw`` between offsets, as an array of byte strings."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
+
+
+def slices(items: pa.Array, bounds: np.ndarray) -> list[bytes]:
+    """The byte strings of ``items`` joined: those from one bound to the next."""
+    _, offsets, data = items.buffers()
+    at = np.frombuffer(offsets, np.int64, len(items) + 1)[bounds].tolist() if len(items) else [0] * len(bounds)
+    raw = memoryview(data) if data else b""
+    return [bytes(raw[a:b]) for a, b in zip(at, at[1:])]
+
+
 class Codec:
     """Encode and decode with a rebuilt model; one per worker."""
 
@@ -165,7 +177,7 @@ class Codec:
         self.own = SentencePieceProcessor(model_file=path)
         self.plain = self.model.separable
         self.cache: dict[bytes, bytes] = {}  # segments to packed ids
-        self.parts: list[bytes] = []  # pieces as decoded
+        self.parts: pa.Array | None = None  # pieces as decoded
         self.begins = np.array([k != BYTE and p.startswith(SPACE) for p, _, k in self.model.pieces])
 
     def raw(self, texts: list[str]) -> list[bytes]:
@@ -178,40 +190,52 @@ class Codec:
         if not self.plain:
             return self.raw([t.decode() for t in texts])
         # the metaspace itself may stand in a text; it counts as a blank
-        cut = [SEGMENT.findall(b" " + t.replace(MARK, b" ")) if t else [] for t in texts]
-        new, here = [], {}
-        for s in set(chain.from_iterable(cut)):
-            if (found := self.cache.get(s)) is None:
-                new.append(s)
-            else:
-                here[s] = found
-        more = self.segments(new) if new else {}
-        here |= more  # small, so that the many look-ups stay in the processor's cache
+        texts = [b" " + t.replace(MARK, b" ") if t else t for t in texts]
+        bounds = np.cumsum([0, *map(len, texts)])
+        raw = b"".join(texts)
+        blank = np.frombuffer(raw, "u1") == 32
+        first = blank.copy()
+        first[1:] &= ~blank[:-1]
+        first[bounds[:-1][np.diff(bounds) > 0]] = True  # each text begins a segment, also where the one before ends in blanks
+        starts = np.flatnonzero(first)
+        cut = packed_array(raw, np.append(starts, len(raw))).dictionary_encode()
+        words = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.cache.get, words))
+        at = [i for i, x in enumerate(found) if x is None]
+        new = [words[i] for i in at]
+        more = self.segments(new) if new else []
+        for i, x in zip(at, more):
+            found[i] = x
         if len(self.cache) + len(new) > CACHE_SEGMENTS:  # frequent segments are in this batch, too
-            self.cache = dict(here)
+            self.cache = dict(zip(words, found))
         else:
-            self.cache |= more
-        return [b"".join(map(here.__getitem__, ss)) for ss in cut]
+            self.cache.update(zip(new, more))
+        return slices(pa.array(found, pa.large_binary()).take(cut.indices), np.searchsorted(starts, bounds))
 
-    def segments(self, new: list[bytes]) -> dict[bytes, bytes]:
+    def segments(self, new: list[bytes]) -> list[bytes]:
         """Ids of segments. Those with one blank go to the library many as one text, whose pre-tokens they are: each
         has one piece that begins with a metaspace, its first. Others are texts of their own. The first blank is what
         the normaliser puts before a text."""
+        out: dict[bytes, bytes] = {}
         one = [s for s in new if s[1:2] not in (b"", b" ")]
         rest = [s for s in new if s[1:2] in (b"", b" ")]
         groups = [one[i : i + JOINED] for i in range(0, len(one), JOINED)]
         found = self.tokenizer.encode_batch_fast([b"".join(g)[1:].decode() for g in groups] + [s[1:].decode() for s in rest], add_special_tokens=False)
-        out = {s: np.array(e.ids, "<i4").tobytes() for s, e in zip(rest, found[len(groups) :])}
+        if groups:
+            ids = [np.array(e.ids, "<i4") for e in found[: len(groups)]]
+            if [int(np.count_nonzero(self.begins[x])) for x in ids] != list(map(len, groups)):
+                raise ValueError("segments and their first pieces differ in number")
+            ids = np.concatenate(ids)
+            at = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 4
+            packed = packed_array(ids.tobytes(), at).to_numpy(zero_copy_only=False).tolist()
+            if len(one) == len(new):
+                return packed
+            out.update(zip(one, packed))
+        for s, e in zip(rest, found[len(groups) :]):
+            out[s] = np.array(e.ids, "<i4").tobytes()
         if b" " in out:  # the normaliser adds no prefix to an empty text, but a lone blank is a piece
             out[b" "] = struct.pack("<i", self.tokenizer.token_to_id(SPACE))
-        for g, e in zip(groups, found):
-            ids = np.array(e.ids, "<i4")
-            at = (np.flatnonzero(self.begins[ids]) * 4).tolist()
-            if len(at) != len(g):
-                raise ValueError("segments and their first pieces differ in number")
-            raw = ids.tobytes()
-            out.update(zip(g, (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)]))))
-        return out
+        return [out[s] for s in new]
 
     def rest(self) -> None:
         """Between tasks only a bounded cache stays."""
@@ -225,23 +249,40 @@ class Codec:
 
     def decode(self, many: list[bytes]) -> list[bytes]:
         """The (normalised) texts of packed ids; bytes that are no UTF-8 become replacement characters. A piece decodes
-        alike wherever it stands, so all were decoded once; runs of bytes are decoded as they come."""
-        if not self.parts:
+        alike wherever it stands, so all were decoded once, and so does a byte that is ASCII; other runs of bytes are
+        decoded as they come, each distinct one once a batch."""
+        if self.parts is None:
             found = self._decoded([[i] for i in range(len(self.model.pieces))])
-            self.parts = [b"" if k == CONTROL else x for x, (_, _, k) in zip(found, self.model.pieces)]
+            self.parts = pa.array([b"" if k == CONTROL else x for x, (_, _, k) in zip(found, self.model.pieces)], pa.large_binary())
             self.byte = np.array([k == BYTE for _, _, k in self.model.pieces])
-        out, runs = [], []
-        for x in many:
-            ids = np.frombuffer(x, "<i4")
-            edge = np.flatnonzero(np.diff(self.byte[ids], prepend=False, append=False)).tolist()
-            one, at = [], 0
-            for a, b in zip(edge[::2], edge[1::2]):
-                one += [*map(self.parts.__getitem__, ids[at:a].tolist()), len(runs)]
-                runs.append(ids[a:b].tolist())
-                at = b
-            out.append([*one, *map(self.parts.__getitem__, ids[at:].tolist())])
-        decoded = self._decoded(runs)
-        whole = [b"".join([decoded[y] if y.__class__ is int else y for y in one] if x else one) for one, x in zip(out, many)] if runs else [b"".join(one) for one in out]
+            self.high = np.array([k == BYTE and int(p[3:-1], 16) > 127 for p, _, k in self.model.pieces])
+        ids = np.frombuffer(b"".join(many), "<i4")
+        bounds = np.cumsum([0, *(len(x) // 4 for x in many)])
+        parts, high = self.parts, np.flatnonzero(self.high[ids])
+        if len(high):
+            byte = self.byte[ids]
+            first = byte.copy()
+            first[1:] &= ~byte[:-1]
+            first[bounds[:-1][np.diff(bounds) > 0]] = True  # no run crosses texts; beginnings that are no bytes do no harm
+            ends = ~byte
+            ends[1:] |= first[1:]
+            begin = np.flatnonzero(first)
+            begin = begin[np.unique(np.searchsorted(begin, high, "right") - 1)]
+            stop = np.append(np.flatnonzero(ends), len(ids))
+            stop = stop[np.searchsorted(stop, begin, "right")]
+            runs = [ids[a:b].tobytes() for a, b in zip(begin.tolist(), stop.tolist())]
+            number = {x: len(parts) + i for i, x in enumerate(dict.fromkeys(runs))}
+            decoded = self._decoded([np.frombuffer(x, "<i4").tolist() for x in number])
+            parts = pa.concat_arrays([parts, pa.array(decoded, pa.large_binary())])
+            # a run becomes one number, and what is left of it goes
+            inside = np.zeros(len(ids) + 1, np.int8)
+            np.add.at(inside, begin + 1, 1)
+            np.add.at(inside, stop, -1)
+            stays = np.cumsum(inside[:-1]) == 0
+            ids = ids.copy()
+            ids[begin] = [number[x] for x in runs]
+            ids, bounds = ids[stays], np.concatenate([[0], np.cumsum(stays)])[bounds]
+        whole = slices(parts.take(pa.array(ids, pa.int32())), bounds)
         return [t[1:] if self.model.dummy_prefix and t[:1] == b" " else t for t in whole]
 
     def checked(self, texts: list[bytes]) -> Iterator[tuple[bytes, bool]]:
@@ -278,7 +319,7 @@ def encode(docs: DataFrame, path: str, threads: int = 2, ids: str = "token_ids",
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path, threads)
-        for batch in batches(it, 1 << 20):
+        for batch in batches(it):
             found = list(codec.checked(text_bytes(batch)))
             ends = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) // 4 for x, _ in found], out=ends[1:])
@@ -297,7 +338,7 @@ def summary(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path, threads)
-        for batch in batches(it, 1 << 20):
+        for batch in batches(it):
             texts, rows = text_bytes(batch), []
             found = list(codec.checked(texts))
             for text, (x, same), back in zip(texts, found, codec.decode([x for x, _ in found])):

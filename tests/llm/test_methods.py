@@ -103,6 +103,25 @@ def test_sentencepiece_oddities():
         assert [t.decode() for t in codec.decode([x for x, _ in found])] == [own.decode(own.encode(t)) for t in odd]
 
 
+def test_sentencepiece_decodes_by_batch():
+    """Of byte runs only distinct ones that aren't ASCII are decoded, whatever the rows; runs end where texts do."""
+    from sentencepiece import SentencePieceProcessor
+
+    own = SentencePieceProcessor(model_file=SPM)
+    codec = sentencepiece_codec.Codec(SPM, 2)
+    texts = ["one\n\ttwo \U0001f600 three\n", "\U0001f601", "", "\U0001f600 \U0001f600", "\n"] * 200
+    ids = [np.array(own.encode(t), "<i4").tobytes() for t in texts]
+    byte = {b: own.piece_to_id(f"<0x{b:02X}>") for b in (0xC3, 0xA9, 0x0A)}
+    odd = [[byte[0xC3]], [byte[0xA9]], [byte[0xC3], byte[0xA9]], [byte[0x0A]] * 2]
+    codec.decode([])
+    seen, decoded = [], codec._decoded
+    codec._decoded = lambda many: seen.extend(many) or decoded(many)
+    many = [*ids, *(np.array(x, "<i4").tobytes() for x in odd)]
+    assert [t.decode() for t in codec.decode(many)] == [own.decode(np.frombuffer(x, "<i4").tolist()) for x in many]
+    assert len(seen) == len({*map(tuple, seen)}) <= 12 and all(max(x) > byte[0x0A] for x in seen)
+    assert [*codec.encode([t.encode() for t in texts])] == ids and codec.encode([]) == [] and codec.encode([b"", b""]) == [b"", b""]
+
+
 def test_bytes_that_are_no_utf8(spark):
     raw = [(1, b"caf\xe9 au lait"), (2, b"\xff\xfe\xfd"), (3, "café au lait".encode()), (4, b"ok " * 200 + b"\x80")]
     df = spark.createDataFrame(raw, "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"), F.lit("s").alias("source"), F.lit(3).alias("n_chars"))
