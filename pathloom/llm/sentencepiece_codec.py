@@ -44,6 +44,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 CACHE_SEGMENTS = 1_000_000
+IDLE_SEGMENTS = 250_000  # that a worker keeps between tasks, where other stages need its memory
 JOINED = 64  # segments that the library encodes as one text
 
 
@@ -239,7 +240,7 @@ class Codec:
 
     def rest(self) -> None:
         """Between tasks only a bounded cache stays."""
-        if len(self.cache) > CACHE_SEGMENTS // 2:
+        if len(self.cache) > IDLE_SEGMENTS:
             self.cache.clear()
 
     def _decoded(self, ids: list[list[int]]) -> list[bytes]:
