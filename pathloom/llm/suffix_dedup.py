@@ -24,6 +24,11 @@ share theirs. The windows of one anchor form a stretch, some 1.5 times
    counts its own groups, so no step deals rows out by a passage.
 3. The windows found are merged into spans per document.
 
+What is compared are texts, or codes of CODE bytes for their words: passages of
+51 words that start anywhere else are found in the same way, whatever their
+bytes. Windows at other places than a code's beginning say nothing more: they
+hold 50 words and as many bytes as a code, cut from two others.
+
 The number of buckets follows the number of suffixes, which the sample
 estimates, and the sample grows with the number of buckets.
 
@@ -36,8 +41,10 @@ characters that a span cut through.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +52,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, discard, fresh_name, scanned, small_batches, text_bytes, with_row_key, written
+from .common import WHITE, batches, discard, fresh_name, scanned, small_batches, text_bytes, with_row_key, written
 from .mixing import mixed64
 from .packing import narrow, pack, runs, units, unpack
-from .shingles import _power
+from .shingles import _power, word_hashes
 
 U = np.uint64
 PLACE = U((1 << 24) - 1)
@@ -59,12 +66,54 @@ SAMPLE_KEYS = 16
 BUCKET_ROWS = 1_000_000  # suffixes of a bucket, about, at 60 bytes each
 CROWD = 256  # stretches with the same leading tokens that are compared in one place
 BROADCAST_CUTS = 100_000  # groups that boundaries cut, at 16 to 32 bytes each, that are broadcast
+CODE = 4  # bytes of a word's code
+BLANK = re.compile(b"[" + WHITE + b"]")
 
 
 @dataclass(frozen=True)
 class Rule:
+    """Bytes of a window and of its leading strings, in texts or in the codes of their words."""
+
     length: int = 400
     lead: int = 64
+    words: bool = False
+
+    def read(self, batch: pa.RecordBatch) -> list[bytes]:
+        """What is compared."""
+        texts = text_bytes(batch)
+        return word_codes(texts) if self.words else texts
+
+
+PASSAGES = Rule(51 * CODE, 16 * CODE, True)
+
+
+def word_codes(texts: list[bytes]) -> list[bytes]:
+    """Per text the codes of its words (A-Z as a-z), one after another; SLICE bytes, about, are hashed at a time."""
+    out = [b""] * len(texts)
+    held: list[tuple[int, bytes]] = []
+
+    def flush() -> None:
+        h, counts = word_hashes([t for _, t in held])
+        raw, at = (h >> U(32)).astype("<u4").tobytes(), 0
+        for (i, _), n in zip(held, (counts * CODE).tolist()):
+            out[i] += raw[at : at + n]
+            at += n
+        held.clear()
+
+    size = 0
+    for i, t in enumerate(texts):
+        begin = 0
+        while begin < len(t):
+            cut = BLANK.search(t, begin + SLICE) if len(t) > begin + SLICE else None
+            end = cut.start() if cut else len(t)
+            if size and size + end - begin > SLICE:
+                flush()
+                size = 0
+            held.append((i, t[begin:end]))
+            size += end - begin
+            begin = end
+    flush()
+    return out
 
 
 def anchors(buf: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +221,7 @@ def _tie(file: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _suffixes(rule: Rule, splitters):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
-            text, first, windows, t0, lead, d1, d2 = stretches(text_bytes(batch), rule)
+            text, first, windows, t0, lead, d1, d2 = stretches(rule.read(batch), rule)
             file, row = (batch.column(c).to_numpy()[text] for c in ("file", "row"))
             cuts = splitters.value if splitters is not None else None
             bucket = np.searchsorted(cuts, _keys(t0, lead, d1, _tie(file, row, first))) if cuts is not None and len(cuts) else np.zeros(len(first), np.int64)
@@ -357,7 +406,7 @@ def _cut_stretches(rule: Rule):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             of, parts, bodies = [], [], []
-            for i, (text, wanted) in enumerate(zip(text_bytes(batch), batch.column("wanted").to_pylist())):
+            for i, (text, wanted) in enumerate(zip(rule.read(batch), batch.column("wanted").to_pylist())):
                 for p in wanted:
                     of.append(i)
                     parts.append(p)
@@ -369,7 +418,8 @@ def _cut_stretches(rule: Rule):
 
 
 def spans(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(file, row, begin, end): byte ranges that hold repeated windows; they may overlap. ``docs`` is a scan."""
+    """(file, row, begin, end): byte ranges (of codes, if the rule compares words) that hold repeated windows; they may
+    overlap. ``docs`` is a scan."""
     spark = docs.sparkSession
     small_batches(spark)
     keyed = with_row_key(docs.select(F.col("text").cast("string").alias("text")), "file", "row")
@@ -423,30 +473,40 @@ def _kept(text: bytes, cut: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def _with_ranges(docs: DataFrame, rule: Rule, file: str, row: str, ranges: str) -> DataFrame:
-    per_row = spans(docs, rule).groupBy("file", "row").agg(F.collect_list(F.struct("begin", "end")).alias(ranges)).withColumnsRenamed({"file": file, "row": row})
+def _with_ranges(docs: DataFrame, rules: dict[str, Rule], file: str, row: str) -> DataFrame:
+    """``docs`` with the ranges of each rule in the column that it is named for."""
+    found = reduce(DataFrame.union, (spans(docs, rule).withColumn("by", F.lit(name)) for name, rule in rules.items()))
+    per_row = found.groupBy("file", "row").agg(*(F.collect_list(F.when(F.col("by") == name, F.struct("begin", "end"))).alias(name) for name in rules)).withColumnsRenamed({"file": file, "row": row})
     return with_row_key(docs, file, row).join(per_row, [file, row], "left").drop(file, row)
 
 
+def _words(ranges: list[dict]) -> int:
+    """Words whose codes lie in ranges; codes that a range cuts through are not in it."""
+    return sum(e - b for b, e in merged([{"begin": -(-r["begin"] // CODE), "end": r["end"] // CODE} for r in ranges or ()]))
+
+
 def summary(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed spans."""
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>"
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed spans, and n_passage_words: its words
+    in strings of 51 words that also start anywhere else, removed or not."""
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>, n_passage_words long"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             rows = []
-            for text, r in zip(text_bytes(batch), batch.column("ranges").to_pylist()):
+            for text, r, p in zip(text_bytes(batch), batch.column("ranges").to_pylist(), batch.column("passages").to_pylist()):
                 cut = merged(r)
-                rows.append((len(text), sum(e - b for b, e in cut), len(cut), hashlib.sha256(_kept(text, cut)).hexdigest(), [{"begin": b, "end": e} for b, e in cut]))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                rows.append((len(text), sum(e - b for b, e in cut), len(cut), hashlib.sha256(_kept(text, cut)).hexdigest(), [{"begin": b, "end": e} for b, e in cut], _words(p)))
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_passage_words"])
 
     slim = scanned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_ranges(slim, rule, "file", "row", "ranges").mapInArrow(run, schema)
+    return _with_ranges(slim, {"ranges": rule, "passages": PASSAGES}, "file", "row").mapInArrow(run, schema)
 
 
 def remove(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """``docs`` with repeated windows cut from ``text``."""
+    """``docs`` with repeated windows cut from ``text``; the rule compares texts."""
+    if rule.words:
+        raise ValueError("ranges of words' codes can't be cut from texts")
     docs = scanned(docs)
     file, row, ranges = (fresh_name(docs, x) for x in ("file_key", "row_key", "ranges"))
 
@@ -457,4 +517,4 @@ def remove(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
             batch = batch.drop_columns([ranges])
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array([None if z else t for z, t in zip(none, texts)], pa.string()))
 
-    return _with_ranges(docs, rule, file, row, ranges).mapInArrow(run, docs.schema)
+    return _with_ranges(docs, {ranges: rule}, file, row).mapInArrow(run, docs.schema)

@@ -74,6 +74,52 @@ def test_suffix_dedup_crowds(spark, monkeypatch):
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.summary(df).collect()} == expected
 
 
+def _passages(texts):
+    """Per document: words in strings of 51 words that also start anywhere else."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t.translate(low)) for i, t in texts.items()}
+    places = defaultdict(list)
+    for i, w in words.items():
+        for j in range(len(w) - 50):
+            places[tuple(w[j : j + 51])].append((i, j))
+    inside = defaultdict(set)
+    for found in places.values():
+        for i, j in found if len(found) > 1 else ():
+            inside[i].update(range(j, j + 51))
+    return {i: len(inside[i]) for i in texts}
+
+
+def test_suffix_dedup_passages(spark, sf_dir, texts):
+    got = {r.doc_id: r.n_passage_words for r in QUERIES["op2_suffix_dedup"](spark, sf_dir).collect()}
+    assert got == _passages(texts) and any(got.values())
+
+
+def test_suffix_dedup_short_passages(spark):
+    """Passages of over 50 words count as such under 400 bytes, too, where no byte of them goes."""
+    rng = np.random.default_rng(5)
+    words = lambda n: ["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(n)]
+    over, under, twice = words(51), words(50), words(55)
+    texts = {i: " ".join(words(20 + i) + over + words(30)) for i in range(6)}
+    texts |= {10 + i: " ".join(words(20 + i) + under + words(30)) for i in range(6)}
+    texts |= {20: "\n".join(twice + words(9) + twice), 21: "  ".join(over).upper(), 22: " ".join(over[:50]), 23: "é " * 60, 24: "", 25: " ".join(words(300))}
+    df = spark.createDataFrame([*texts.items(), (26, None)], "doc_id long, text string")
+    expected = _passages(texts) | {26: 0}
+    assert [expected[i] for i in (0, 10, 20, 21, 22, 23, 25)] == [51, 0, 110, 51, 0, 60, 0]
+    rows = {r.doc_id: r for r in suffix_dedup.summary(df).collect()}
+    assert {i: r.n_passage_words for i, r in rows.items()} == expected
+    assert not any(r.n_removed for r in rows.values())
+
+
+def test_word_codes_in_pieces(texts, monkeypatch):
+    """Codes follow the words, wherever texts are cut to be hashed."""
+    raw = [t.encode() for t in texts.values()] + [b"", b" \n", b"A" * 5000 + b" b"]
+    plain = suffix_dedup.word_codes(raw)
+    assert [len(c) // suffix_dedup.CODE for c in plain] == [len(t.split()) for t in raw]
+    for piece in (1, 700):
+        monkeypatch.setattr(suffix_dedup, "SLICE", piece)
+        assert suffix_dedup.word_codes(raw) == plain
+
+
 def test_token_store(spark, sf_dir, docs, texts):
     from tokenizers import Tokenizer
 
